@@ -394,7 +394,7 @@ ORACLE = {
     "pad_and_compose_keys": """
         SELECT s_suppkey, lpad((s_nationkey * 10)::VARCHAR, 3, '0') AS state_code,
                lpad(s_suppkey::VARCHAR, 6, '0') AS county_code, s_nationkey AS state, NULL::INT AS bad,
-               (s_nationkey::BIGINT * 10000 + s_suppkey) AS area_key, s_name AS name
+               (s_nationkey::BIGINT * 10000 + s_suppkey) AS area_key, replace(s_name, '#', '') AS name
         FROM supplier""",
     "complete_units": f"""
         WITH {YEARLY_SQL}
