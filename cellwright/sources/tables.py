@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.operators.joins import label_codes
+from cellwright.operators.filters import first_per_key
+from cellwright.operators.joins import label_codes, lookup_join
 
 
 def read_table(spark: SparkSession, source: str) -> DataFrame:
@@ -74,3 +75,16 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     """Register a temporary view and return it."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
+
+
+def read_dictionary(spark: SparkSession, path: str, schema: str = "code string, value int, label string") -> DataFrame:
+    """A code dictionary from CSV, with the line order in ``prio``. Long code lists are kept as such files."""
+    return spark.read.csv(path, header=True, schema=schema, nullValue="NA").withColumn("prio", F.monotonically_increasing_id())
+
+
+def settle_dictionary(dictionary: DataFrame, code: str = "code", prio: str = "prio") -> tuple[DataFrame, DataFrame]:
+    """The dictionary with the first entry of every code, and the entries that it hides."""
+    first = first_per_key(dictionary, [code], [prio])
+    kept = first.select(F.col(code).alias("_code"), F.col(prio).alias("_prio"))
+    marked = lookup_join(dictionary, kept, {code: "_code"})
+    return first.drop(prio), marked.where(F.col("_prio") != F.col(prio)).drop("_prio")
