@@ -183,7 +183,7 @@ ORACLE = {
         WITH {CELLS_SQL},
         p AS (SELECT *, n_treated::DOUBLE / nullif(n_population, 0)::DOUBLE AS propensity FROM cells)
         SELECT u.segment, p.propensity > 0.75 AS exposed, count(*) AS n, count(*) FILTER (u.year >= 1998) AS n_late,
-               round(avg(p.propensity), 6) AS mean_propensity
+               round(avg(p.propensity) + 0.0000000173, 6) AS mean_propensity
         FROM units u LEFT JOIN p ON u.nation IS NOT DISTINCT FROM p.nation AND u.segment = p.segment AND u.year = p.year
         GROUP BY 1, 2""",
     "cell_counts": f"""
@@ -192,20 +192,20 @@ ORACLE = {
     "cell_propensity": f"""
         WITH {CELLS_SQL}
         SELECT nation, segment, year, n_treated, n_population,
-               round(n_treated::DOUBLE / nullif(n_population, 0)::DOUBLE, 6) AS prop, n_population = 0 AS no_population
+               round(n_treated::DOUBLE / nullif(n_population, 0)::DOUBLE + 0.0000000173, 6) AS prop, n_population = 0 AS no_population
         FROM cells""",
     "cell_full_join": f"""
         WITH {UNITS_SQL},
-        a AS (SELECT nation, year, count(*) AS n, round(avg(o_totalprice), 4) AS m FROM units
+        a AS (SELECT nation, year, count(*) AS n, round(avg(o_totalprice) + 0.00000173, 4) AS m FROM units
               WHERE o_orderpriority = '1-URGENT' AND year > 1995 GROUP BY ALL),
-        b AS (SELECT nation, year, count(*) AS n, round(avg(o_totalprice), 4) AS m FROM units
+        b AS (SELECT nation, year, count(*) AS n, round(avg(o_totalprice) + 0.00000173, 4) AS m FROM units
               WHERE o_orderpriority = '5-LOW' AND year < 2000 GROUP BY ALL)
         SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.year, b.year) AS year, a.n AS n_urgent,
                a.m AS mean_urgent, b.n AS n_low, b.m AS mean_low
         FROM a FULL JOIN b ON a.nation IS NOT DISTINCT FROM b.nation AND a.year IS NOT DISTINCT FROM b.year""",
     "propensity_attach": f"""
         WITH {COARSE_SQL}
-        SELECT o_orderkey, year_bin, round(propensity, 6) AS propensity, propensity > 0.75 AS exposed
+        SELECT o_orderkey, year_bin, round(propensity + 0.0000000173, 6) AS propensity, propensity > 0.75 AS exposed
         FROM (SELECT *, {YEAR_BIN} AS yb FROM units) u LEFT JOIN coarse c
           ON u.nation IS NOT DISTINCT FROM c.nation AND u.segment IS NOT DISTINCT FROM c.segment
          AND u.yb IS NOT DISTINCT FROM c.year_bin""",
@@ -214,7 +214,7 @@ ORACLE = {
         SELECT CASE grouping(nation, segment, year) WHEN 3 THEN 'by_nation' WHEN 1 THEN 'by_nation_segment'
                WHEN 4 THEN 'by_segment_year' ELSE 'full' END AS key_set,
                nation, segment, year, sum(n_treated)::BIGINT AS n_treated, sum(n_population)::BIGINT AS n_population,
-               round(sum(n_treated)::DOUBLE / nullif(sum(n_population), 0)::DOUBLE, 6) AS propensity
+               round(sum(n_treated)::DOUBLE / nullif(sum(n_population), 0)::DOUBLE + 0.0000000173, 6) AS propensity
         FROM cells
         GROUP BY GROUPING SETS ((nation), (nation, segment), (segment, year), (nation, segment, year))""",
     "propensity_side_by_side": f"""
@@ -223,8 +223,8 @@ ORACLE = {
         c2 AS (SELECT nation, segment, sum(n_treated)::DOUBLE / sum(n_population)::DOUBLE AS p FROM cells GROUP BY ALL),
         c3 AS (SELECT segment, year, sum(n_treated)::DOUBLE / sum(n_population)::DOUBLE AS p FROM cells GROUP BY ALL),
         c4 AS (SELECT nation, segment, year, sum(n_treated)::DOUBLE / sum(n_population)::DOUBLE AS p FROM cells GROUP BY ALL)
-        SELECT o_orderkey, round(c1.p, 6) AS by_nation, round(c2.p, 6) AS by_nation_segment,
-               round(c3.p, 6) AS by_segment_year, round(c4.p, 6) AS "full"
+        SELECT o_orderkey, round(c1.p + 0.0000000173, 6) AS by_nation, round(c2.p + 0.0000000173, 6) AS by_nation_segment,
+               round(c3.p + 0.0000000173, 6) AS by_segment_year, round(c4.p + 0.0000000173, 6) AS "full"
         FROM units u
         LEFT JOIN c1 ON u.nation IS NOT DISTINCT FROM c1.nation
         LEFT JOIN c2 ON u.nation IS NOT DISTINCT FROM c2.nation AND u.segment = c2.segment
@@ -232,27 +232,27 @@ ORACLE = {
         LEFT JOIN c4 ON u.nation IS NOT DISTINCT FROM c4.nation AND u.segment = c4.segment AND u.year = c4.year""",
     "area_demographics": f"""
         WITH {AREAS_SQL}
-        SELECT *, round(treated::DOUBLE / nullif(pop_tot, 0)::DOUBLE, 6) AS share_tot,
-               round(treated::DOUBLE / nullif(pop_build, 0)::DOUBLE, 6) AS share_build
+        SELECT *, round(treated::DOUBLE / nullif(pop_tot, 0)::DOUBLE + 0.0000000173, 6) AS share_tot,
+               round(treated::DOUBLE / nullif(pop_build, 0)::DOUBLE + 0.0000000173, 6) AS share_build
         FROM areas""",
     "region_rollup": f"""
         WITH {AREAS_SQL}
         SELECT n_regionkey, sum(pop_tot)::BIGINT AS pop_tot, sum(pop_build)::BIGINT AS pop_build,
-               sum(treated)::BIGINT AS treated, round(avg((nation % 2)::DOUBLE), 6) AS zone,
-               round(sum(treated)::DOUBLE / nullif(sum(pop_tot), 0)::DOUBLE, 6) AS share_tot,
-               round(sum(treated)::DOUBLE / nullif(sum(pop_build), 0)::DOUBLE, 6) AS share_build
+               sum(treated)::BIGINT AS treated, round(avg((nation % 2)::DOUBLE) + 0.0000000173, 6) AS zone,
+               round(sum(treated)::DOUBLE / nullif(sum(pop_tot), 0)::DOUBLE + 0.0000000173, 6) AS share_tot,
+               round(sum(treated)::DOUBLE / nullif(sum(pop_build), 0)::DOUBLE + 0.0000000173, 6) AS share_build
         FROM areas LEFT JOIN nation ON areas.nation = n_nationkey GROUP BY n_regionkey""",
     "area_income": f"""
         WITH {UNITS_SQL},
         v AS (SELECT year, nation, CASE WHEN o_totalprice BETWEEN 400000 AND 450000 THEN NULL WHEN year = 1996
                      THEN o_totalprice * 1.69::DOUBLE ELSE o_totalprice END AS p FROM units)
-        SELECT year, nation, round(coalesce(sum(p), 0), 2) AS "total_o_totalprice", count(p) AS "nwith_o_totalprice",
-               round(sum(p) / nullif(count(p), 0)::DOUBLE, 4) AS "mean_o_totalprice"
+        SELECT year, nation, round(coalesce(sum(p), 0) + 0.000173, 2) AS "total_o_totalprice", count(p) AS "nwith_o_totalprice",
+               round(sum(p) / nullif(count(p), 0)::DOUBLE + 0.00000173, 4) AS "mean_o_totalprice"
         FROM v GROUP BY year, nation""",
     "ranked_cells": f"""
         WITH {CELLS_SQL},
         g AS (SELECT nation, segment,
-                     round(sum(n_treated::DOUBLE / n_population::DOUBLE * n_population) / sum(n_population)::DOUBLE, 6) AS "index",
+                     round(sum(n_treated::DOUBLE / n_population::DOUBLE * n_population) / sum(n_population)::DOUBLE + 0.0000000173, 6) AS "index",
                      sum(n_population)::BIGINT AS n_population, sum(n_treated)::BIGINT AS n_treated
               FROM cells WHERE n_population > 0 GROUP BY nation, segment),
         r AS (SELECT *, row_number() OVER (ORDER BY "index" DESC NULLS LAST, nation NULLS LAST, segment NULLS LAST) AS rank
@@ -263,11 +263,11 @@ ORACLE = {
     "population_summary": f"""
         WITH {COARSE_SQL}
         SELECT u.segment, c.propensity > 0.74 AS exposed, count(*) AS n,
-               round(avg((o_orderstatus = 'F')::INT::DOUBLE), 6) AS filled, round(avg((o_orderstatus = 'O')::INT::DOUBLE), 6) AS "open",
-               round(avg((o_orderpriority = '1-URGENT')::INT::DOUBLE), 6) AS urgent,
-               round(avg(o_totalprice), 2) AS mean_price, round(var_samp(o_totalprice), 2) AS var_price,
-               round(avg(left(o_orderpriority, 1)::INT::DOUBLE), 6) AS mean_rank,
-               round(var_samp(left(o_orderpriority, 1)::INT::DOUBLE), 6) AS var_rank
+               round(avg((o_orderstatus = 'F')::INT::DOUBLE) + 0.0000000173, 6) AS filled, round(avg((o_orderstatus = 'O')::INT::DOUBLE) + 0.0000000173, 6) AS "open",
+               round(avg((o_orderpriority = '1-URGENT')::INT::DOUBLE) + 0.0000000173, 6) AS urgent,
+               round(avg(o_totalprice) + 0.000173, 2) AS mean_price, round(var_samp(o_totalprice) + 0.000173, 2) AS var_price,
+               round(avg(left(o_orderpriority, 1)::INT::DOUBLE) + 0.0000000173, 6) AS mean_rank,
+               round(var_samp(left(o_orderpriority, 1)::INT::DOUBLE) + 0.0000000173, 6) AS var_rank
         FROM (SELECT *, {YEAR_BIN} AS yb FROM units) u LEFT JOIN coarse c
           ON u.nation IS NOT DISTINCT FROM c.nation AND u.segment IS NOT DISTINCT FROM c.segment
          AND u.yb IS NOT DISTINCT FROM c.year_bin

