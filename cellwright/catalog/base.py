@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.operators.cells import cell_counts, cell_propensity
+from cellwright.operators.cells import cell_counts, cell_propensity, flagged_propensity
 from cellwright.operators.joins import keep_units, lookup_join
 
 CELL_KEYS = ["nation", "segment", "year"]
@@ -46,7 +46,14 @@ def returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of all orders and of the orders with a returned line, with the propensity."""
+    """Cells of all orders with the count of those that have a returned line, and the propensity."""
+    returned = returned_orders(spark, sf_dir).distinct().withColumn("returned", F.lit(True))
+    units = lookup_join(order_units(spark, sf_dir), returned, ["o_orderkey"], null_safe=False)
+    return flagged_propensity(units, CELL_KEYS, F.col("returned"))
+
+
+def order_cells_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells from two separate tables of counts."""
     units = order_units(spark, sf_dir)
     treated = keep_units(units, returned_orders(spark, sf_dir), "o_orderkey")
     return cell_propensity(cell_counts(treated, CELL_KEYS), cell_counts(units, CELL_KEYS), CELL_KEYS)

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.catalog.base import CELL_KEYS, CELLS_SQL, UNITS_SQL, near, order_cells, order_units, rounded, table
-from cellwright.functions.numeric import count_where, ratio
-from cellwright.functions.recode import bin_index, equal_width_bin, first_match
+from cellwright.catalog.base import (
+    CELL_KEYS,
+    CELLS_SQL,
+    UNITS_SQL,
+    near,
+    order_cells,
+    order_cells_two_sources,
+    order_units,
+    rounded,
+    table,
+)
+from cellwright.functions.numeric import count_where
+from cellwright.functions.recode import equal_width_bin, first_match
 from cellwright.operators.cells import (
     area_demographics,
     area_income,
@@ -46,6 +56,10 @@ def cell_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_propensity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(order_cells_two_sources(spark, sf_dir), ["prop"], 6)
+
+
+def cell_propensity_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(order_cells(spark, sf_dir), ["prop"], 6)
 
 
@@ -147,6 +161,7 @@ QUERIES = {
     "propensity_flagship": propensity_flagship,
     "cell_counts": cell_counts_query,
     "cell_propensity": cell_propensity_query,
+    "cell_propensity_flagged": cell_propensity_flagged,
     "cell_full_join": cell_full_join,
     "propensity_attach": propensity_attach,
     "propensity_grouping_sets": propensity_grouping_sets,
@@ -194,6 +209,11 @@ ORACLE = {
         SELECT nation, segment, year, n_treated, n_population,
                round(n_treated::DOUBLE / nullif(n_population, 0)::DOUBLE + 0.0000000173, 6) AS prop, n_population = 0 AS no_population
         FROM cells""",
+    "cell_propensity_flagged": f"""
+        WITH {CELLS_SQL}
+        SELECT nation, segment, year, n_treated, n_population,
+               round(n_treated::DOUBLE / nullif(n_population, 0)::DOUBLE + 0.0000000173, 6) AS prop, n_population = 0 AS no_population
+        FROM cells""",
     "cell_full_join": f"""
         WITH {UNITS_SQL},
         a AS (SELECT nation, year, count(*) AS n, round(avg(o_totalprice) + 0.00000173, 4) AS m FROM units

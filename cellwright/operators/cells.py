@@ -42,6 +42,16 @@ def cell_propensity(
     return with_proportion(summed, first, second)
 
 
+def flagged_propensity(
+    units: DataFrame, keys: Sequence[str], treated: Column, names: tuple[str, str] = ("n_treated", "n_population")
+) -> DataFrame:
+    """Propensity per cell where one table holds everybody and a flag marks the treated: one pass."""
+    counted = units.groupBy(*keys).agg(
+        F.count_if(F.coalesce(treated, F.lit(False))).alias(names[0]), F.count("*").alias(names[1])
+    )
+    return with_proportion(counted, *names)
+
+
 def with_proportion(df: DataFrame, treated: str, population: str, name: str = "prop") -> DataFrame:
     return df.withColumn(name, ratio(F.col(treated), F.col(population))).withColumn(
         "no_population", F.col(population) == 0

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.functions.tails import f_upper, normal_two_sided, t_two_sided
@@ -167,10 +167,11 @@ def _sweep_factors(cells: DataFrame, segment: Sequence[str], factors: Sequence[s
         for factor in factors:
             keys = [*segment, factor]
             level = cells.groupBy(*keys).agg(F.sum("n").alias("_n"), *[F.sum(f"r_{a}").alias(f"_r_{a}") for a in z])
-            means = cut(level.select(*keys, *[(F.col(f"_r_{a}") / F.col("_n")).alias(f"_m_{a}") for a in z]), "means")
-            if rounds > 1:
-                largest = means.agg(F.max(F.greatest(*[F.abs(f"_m_{a}") for a in z], F.lit(0.0)))).first()[0]
-                moved = max(moved, float(largest or 0.0))
+            means = level.select(*keys, *[(F.col(f"_r_{a}") / F.col("_n")).alias(f"_m_{a}") for a in z])
+            largest = Observation("largest")
+            highest = F.max(F.greatest(*[F.abs(f"_m_{a}") for a in z], F.lit(0.0)))
+            means = cut(means.observe(largest, highest.alias("mean")), "means")
+            moved = max(moved, float(largest.get["mean"] or 0.0))
             joined = lookup_join(cells, means, keys)
             cells = joined.withColumns({f"r_{a}": F.col(f"r_{a}") - F.col("n") * F.col(f"_m_{a}") for a in z})
             cells = cells.drop(*[f"_m_{a}" for a in z])
@@ -488,11 +489,19 @@ def sweep(
 def fit_subsets(
     df: DataFrame, subsets: Mapping[str, Column | None], outcome: str, terms: Sequence[Term], **options
 ) -> dict[str, Fit]:
-    """The same model on overlapping filtered subsets; None stands for all rows."""
-    return {
-        name: ols(df if condition is None else df.where(condition), outcome, terms, **options)
-        for name, condition in subsets.items()
-    }
+    """The same model on filtered subsets, which may overlap; None stands for all rows.
+
+    A row is counted into every subset it belongs to, so one pass serves all of them. Levels of text
+    regressors are those of the whole table.
+    """
+    tags = [
+        F.lit(name) if condition is None else F.when(condition, F.lit(name)) for name, condition in subsets.items()
+    ]
+    tagged = df.withColumn("_subset", F.explode(F.array_compact(F.array(*tags))))
+    fits = {fit.segment["_subset"]: fit for fit in ols_by_segment(tagged, outcome, terms, ["_subset"], **options)}
+    for fit in fits.values():
+        fit.segment = {}
+    return {name: fits[name] for name in subsets if name in fits}
 
 
 def wald(fit: Fit, pattern: str) -> dict[str, object]:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio
 
-# A lookup is sent to every executor only after it was counted and found within both bounds.
+# Below the session's own broadcast threshold the planner sends a lookup to every executor by itself. A
+# lookup that the planner thinks larger is sent only after it was counted and found within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key with more rows than this is spread over SALTS tasks; at most HOT_KEYS keys are treated so,
@@ -27,6 +28,17 @@ def key_match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda x, y: x & y, tests)
 
 
+def planned_small(lookup: DataFrame) -> bool:
+    """Whether the planner's size estimate of a table lies under the session's broadcast threshold.
+
+    The estimate rests on file sizes and only grows through joins and aggregates, so it does not take a
+    large table for a small one.
+    """
+    plan = lookup._jdf.queryExecution().optimizedPlan()
+    threshold = lookup.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(plan.stats().sizeInBytes())) <= int(threshold)
+
+
 def within_broadcast(lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Count the rows and bytes of a table, reading at most ``rows + 1`` of it."""
     width = reduce(
@@ -60,13 +72,15 @@ def lookup_join(
     null_safe: bool = True,
     hot_rows: int = HOT_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    use_estimate: bool = True,
 ) -> DataFrame:
     """Join a large table to a lookup and drop the lookup's key columns.
 
-    A lookup found to be small is broadcast. A larger one is shuffled; keys that too many rows of the
-    large table share are first spread over ``SALTS`` tasks, with the lookup's rows of just those keys
-    repeated once per salt. ``how`` is 'left' or 'inner'. A lookup that other steps use too should be
-    a written table (``session.cut``), as it is read once for its size.
+    A lookup known to be small is broadcast: by the planner's estimate, else by a count. A larger one is
+    shuffled; keys that too many rows of the large table share are first spread over ``SALTS`` tasks, with
+    the lookup's rows of just those keys repeated once per salt. ``how`` is 'left' or 'inner'. A lookup
+    that costs much to compute should be a written table (``session.cut``): then its size is known, and it
+    is computed once.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join takes 'left' or 'inner'")
@@ -75,6 +89,9 @@ def lookup_join(
     right_keys = [f"_k{i}" for i in range(len(pairs))]
     renamed = [(a, k) for (a, _), k in zip(pairs, right_keys)]
 
+    if use_estimate and planned_small(lookup):
+        return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
+
     if within_broadcast(lookup, broadcast_rows):
         joined = df.join(F.broadcast(lookup), key_match(df, lookup, renamed, null_safe), how)
         return joined.drop(*right_keys)
