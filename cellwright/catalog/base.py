@@ -48,14 +48,14 @@ def returned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of all orders with the count of those that have a returned line, and the propensity."""
     returned = returned_orders(spark, sf_dir).distinct().withColumn("returned", F.lit(True))
-    units = lookup_join(order_units(spark, sf_dir), returned, ["o_orderkey"], null_safe=False)
+    units = lookup_join(order_units(spark, sf_dir), returned, ["o_orderkey"], null_safe=False, hot=None)
     return flagged_propensity(units, CELL_KEYS, F.col("returned"))
 
 
 def order_cells_two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same cells from two separate tables of counts."""
     units = order_units(spark, sf_dir)
-    treated = keep_units(units, returned_orders(spark, sf_dir), "o_orderkey")
+    treated = keep_units(units, returned_orders(spark, sf_dir), "o_orderkey", unique=True)
     return cell_propensity(cell_counts(treated, CELL_KEYS), cell_counts(units, CELL_KEYS), CELL_KEYS)
 
 

@@ -29,6 +29,7 @@ from cellwright.operators.reshape import (
     transitions,
 )
 from cellwright.operators.tabulate import match_rate
+from cellwright.session import cut
 
 
 def lookup_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def chained_granularities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semi_join_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     heavy = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 50).select(F.col("l_orderkey").alias("o_orderkey"))
-    return keep_units(orders, heavy, "o_orderkey")
+    return keep_units(orders, heavy, "o_orderkey", unique=True)
 
 
 def coverage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def coverage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     returned = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A").select(F.col("l_orderkey").alias("o_orderkey"))
-    linked = keep_units(orders, returned, "o_orderkey")
+    linked = keep_units(orders, returned, "o_orderkey", unique=True)
     return rounded(match_rate(linked, orders, ["o_orderpriority"]), ["match_rate"], 6)
 
 
@@ -87,7 +88,8 @@ def order_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.year("o_orderdate") == 1996, F.col("o_orderkey"))).alias("id_1996"),
         F.min(F.when(F.year("o_orderdate") == 1997, F.col("o_orderkey"))).alias("id_1997"),
     )
-    return per_unit.where(F.col("id_1996").isNotNull() | F.col("id_1997").isNotNull()).select("id_1996", "id_1997")
+    known = per_unit.where(F.col("id_1996").isNotNull() | F.col("id_1997").isNotNull())
+    return cut(known.select("id_1996", "id_1997"), "bridge")
 
 
 BRIDGE_SQL = """

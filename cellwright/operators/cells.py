@@ -132,10 +132,11 @@ def propensity_key_sets(
 def attach_key_sets(units: DataFrame, cells: DataFrame, key_sets: Mapping[str, Sequence[str]], **names: str) -> DataFrame:
     """Attach one propensity column per key set, named after the set."""
     rates = cut(propensity_key_sets(cells, key_sets, **names), "key-sets")
+    joined = units
     for name, keys in key_sets.items():
         own = rates.where(F.col("key_set") == name).select(*keys, F.col("propensity").alias(name))
-        units = lookup_join(units, own, keys)
-    return units
+        joined = lookup_join(joined, own, keys, sample_from=units)
+    return joined
 
 
 def area_demographics(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.numeric import ratio
 
 # Below the session's own broadcast threshold the planner sends a lookup to every executor by itself. A
-# lookup that the planner thinks larger is sent only after it was counted and found within both bounds.
+# lookup of unknown size, such as rows given by the user, is sent once it was counted within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A key with more rows than this is spread over SALTS tasks; at most HOT_KEYS keys are treated so,
@@ -49,12 +49,13 @@ def within_broadcast(lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int =
     return seen["n"] <= rows and (seen["size"] or 0) <= size
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """The keys that about ``hot_rows`` rows or more share, or None. At most HOT_KEYS rows are brought back.
 
     Only the key columns are read, and a sample of them is counted that holds some thousand rows of any
     such key. The sample decides how rows are spread over tasks, never which rows are joined.
     """
+    hot_rows = hot_rows or HOT_ROWS
     fraction = min(1.0, SAMPLE_HITS / hot_rows)
     seen = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction=fraction, seed=1)
     counted = seen.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows * fraction)
@@ -70,17 +71,22 @@ def lookup_join(
     on: Sequence[str] | Mapping[str, str],
     how: str = "left",
     null_safe: bool = True,
-    hot_rows: int = HOT_ROWS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    hot: str | None = "sample",
+    sample_from: DataFrame | None = None,
+    measure: bool = False,
+    hot_rows: int | None = None,
     use_estimate: bool = True,
 ) -> DataFrame:
-    """Join a large table to a lookup and drop the lookup's key columns.
+    """Join a large table to a lookup and drop the lookup's key columns. ``how`` is 'left' or 'inner'.
 
-    A lookup known to be small is broadcast: by the planner's estimate, else by a count. A larger one is
-    shuffled; keys that too many rows of the large table share are first spread over ``SALTS`` tasks, with
-    the lookup's rows of just those keys repeated once per salt. ``how`` is 'left' or 'inner'. A lookup
-    that costs much to compute should be a written table (``session.cut``): then its size is known, and it
-    is computed once.
+    A lookup that the planner knows to be small is broadcast. With ``measure`` one of unknown size is counted
+    first. A larger one is shuffled, and keys that too many rows of the large table share are first
+    spread over ``SALTS`` tasks, with the lookup's rows of just those keys repeated once per salt.
+
+    ``hot`` is 'sample' to look for such keys, or None where the keys are unique in the large table. They are
+    looked for in ``sample_from``, by default the large table itself; where that is the outcome of other
+    joins, name the table before them. An aggregate that is small should come as a written table
+    (``session.cut``), as then its true size is known and it is computed once.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join takes 'left' or 'inner'")
@@ -91,16 +97,13 @@ def lookup_join(
 
     if use_estimate and planned_small(lookup):
         return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
-
-    if within_broadcast(lookup, broadcast_rows):
-        joined = df.join(F.broadcast(lookup), key_match(df, lookup, renamed, null_safe), how)
-        return joined.drop(*right_keys)
-
-    hot = hot_keys(df, [a for a, _ in pairs], hot_rows)
-    if hot is None:
+    if measure and within_broadcast(lookup):
+        return df.join(F.broadcast(lookup), key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
+    often = hot_keys(sample_from or df, [a for a, _ in pairs], hot_rows) if hot == "sample" else None
+    if often is None:
         return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
 
-    marks = hot.withColumnsRenamed({a: f"_h{i}" for i, (a, _) in enumerate(pairs)}).withColumn("_hot", F.lit(True))
+    marks = often.withColumnsRenamed({a: f"_h{i}" for i, (a, _) in enumerate(pairs)}).withColumn("_hot", F.lit(True))
     left_marks = [(a, f"_h{i}") for i, (a, _) in enumerate(pairs)]
     right_marks = [(k, f"_h{i}") for i, k in enumerate(right_keys)]
     # The salt follows the input split, so a task that runs again gives the same salts.
@@ -140,10 +143,11 @@ def keyed_inner(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> Dat
     return lookup_join(left, right, on, "inner")
 
 
-def keep_units(df: DataFrame, units: DataFrame, key: str) -> DataFrame:
-    """Rows whose unit is listed. As in SQL, a missing unit id never matches."""
+def keep_units(df: DataFrame, units: DataFrame, key: str, unique: bool = False) -> DataFrame:
+    """Rows whose unit is listed. As in SQL, a missing unit id never matches. ``unique`` says that a unit
+    has one row in ``df``."""
     listed = units.select(key).where(F.col(key).isNotNull()).distinct()
-    return lookup_join(df, listed, [key], "inner", null_safe=False)
+    return lookup_join(df, listed, [key], "inner", null_safe=False, hot=None if unique else "sample")
 
 
 def either_side_listed(
@@ -156,7 +160,7 @@ def either_side_listed(
     first = left_units.select(F.col(left_units.columns[0]).alias("_id")).distinct().withColumn("_hit_left", F.lit(True))
     second = right_units.select(F.col(right_units.columns[0]).alias("_id")).distinct().withColumn("_hit_right", F.lit(True))
     marked = lookup_join(bridge, first, {left_id: "_id"}, null_safe=False)
-    marked = lookup_join(marked, second, {right_id: "_id"}, null_safe=False)
+    marked = lookup_join(marked, second, {right_id: "_id"}, null_safe=False, sample_from=bridge)
     hit = F.coalesce(F.col("_hit_left"), F.col("_hit_right"), F.lit(False))
     return marked.where(hit).drop("_hit_left", "_hit_right")
 
@@ -200,7 +204,8 @@ def link_periods(
     for side, bridge_id, suffix in zip((first, second), bridge_ids, suffixes):
         side = side.withColumnsRenamed({c: c + suffix for c in side.columns if c != record_id})
         side = side.withColumn(f"_found{suffix}", F.lit(True))
-        linked = lookup_join(linked, side, {bridge_id: record_id}, "inner" if both else "left", null_safe=False)
+        how = "inner" if both else "left"
+        linked = lookup_join(linked, side, {bridge_id: record_id}, how, null_safe=False, sample_from=bridge)
     return linked.drop(*[f"_found{s}" for s in suffixes])
 
 
@@ -242,7 +247,7 @@ def recode_columns(
     order = df.columns
     for column in columns:
         entries = dictionary.select(F.col(code).alias("_code"), F.col(value).alias("_value"))
-        df = lookup_join(df, entries, {column: "_code"}, null_safe=False)
+        df = lookup_join(df, entries, {column: "_code"}, null_safe=False, measure=True)
         new = F.coalesce(F.col("_value"), F.col(column)) if keep_unmatched else F.col("_value")
         df = df.withColumn(column, new).drop("_value")
     return df.select(*order)
@@ -255,5 +260,5 @@ def label_codes(df: DataFrame, labels: DataFrame, columns: Sequence[str], suffix
         own = labels.where(F.col("variable") == column).select(
             F.col("code").cast(df.schema[column].dataType).alias("_code"), F.col("label").alias(column + suffix)
         )
-        df = lookup_join(df, own, {column: "_code"}, null_safe=False)
+        df = lookup_join(df, own, {column: "_code"}, null_safe=False, measure=True)
     return df

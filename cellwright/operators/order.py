@@ -35,7 +35,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], output: str = "rank") ->
     stored = sorted_splits(df, order)
     sizes = stored.groupBy("_split").agg(F.count("*").alias("_size"))
     before = W.orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    starts = cut(sizes.select("_split", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")), "starts")
     numbered = lookup_join(stored, starts, ["_split"])
     return numbered.withColumn(output, F.col("_start") + F.col("_place") + 1).drop("_split", "_place", "_start")
 
@@ -54,7 +54,7 @@ def running_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], keys:
     )
     within = W.partitionBy(*keys, "_split").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
     local = stored.withColumns({f"_l_{c}": F.sum(c).over(within) for c in sums})
-    joined = lookup_join(local, offsets, [*keys, "_split"])
+    joined = lookup_join(local, cut(offsets, "offsets"), [*keys, "_split"])
     added = joined.withColumns({f"run_{c}": F.col(f"_o_{c}") + F.col(f"_l_{c}") for c in sums})
     return added.drop("_split", "_place", *[f"_l_{c}" for c in sums], *[f"_o_{c}" for c in sums])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio, total
 from cellwright.operators.joins import lookup_join
+from cellwright.session import cut
 
 
 def column_name(value: object) -> str:
@@ -31,6 +32,7 @@ def shares(df: DataFrame, keys: Sequence[str], within: Sequence[str] = (), name:
     counts = df.groupBy(*within, *[k for k in keys if k not in within]).agg(F.count("*").alias("n"))
     if not within:
         return counts.withColumn(name, ratio(F.col("n"), counts.agg(F.sum("n")).scalar()))
+    counts = cut(counts, "counts")
     whole = counts.groupBy(*within).agg(F.sum("n").alias("_whole"))
     return lookup_join(counts, whole, within).withColumn(name, ratio(F.col("n"), F.col("_whole"))).drop("_whole")
 

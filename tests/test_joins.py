@@ -22,9 +22,9 @@ def skewed(spark):
 def test_every_route_gives_the_same_rows(spark, skewed, how, null_safe):
     units, lookup = skewed
     wide = joins.lookup_join(units, lookup, ["k"], how, null_safe)
-    counted = joins.lookup_join(units, lookup, ["k"], how, null_safe, use_estimate=False)
-    plain = joins.lookup_join(units, lookup, ["k"], how, null_safe, broadcast_rows=1, use_estimate=False)
-    salted = joins.lookup_join(units, lookup, ["k"], how, null_safe, hot_rows=20, broadcast_rows=1, use_estimate=False)
+    counted = joins.lookup_join(units, lookup, ["k"], how, null_safe, measure=True)
+    plain = joins.lookup_join(units, lookup, ["k"], how, null_safe, use_estimate=False)
+    salted = joins.lookup_join(units, lookup, ["k"], how, null_safe, hot_rows=20, use_estimate=False)
     assert rows(wide) == rows(counted) == rows(plain) == rows(salted)
     assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
 
@@ -32,8 +32,8 @@ def test_every_route_gives_the_same_rows(spark, skewed, how, null_safe):
 def test_salted_route_keeps_multiplicity(spark, skewed):
     units, lookup = skewed
     doubled = lookup.unionByName(lookup)
-    plain = joins.lookup_join(units, doubled, ["k"], "inner", broadcast_rows=1, use_estimate=False)
-    salted = joins.lookup_join(units, doubled, ["k"], "inner", hot_rows=20, broadcast_rows=1, use_estimate=False)
+    plain = joins.lookup_join(units, doubled, ["k"], "inner", use_estimate=False)
+    salted = joins.lookup_join(units, doubled, ["k"], "inner", hot_rows=20, use_estimate=False)
     assert rows(plain) == rows(salted) and plain.count() == 2 * joins.lookup_join(units, lookup, ["k"], "inner").count()
 
 
@@ -97,5 +97,5 @@ def test_dictionary_over_columns(spark):
 
 def test_small_lookups_are_broadcast_and_stay_null_safe(spark, skewed):
     units, lookup = skewed
-    plan = joins.lookup_join(units, lookup, ["k"])._jdf.queryExecution().executedPlan().toString()
+    plan = joins.lookup_join(units, lookup, ["k"], measure=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
