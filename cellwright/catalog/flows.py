@@ -35,7 +35,7 @@ def dealt(name: str) -> Column:
 
 
 def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One card per order; several orders of a customer with one status repeat a card's id and names."""
+    """One card per order, stored; several orders of a customer with one status repeat a card's id and names."""
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), (key % len(PLACES)).cast("int") + 1)
     values = {
@@ -50,7 +50,7 @@ def card_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         **{name: dealt(name) for name in DEALT},
     }
     line = fixed_width_line([(values.get(name, F.lit("")), width) for name, width in codes.CARD_WIDTHS])
-    return table(spark, sf_dir, "orders").select(key.alias("card_order"), line.alias("value"))
+    return cut(table(spark, sf_dir, "orders").select(key.alias("card_order"), line.alias("value")), "cards")
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,13 +75,13 @@ REGISTER_OUTPUT = [
 
 
 def register_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = register.cut_cards(card_lines(spark, sf_dir))
-    return register.compile_register(cards, addresses(spark, sf_dir)).select(*REGISTER_OUTPUT)
+    lines = card_lines(spark, sf_dir)
+    return register.compile_register(lines, addresses(spark, sf_dir)).select(*REGISTER_OUTPUT)
 
 
 def register_cell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = register.cut_cards(card_lines(spark, sf_dir))
-    return register.register_cells(register.compile_register(cards, addresses(spark, sf_dir)))
+    lines = card_lines(spark, sf_dir)
+    return register.register_cells(register.compile_register(lines, addresses(spark, sf_dir)))
 
 
 def panel_people(spark: SparkSession, sf_dir: str) -> DataFrame:

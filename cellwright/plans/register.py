@@ -29,13 +29,13 @@ CARD_LAYOUT = layout_from_widths(codes.CARD_WIDTHS)
 DUPLICATE_KEYS = ["ind_number", "file_no", "first_name", "last_name"]
 
 
-def read_cards(spark: SparkSession, path: str) -> DataFrame:
-    """All fields of the cards as text, with ``card_order``: the order of the lines in the file."""
-    return cut_cards(spark.read.text(path).withColumn("card_order", F.monotonically_increasing_id()))
+def read_card_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Card lines with ``card_order``: the order of the lines in the file."""
+    return spark.read.text(path).withColumn("card_order", F.monotonically_increasing_id())
 
 
 def cut_cards(lines: DataFrame) -> DataFrame:
-    """Cut lines that carry their order."""
+    """All fields of the cards as text, with their order."""
     return lines.select("card_order", *[cut_field(F.col("value"), f).alias(f.name) for f in CARD_LAYOUT])
 
 
@@ -45,6 +45,15 @@ def drop_duplicate_cards(cards: DataFrame, order: str = "card_order") -> DataFra
     return first_per_key(usable, DUPLICATE_KEYS, [order])
 
 
+def drop_duplicate_lines(lines: DataFrame) -> DataFrame:
+    """As ``drop_duplicate_cards``, on lines that are not cut yet: only the keys are cut, and the rest of a
+    card travels as its 80 characters, a fraction of its 33 fields."""
+    fields = {f.name: f for f in CARD_LAYOUT}
+    keys = [cut_field(F.col("value"), fields[k]).alias(k) for k in DUPLICATE_KEYS]
+    usable = with_id_and_clean_name(lines.select("card_order", "value", *keys), "ind_number", "last_name")
+    return first_per_key(usable, DUPLICATE_KEYS, ["card_order"]).select("card_order", "value")
+
+
 def _grouped(code: Column, groups) -> Column:
     return map_codes(code, groups_to_mapping(groups)[0])
 
@@ -120,9 +129,9 @@ def label_cards(cards: DataFrame, occupations: DataFrame | None = None) -> DataF
     return labelled
 
 
-def compile_register(cards: DataFrame, addresses: DataFrame, occupations: DataFrame | None = None) -> DataFrame:
-    """Deduplicate, recode, bin and geocode the cards; the result has the columns of the cleaned register."""
-    labelled = label_cards(drop_duplicate_cards(cards), occupations)
+def compile_register(lines: DataFrame, addresses: DataFrame, occupations: DataFrame | None = None) -> DataFrame:
+    """Deduplicate, cut, recode, bin and geocode card lines; the result has the columns of the cleaned register."""
+    labelled = label_cards(cut_cards(drop_duplicate_lines(lines)), occupations)
     binned = labelled.withColumn("bpl_grp", birthplace_group(F.col("bpl")))
     binned = binned.withColumn("byr_grp", equal_width_bin(F.col("birthyr")))
     placed = lookup_join(binned, addresses, ["prev_address"], null_safe=True)

@@ -18,6 +18,8 @@ def build_session(app: str = "cellwright", master: str | None = None, **conf: ob
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Files unpack to several times their size; size estimates should say so before a broadcast.
+        "spark.sql.sources.fileCompressionFactor": "4",
         **{key: str(value) for key, value in conf.items()},
     }
     builder = SparkSession.builder.appName(app)

@@ -39,8 +39,11 @@ def compiled(spark, tmp_path_factory):
     occ.write_text("code,value,label\n0-1,1001,Art\n001,0,Accounts\n0-1,9,hidden\n")
     occupations, hidden = settle_dictionary(read_dictionary(spark, str(occ)))
     assert [r["value"] for r in hidden.collect()] == [9]
-    cards = register.read_cards(spark, str(path))
-    out = register.compile_register(cards, register.read_addresses(spark, str(adr)), occupations)
+    lines = register.read_card_lines(spark, str(path))
+    whole = register.drop_duplicate_cards(register.cut_cards(lines))
+    late = register.cut_cards(register.drop_duplicate_lines(lines))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, late.select(*whole.columns).collect()))
+    out = register.compile_register(lines, register.read_addresses(spark, str(adr)), occupations)
     return {r["ind_number"]: r for r in out.collect()}, out
 
 
