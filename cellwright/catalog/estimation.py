@@ -42,7 +42,7 @@ def ols_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text regressor as dummies, and a square."""
     rows = lines(spark, sf_dir)
     fit = ols(rows, PRICE, ["l_quantity", Square("l_quantity"), "l_discount", "l_returnflag"])
-    return coefficients(spark, [fit])
+    return coefficients(spark, [fit], 3).drop("std_error")
 
 
 def ols_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +261,24 @@ _DID = """
 
 ORACLE = {
     "ols": f"WITH {_sums(_LINES)} {_terms(PRICE, _NAMES)}",
+    "ols_dummies": """
+        WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS y, l_quantity - 25 AS x, pow(l_quantity - 25, 2) AS q, l_discount AS z FROM lineitem),
+        m AS (SELECT g, avg(y) AS my, avg(x) AS mx, avg(q) AS mq, avg(z) AS mz FROM r GROUP BY g),
+        c AS (SELECT y - my AS y, x - mx AS x, q - mq AS q, z - mz AS z FROM r JOIN m USING (g)),
+        s AS (SELECT sum(x * x) AS xx, sum(x * q) AS xq, sum(x * z) AS xz, sum(q * q) AS qq, sum(q * z) AS qz, sum(z * z) AS zz,
+                     sum(x * y) AS xy, sum(q * y) AS qy, sum(z * y) AS zy FROM c),
+        d AS (SELECT *, xx * (qq * zz - qz * qz) - xq * (xq * zz - qz * xz) + xz * (xq * qz - qq * xz) AS det FROM s),
+        b AS (SELECT (xy * (qq * zz - qz * qz) - xq * (qy * zz - qz * zy) + xz * (qy * qz - qq * zy)) / det AS bx,
+                     (xx * (qy * zz - zy * qz) - xy * (xq * zz - qz * xz) + xz * (xq * zy - qy * xz)) / det AS bq,
+                     (xx * (qq * zy - qz * qy) - xq * (xq * zy - xz * qy) + xy * (xq * qz - qq * xz)) / det AS bz FROM d),
+        a AS (SELECT g, my - bx * mx - bq * mq - bz * mz AS level FROM m, b),
+        l AS (SELECT max(level) FILTER (g = 'A') AS a, max(level) FILTER (g = 'N') AS n, max(level) FILTER (g = 'R') AS r FROM a),
+        t AS (SELECT unnest([{'term': '(Intercept)', 'v': a - 25 * bx + 625 * bq}, {'term': 'l_quantity', 'v': bx - 50 * bq},
+                {'term': 'l_quantity square', 'v': bq}, {'term': 'l_discount', 'v': bz}, {'term': 'l_returnflagN', 'v': n - a},
+                {'term': 'l_returnflagR', 'v': r - a}]) AS k FROM l, b)
+        SELECT 'l_extendedprice' AS outcome, k.term AS term, round(k.v + 0.0000173, 3) AS estimate,
+               (SELECT count(*) FROM lineitem) AS n
+        FROM t""",
     "ols_robust": f"""
         WITH {_PARTIALLED}
         {_robust("sum(tx * tx * u * u)", "sum(tz * tz * u * u)", "max(n) / (max(n) - 3)", "e")}""",

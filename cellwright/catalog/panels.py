@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellwright.catalog.base import near, rounded, table
 from cellwright.catalog.recodes import YEARLY_SQL, yearly_orders, yearly_wide
-from cellwright.functions.numeric import fill_zero
+from cellwright.functions.numeric import fill_zero, ratio
 from cellwright.operators.joins import (
     either_side_listed,
     fold_full_join,
@@ -43,6 +43,16 @@ def lookup_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lookup_join(placed, spending, {"s_nationkey": "c_nationkey"}), ["balance", "balance_area"], 2)
 
 
+def suffixed_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of two sources by the same keys, the second joined to the first with suffixes."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    keys = ["o_orderpriority", "year"]
+    everybody = orders.groupBy(*keys).agg(F.count("*").alias("n"))
+    partial = orders.where((F.col("o_orderstatus") == "P") & (F.col("year") > 1995)).groupBy(*keys).agg(F.count("*").alias("n"))
+    joined = lookup_join(everybody, cut(partial, "counts"), keys, suffixes=("_all", "_part"))
+    return rounded(joined.withColumn("share", ratio(F.col("n_part"), F.col("n_all"))), ["share"], 6)
+
+
 def keyed_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     parts = table(spark, sf_dir, "part").where(F.col("p_size") < 10).select("p_partkey", "p_brand")
@@ -182,6 +192,7 @@ def stock_ratio_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "lookup_joins": lookup_joins,
+    "suffixed_left_join": suffixed_left_join,
     "keyed_inner_join": keyed_inner_join,
     "chained_granularities": chained_granularities,
     "semi_join_units": semi_join_units,
@@ -207,6 +218,12 @@ ORACLE = {
                round(balance_area + 0.000173, 2) AS balance_area
         FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 2) ON s_nationkey = n_nationkey
         LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN area ON s_nationkey = c_nationkey""",
+    "suffixed_left_join": """
+        WITH o AS (SELECT o_orderpriority, o_orderstatus, year(o_orderdate)::INT AS year FROM orders),
+        a AS (SELECT o_orderpriority, year, count(*) AS n FROM o GROUP BY ALL),
+        p AS (SELECT o_orderpriority, year, count(*) AS n FROM o WHERE o_orderstatus = 'P' AND year > 1995 GROUP BY ALL)
+        SELECT a.o_orderpriority, a.year, a.n AS n_all, p.n AS n_part, round(p.n / a.n::DOUBLE + 0.0000000173, 6) AS share
+        FROM a LEFT JOIN p ON a.o_orderpriority = p.o_orderpriority AND a.year = p.year""",
     "keyed_inner_join": """
         SELECT p_brand, count(*) AS n, round(sum(l_quantity) + 0.000173, 2) AS quantity
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY p_brand""",

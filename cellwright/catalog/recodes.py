@@ -428,4 +428,5 @@ ORACLE = {
                round(sum(l_tax) + 0.000173, 2) AS "total_l_tax", max(l_tax) AS "most_l_tax"
         FROM lineitem GROUP BY l_returnflag""",
     "distinct_codes": "SELECT DISTINCT p_brand FROM part",
+    "exact_sample": "SELECT * FROM part ORDER BY md5('7:' || p_partkey), p_partkey LIMIT 100",
 }

@@ -76,9 +76,12 @@ def lookup_join(
     measure: bool = False,
     hot_rows: int | None = None,
     use_estimate: bool = True,
+    suffixes: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup and drop the lookup's key columns. ``how`` is 'left' or 'inner'.
 
+    Other columns that both have get the ``suffixes``; without these they are an error.
+
     A lookup that the planner knows to be small is broadcast. With ``measure`` one of unknown size is counted
     first. A larger one is shuffled, and keys that too many rows of the large table share are first
     spread over ``SALTS`` tasks, with the lookup's rows of just those keys repeated once per salt.
@@ -91,6 +94,12 @@ def lookup_join(
     if how not in ("left", "inner"):
         raise ValueError("lookup_join takes 'left' or 'inner'")
     pairs = list(on.items()) if isinstance(on, Mapping) else [(k, k) for k in on]
+    shared = [c for c in lookup.columns if c in df.columns and c not in [b for _, b in pairs]]
+    if shared:
+        if suffixes is None or set(shared) & {a for a, _ in pairs}:
+            raise ValueError(f"both tables have {shared}; give suffixes or rename")
+        df = df.withColumnsRenamed({c: c + suffixes[0] for c in shared})
+        lookup = lookup.withColumnsRenamed({c: c + suffixes[1] for c in shared})
     lookup = lookup.withColumnsRenamed({b: f"_k{i}" for i, (_, b) in enumerate(pairs)})
     right_keys = [f"_k{i}" for i in range(len(pairs))]
     renamed = [(a, k) for (a, _), k in zip(pairs, right_keys)]

@@ -67,5 +67,5 @@ def sample_share(df: DataFrame, share: float, seed: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """Exactly ``n`` rows, picked by a hash of a unique key, so the pick does not depend on partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Exactly ``n`` rows, picked by a digest of a unique key, so the pick does not depend on partitions."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *key).limit(n)

@@ -99,3 +99,12 @@ def test_small_lookups_are_broadcast_and_stay_null_safe(spark, skewed):
     units, lookup = skewed
     plan = joins.lookup_join(units, lookup, ["k"], measure=True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_shared_columns_need_suffixes(spark):
+    a = spark.createDataFrame([(1, 5)], "k int, n int")
+    b = spark.createDataFrame([(1, 6)], "k int, n int")
+    with pytest.raises(ValueError):
+        joins.lookup_join(a, b, ["k"])
+    joined = joins.lookup_join(a, b, ["k"], suffixes=("_mlp", "_reg"))
+    assert joined.columns == ["k", "n_mlp", "n_reg"] and tuple(joined.first()) == (1, 5, 6)
