@@ -263,8 +263,10 @@ def linear_models(
 
     columns = _Columns(df, named, keys)
     z = [columns.short[n] for n in columns.names]
-    cells = cut(_moment_cells(columns.rows, keys, z), "moments")
+    cells = _moment_cells(columns.rows, keys, z)
     swept = bool(absorb)
+    if swept or cluster:
+        cells = cut(cells, "moments")
     if swept:
         cells = cut(_sweep_factors(cells, segment, absorb, z), "swept")
     products, order = _within_products(cells, z, swept)
@@ -366,7 +368,9 @@ def _meats(solved, vcov, cluster, segment, absorb, columns, products, cells, ord
     if vcov == "cluster":
         pairs = [f"p_{a}_{b}" for i, a in enumerate(order) for b in order[i:]]
         keys = list(dict.fromkeys([*segment, cluster]))
-        base = cut(products.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in pairs]), "clusters")
+        base = products.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in pairs])
+        if len(solved) > 1:
+            base = cut(base, "clusters")
     else:
         base = columns.rows
         if swept:

@@ -11,7 +11,7 @@ def test_cut_writes_below_the_shared_folder(spark):
     assert root == spark.conf.get("spark.checkpoint.dir", root)
     df = spark.range(5).select("id", F.col("id").cast("string").alias("s"))
     stored = session.cut(df, "mine")
-    assert stored.schema == df.schema and sorted(stored.collect()) == sorted(df.collect())
+    assert stored.dtypes == df.dtypes and sorted(stored.collect()) == sorted(df.collect())
     assert [n for n in os.listdir(root) if n.startswith("mine-")]
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
 
