@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cellwright.llm.common import held_out, in_tasks, table
 
-#: Labelled rows to train on, about (at most twice as many), and how their share for calibration.
+#: Labelled documents to train on, about, and their share for calibration.
 SAMPLE_ROWS, CALIBRATION = 4000, 0.25
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 14, 16, 6, 0.5
 #: Share of rightly labelled calibration rows that the rejection may cost, and the highest score that it may ask for.
@@ -70,10 +71,10 @@ class WordRows(dict):
 
 
 def bucket_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all subwords and how often each occurs."""
     counts = np.zeros(BUCKETS, np.int64)
-    for start in range(0, len(words), 50_000):
-        for w in words[start : start + 50_000]:
-            np.add.at(counts, subwords(w), 1)
+    for word, n in Counter(words).items():
+        np.add.at(counts, subwords(word), n)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -122,24 +123,26 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Learn from rows with a language that are not held out: about ``sample_rows`` of them, at most twice as many."""
-    # NULL texts have no letter and teach nothing.
+    """Learn from rows with a language that are not held out: about ``sample_rows`` of them.
+
+    A hash of the id decides, and an id that comes often counts once, so the sample is bounded whatever repeats.
+    """
     labelled = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(~held_out(F.col("key")) & F.col("lang").isNotNull())
     count = labelled.count()
     share = min(1.0, sample_rows / max(count, 1))
     bound = int(share * 1_000_000)
-    # Ids decide, so that counting them reads no text.
-    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < bound).limit(2 * sample_rows)
+    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1)):
+            for text, lang, key in zip(*batch.columns):
                 at, counts = bucket_counts(words_of(text.as_py()))
                 columns = [pa.array([lang.as_py()]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([key.as_py()], pa.string())], ["lang", "buckets", "counts", "key"])
 
-    found = in_tasks(chosen.select("text", "lang"), run, "lang string, buckets array<int>, counts array<long>").collect()
+    counted = in_tasks(chosen.select("text", "lang", "key"), run, "lang string, buckets array<int>, counts array<long>, key string")
+    found = counted.groupBy("key").agg(F.min(F.struct("lang", "buckets", "counts")).alias("row")).select("row.*").collect()
     rows = sorted((r["lang"], r["buckets"], r["counts"]) for r in found)
     return train([(lang, np.array(at, np.int64), np.array(n, float)) for lang, at, n in rows])
 
@@ -192,10 +195,7 @@ def drop_rejected(docs: DataFrame, model: dict) -> DataFrame:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return (
-        predict(docs, fit(docs))
-        .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
-    )
+    return predict(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op9_langid": op9_langid}
