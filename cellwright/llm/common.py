@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.session import cut
 
-__all__ = ["cut", "table", "in_tasks", "held_out", "row_key", "lowered_words", "word_codes", "shingle_codes", "WordCodes"]
+__all__ = ["cut", "table", "in_tasks", "held_out", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -40,20 +40,6 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
 
 
-_ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
-_BLANKS = str.maketrans({chr(c): " " for c in range(9, 14)})
-
-
-def lowered_words(text: str) -> list[str]:
-    """Words between blanks (space, 0x09 to 0x0D), A-Z lower-cased, all else as it stands."""
-    if not text.isascii():
-        return [w for w in text.translate(_BLANKS).translate(_ASCII_LOWER).split(" ") if w]
-    # str.split() also splits at 0x1C to 0x1F; those are turned off the fast path.
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in text.translate(_BLANKS).lower().split(" ") if w]
-    return text.lower().split()
-
-
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,24 +55,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordCodes(dict):
-    """A 64-bit code of every word, remembered for the words met most recently. Safe to drop at any time."""
+#: The base of the polynomial word code, and its inverse modulo 2^64 (both odd).
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_letters = np.arange(256)
+_letters[ord("A") : ord("Z") + 1] += 32
+#: A code for every byte; A-Z have those of a-z.
+_BYTE_CODES = mixed(_letters.astype(np.uint64) + np.uint64(1))
+_IS_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
 
-    limit = 400_000
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = max(n, 2 * len(_powers[0]))
+        for k, base in enumerate((_BASE, _INVERSE)):
+            powers = np.full(size, base, np.uint64)
+            powers[0] = 1
+            _powers[k] = np.cumprod(powers, dtype=np.uint64)
+    return _powers[0], _powers[1]
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = code
-        return code
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in bytes, of the words between blanks (space, 0x09 to 0x0D)."""
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _IS_BLANK[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
 
-def word_codes(words: list[str], codes: WordCodes) -> np.ndarray:
-    return np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+def word_codes(data: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """64-bit codes of the words of UTF-8 text, A-Z taken as a-z.
+
+    A word's code is a polynomial in its bytes, so that sums along the text give those of all its words at once.
+    """
+    starts, ends = word_spans(data) if spans is None else spans
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers_to(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[np.frombuffer(data, np.uint8)] * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] ^ mixed((ends - starts).astype(np.uint64)))
+
+
+def utf8(value: pa.Scalar) -> bytes:
+    """The bytes of a text from Arrow; NULL has none."""
+    return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
 def shingle_codes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -104,7 +118,3 @@ def shingle_codes(words: np.ndarray, width: int = 5) -> np.ndarray:
     for k in range(width):
         out = mixed(out ^ words[k : k + runs])
     return out
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import WordCodes, in_tasks, lowered_words, mixed, shingle_codes, table, word_codes
+from cellwright.llm.common import in_tasks, mixed, shingle_codes, table, word_codes
 
 #: Hashes below this share of the range are kept.
 FRACTION = 0.25
@@ -25,9 +25,9 @@ WIDTH = 5
 RANGE_ROWS, MOST_RANGES = 1000, 20_000
 
 
-def kept_hashes(text: str, codes: WordCodes, fraction: float = FRACTION) -> tuple[int, np.ndarray]:
+def kept_hashes(text: str, fraction: float = FRACTION) -> tuple[int, np.ndarray]:
     """The number of distinct shingles of a text, and the hashes it keeps, rising, as 32-bit numbers."""
-    found = np.unique(mixed(shingle_codes(word_codes(lowered_words(text), codes), WIDTH)))
+    found = np.unique(mixed(shingle_codes(word_codes(text.encode("utf-8", "surrogatepass")), WIDTH)))
     kept = found[: np.searchsorted(found, np.uint64(int(fraction * 2.0**64)))]
     return len(found), np.unique((kept >> np.uint64(32)).astype(np.uint32))
 
@@ -38,10 +38,10 @@ def written(text: str, count: int, kept: np.ndarray) -> str:
     return f"{count}:{digest}:{base64.b64encode(kept.astype('<u4').tobytes()).decode()}"
 
 
-def fingerprint(text: str | None, codes: WordCodes | None = None, fraction: float = FRACTION) -> str:
+def fingerprint(text: str | None, fraction: float = FRACTION) -> str:
     """The sketch of one text. NULL counts as empty; equal texts have equal sketches."""
     text = text or ""
-    return written(text, *kept_hashes(text, codes if codes is not None else WordCodes(), fraction))
+    return written(text, *kept_hashes(text, fraction))
 
 
 def hashes(sketch: str) -> np.ndarray:
@@ -76,9 +76,8 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, fingerprint) of every row, in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for batch in batches:
-            prints = [fingerprint(t.as_py(), codes) for t in batch.column(1)]
+            prints = [fingerprint(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -133,7 +132,6 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         before = None
@@ -145,13 +143,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                     before = (parts[k], tails[k])
                     continue  # a further row at the end of a range
                 text = value.as_py()
-                count, kept = kept_hashes(text, codes)
+                count, kept = kept_hashes(text)
                 sketch = written(text, count, kept)
                 if before is not None and before[0] == parts[k] and not before[1]:
                     _, _, key, own, own_kept, own_sketch = before
                     half = len(own) // 2
                     edited = own[: len(own) - half] + text[:half]
-                    edited_count, edited_kept = kept_hashes(edited, codes)
+                    edited_count, edited_kept = kept_hashes(edited)
                     edited_sketch = written(edited, edited_count, edited_kept)
                     out.append(
                         (

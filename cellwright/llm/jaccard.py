@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import WordCodes, cut, in_tasks, lowered_words, row_key, shingle_codes, table, word_codes
+from cellwright.llm.common import cut, in_tasks, row_key, shingle_codes, table, utf8, word_codes
 from cellwright.llm.components import components
 
 WIDTH = 5
@@ -36,9 +36,9 @@ SAMPLE_ROWS, FREQUENT_ROWS, FREQUENT_CODES = 8000, 8, 100_000
 SLICE_CLASSES = 1000
 
 
-def text_set(text: str | None, codes: WordCodes, width: int = WIDTH) -> np.ndarray:
-    """The distinct shingle codes of a text, rising."""
-    return np.unique(shingle_codes(word_codes(lowered_words(text or ""), codes), width))
+def text_set(data: bytes, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingle codes of UTF-8 text, rising."""
+    return np.unique(shingle_codes(word_codes(data), width))
 
 
 def class_key(found: np.ndarray) -> int:
@@ -47,9 +47,27 @@ def class_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), seed=len(found)) - (1 << 63)
 
 
-def prefix_length(n: int | np.ndarray):
-    """How many first codes of a set of ``n`` a set that is alike must share one of."""
-    return n - (PART * n + NEED - 1) // NEED + 1
+def spare(n):
+    """How many codes of a set of ``n`` a set that is alike can be without."""
+    return n - (PART * n + NEED - 1) // NEED
+
+
+def asked(n):
+    """How many codes two alike sets share among their first ``spare(n) + asked(n)``, for the smaller ``n`` of theirs.
+
+    More than one, so that documents with only a passage in common are told from near copies by counting.
+    """
+    return np.maximum(1, (spare(n) + 1) // 2)
+
+
+def prefix_length(n):
+    """How many first codes of a set of ``n`` are looked at."""
+    return spare(n) + asked(n)
+
+
+def least_shared(n):
+    """How many of the first codes of a set of ``n`` occur again if any set is alike, which may have 0.8 of its size."""
+    return asked((PART * n + NEED - 1) // NEED)
 
 
 def _signed(codes: np.ndarray) -> np.ndarray:
@@ -195,10 +213,10 @@ def frequent_codes(docs: DataFrame) -> np.ndarray:
     share = min(1_000_000, SAMPLE_ROWS * 1_000_000 // max(count, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), set()
+        seen: set[int] = set()
         for batch in batches:
             for text in batch.column(0):
-                found = text_set(text.as_py(), codes)
+                found = text_set(utf8(text))
                 if class_key(found) in seen:
                     continue  # copies in one task count once
                 seen.add(class_key(found))
@@ -214,11 +232,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(code, key, n): the first codes of the set of every class, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), set()
+        seen: set[int] = set()
         for batch in batches:
             firsts, keys, sizes = [], [], []
             for text in batch.column(0):
-                found = text_set(text.as_py(), codes)
+                found = text_set(utf8(text))
                 key = class_key(found)
                 if not len(found) or key in seen:
                     continue
@@ -227,7 +245,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if len(frequent):
                     spot = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
                     last = frequent[spot] == found
-                n = prefix_length(len(found))
+                n = int(prefix_length(len(found)))
                 firsts.append(np.concatenate([found[~last], found[last]])[:n])
                 keys.append(np.full(n, key, np.int64))
                 sizes.append(np.full(n, len(found), np.int32))
@@ -240,34 +258,55 @@ def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def hubs(firsts: DataFrame) -> DataFrame:
-    """(hub, key): classes that share a code and may be of one size, each with the smallest class there."""
+    """(hub, key): classes that share a code and may be of one size, each with the smallest class there.
+
+    Classes that share too few of their first codes to be like any other are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = key = size = hub = None  # the row before, and the hub of its group
+        last, hub = None, 0  # the row before, and the hub of its group
         for batch in batches:
             if not batch.num_rows:
                 continue
             c, k, n = (batch.column(j).to_numpy().astype(np.int64) for j in range(3))
-            if code is not None:
-                c, k, n = (np.concatenate([[a], b]) for a, b in zip((code, key, size), (c, k, n)))
+            if last is not None:
+                c, k, n = (np.concatenate([[a], b]) for a, b in zip(last, (c, k, n)))
             fresh = np.ones(len(c), bool)
             fresh[1:] = (c[1:] != c[:-1]) | (NEED * n[:-1] < PART * n[1:])  # another code, or a leap in size
+            again = np.zeros(len(c), bool)  # the same class from another task
+            again[1:] = ~fresh[1:] & (k[1:] == k[:-1])
             start = np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))
             head = k[start]
-            if hub is not None:
+            if last is not None:
                 head[start == 0] = hub
-            more = head != k  # rows beside their hub
-            rows = more.copy()
-            if code is not None:
+            rows = (k != head) & ~again
+            if last is not None:
                 rows[0] = False
-            pairs = np.unique(np.column_stack([head[rows], k[rows]]), axis=0)
-            pairs = np.unique(np.concatenate([pairs, np.column_stack([pairs[:, 0], pairs[:, 0]])]), axis=0)
-            code, key, size, hub = int(c[-1]), int(k[-1]), int(n[-1]), int(head[-1])
+            # The hub counts once in a group, with the first other class, which comes right after it.
+            second = np.flatnonzero(rows[1:] & (k[:-1] == head[1:])) + 1
+            pairs = np.concatenate(
+                [np.column_stack([head[rows], k[rows], n[rows]]), np.column_stack([head[second], head[second], n[second - 1]])]
+            )
+            last, hub = (int(c[-1]), int(k[-1]), int(n[-1])), int(head[-1])
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["hub", "key"])
+                pairs, counts = np.unique(pairs, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2]), pa.array(counts)], ["hub", "key", "n", "shared"]
+                )
 
     met = firsts.repartition("code").sortWithinPartitions("code", "n", "key")
-    return in_tasks(met, run, "hub long, key long").distinct()
+    found = in_tasks(met, run, "hub long, key long, n long, shared long").groupBy("hub", "key", "n").agg(F.sum("shared").alias("shared"))
+    return found
+
+
+def likely_members(shared: DataFrame) -> DataFrame:
+    """(hub, key) of classes that share enough of their first codes, in blocks of at least two such classes."""
+    smaller = F.ceil(F.col("n") * PART / NEED)
+    need = F.greatest(F.lit(1), F.floor((smaller - F.ceil(smaller * PART / NEED) + 1) / 2))
+    enough = shared.groupBy("key", "n").agg(F.sum("shared").alias("total")).where(F.col("total") >= need).select("key")
+    likely = shared.select("hub", "key").join(enough, "key")
+    blocks = likely.groupBy("hub").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("hub")
+    return cut(likely.join(blocks, "hub"), "members")
 
 
 def _block_edges(blocks: DataFrame) -> DataFrame:
@@ -278,7 +317,6 @@ def _block_edges(blocks: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         here, keys, roles, sets = None, [], [], []
 
         def settle() -> Iterator[pa.RecordBatch]:
@@ -311,7 +349,7 @@ def _block_edges(blocks: DataFrame) -> DataFrame:
                     here, keys, roles, sets = at[k], [], [], []
                 keys.append(ids[k])
                 roles.append(kinds[k])
-                sets.append(text_set(text.as_py(), codes))
+                sets.append(text_set(utf8(text)))
         yield from settle()
 
     met = blocks.select("hub", "slice", "key", "role", "text").repartition("hub", "slice").sortWithinPartitions("hub", "slice")
@@ -337,16 +375,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for batch in batches:
-            found = [text_set(t.as_py(), codes) for t in batch.column(2)]
+            found = [text_set(utf8(t)) for t in batch.column(2)]
             keys = pa.array([class_key(f) for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array([len(f) for f in found], pa.int64())], ["id", "row", "key", "n"])
 
     light = cut(in_tasks(rows, classify, "id long, row long, key long, n long"), "classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     reps = cut(light.where("n > 0").groupBy("key").agg(first.alias("rep")).select("key", "rep.id", "rep.row"), "reps")
-    members = cut(hubs(prefixes(rows, frequent_codes(rows))), "hubs")
+    members = likely_members(cut(hubs(prefixes(rows, frequent_codes(rows))), "hubs"))
     slices = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SLICE_CLASSES).cast("int").alias("slices"))
     members = members.join(slices, "hub")
     own = F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
