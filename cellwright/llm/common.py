@@ -98,6 +98,14 @@ def word_codes(data: bytes, spans: tuple[np.ndarray, np.ndarray] | None = None)
     return mixed((sums[ends] - sums[starts]) * inverse[starts] ^ mixed((ends - starts).astype(np.uint64)))
 
 
+def ranged_codes(codes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """One code for each run of words ``codes[first:stop]``, the same wherever the run stands."""
+    power, inverse = _powers_to(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    return mixed((sums[stop] - sums[first]) * inverse[first] ^ mixed((stop - first).astype(np.uint64)))
+
+
 def utf8(value: pa.Scalar) -> bytes:
     """The bytes of a text from Arrow; NULL has none."""
     return value.as_buffer().to_pybytes() if value.is_valid else b""

@@ -1,10 +1,13 @@
 """Substring deduplication: paragraph MinHash banding, exact verification, removal by components.
 
-A text is cut into sentences, and a rolling choice over sentence codes joins them into paragraphs, so a passage that is
-pasted into another text gives the same paragraphs there but for its ends. Equal paragraphs are one class. Classes with
-a common band of minimum hashes meet at the first class of the band, and the exact Jaccard index of their word shingles
-decides. Components of what is alike are removed but for their first place, and a removal grows to both sides as long
-as the words before and after agree with those around the place that stays.
+A text is cut into sentences, and a choice by word codes joins them into paragraphs, so a passage that is pasted into
+another text gives the same paragraphs there but for its ends. Equal paragraphs are one class. Classes with a common
+band of minimum hashes meet in a block, where a prefix tree finds all pairs whose word shingles have an exact Jaccard
+index of 0.8. Components of what is alike are removed but for their first place, and a removal grows to both sides as
+long as the words before and after agree with those around the place that stays.
+
+A band that very many classes share (they have a common sentence) is parted by further minimum hashes, on which alike
+paragraphs agree and others do not.
 """
 
 from __future__ import annotations
@@ -17,12 +20,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import cut, in_tasks, mixed, row_key, shingle_codes, table, utf8, word_codes, word_spans
+from cellwright.llm.common import cut, in_tasks, mixed, ranged_codes, row_key, shingle_codes, table, utf8, word_codes, word_spans
 from cellwright.llm.components import components
+from cellwright.llm.jaccard import link_block
 
 WIDTH = 5
-#: Similarity of two paragraphs that are alike: NEED * intersection >= PART * union.
-NEED, PART = 100, 80
 #: Bands of minimum hashes and hashes per band: two paragraphs that are 0.8 alike meet with a chance of 0.994.
 BANDS, ROWS = 5, 2
 #: A paragraph has so many words at least, and then ends after one sentence in ENDS or one word in LONG.
@@ -30,9 +32,13 @@ LEAST_WORDS, ENDS, LONG = 12, 2, 48
 #: Words that must go together for a removal: shorter repeats stay.
 LEAST_REMOVED = 40
 #: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
-AROUND = 80
+AROUND = 48
+#: Classes of a block at most, and how often and by how many hashes a larger one is parted. What is still larger then
+#: agrees in so many minimum hashes that each class is held against the first one, over as many blocks as needed.
+BLOCK_CLASSES, PARTINGS, PART_HASHES = 1000, 4, 3
 
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+_MORE_SEEDS = mixed(np.arange(1001, 1001 + PARTINGS * PART_HASHES, dtype=np.uint64))
 _SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -70,32 +76,24 @@ class Paragraphs:
 def paragraph_keys(found: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the paragraphs that are long enough, and a code of the words of each."""
     long = np.flatnonzero(found.stop - found.first >= LEAST_WORDS)
-    return long, np.array([_key(found.codes[found.first[k] : found.stop[k]]) for k in long], np.int64)
-
-
-def _key(codes: np.ndarray) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(codes.tobytes(), seed=len(codes)) - (1 << 63)
-
-
-def band_codes(codes: np.ndarray) -> np.ndarray:
-    """The bands of a paragraph's words: minimum hashes of its shingles, ROWS to a band."""
-    shingles = np.unique(shingle_codes(codes, WIDTH))
-    least = np.array([mixed(shingles ^ s).min() for s in _SEEDS]).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
+    return long, ranged_codes(found.codes, found.first[long], found.stop[long]).view(np.int64)
+
+
+def band_codes(found: Paragraphs, long: np.ndarray) -> np.ndarray:
+    """The bands of each of the ``long`` paragraphs: minimum hashes of its shingles, ROWS to a band."""
+    shingles = shingle_codes(found.codes, WIDTH)
+    # A paragraph's shingles begin at its words but the last four; between two spans reduceat gives what is not asked for.
+    spans = np.column_stack([found.first[long], found.stop[long] - WIDTH + 1]).ravel()
+    padded = np.append(shingles, np.uint64(0))
+    least = np.empty((len(long), BANDS * ROWS), np.uint64)
+    for k, seed in enumerate(_SEEDS):
+        least[:, k] = np.minimum.reduceat(mixed(padded ^ seed), spans)[::2]
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(long), 1))
     for k in range(ROWS):
-        out = mixed(out ^ least[:, k])
+        out = mixed(out ^ least[:, k::ROWS])
     return out.view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the shingle sets of two rows of word codes are alike, counted exactly."""
-    x, y = (np.unique(shingle_codes(c, WIDTH)) for c in (a, b))
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return NEED * common >= PART * (len(x) + len(y) - common)
-
-
 def _places(rows: DataFrame) -> DataFrame:
     """(id, row, pos, key): every paragraph that is long enough."""
 
@@ -118,119 +116,175 @@ def _places(rows: DataFrame) -> DataFrame:
 
 
 def _bands(rows: DataFrame) -> DataFrame:
-    """(band, key): the bands of every paragraph class, once per task while the task remembers it."""
+    """(bucket, key): bands with at least two classes, and their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[int] = set()  # what repeats inside a task is sent once
         for batch in batches:
             bands, keys = [], []
             for text in batch.column(0):
                 found = Paragraphs(utf8(text))
-                for k, key in zip(*paragraph_keys(found)):
-                    if int(key) not in seen:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        seen.add(int(key))
-                        bands.append(band_codes(found.codes[found.first[k] : found.stop[k]]))
-                        keys.append(np.full(BANDS, key, np.int64))
+                long, own = paragraph_keys(found)
+                fresh = [n for n, key in enumerate(own.tolist()) if key not in seen and not seen.add(key)]
+                if fresh:
+                    bands.append(band_codes(found, long[fresh]).ravel())
+                    keys.append(np.repeat(own[fresh], BANDS))
+            if len(seen) > 1_000_000:
+                seen.clear()
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(keys))], ["band", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(keys))], ["bucket", "key"])
 
-    return in_tasks(rows.select("text"), run, "band long, key long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before, and whether it has been sent
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, key = (batch.column(k).to_numpy() for k in (0, 1))
+            if last is not None:
+                band, key = (np.concatenate([[v], x]) for v, x in zip(last, (band, key)))
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+            near = new.copy()
+            near[0] = False
+            near[1:] &= band[1:] == band[:-1]
+            first = np.zeros(len(band), bool)  # the first class of a band goes with the second
+            first[:-1] = near[1:] & new[:-1] & ~near[:-1]
+            if last is not None:
+                first[0] &= not sent
+            rows = near | first
+            sent = bool(rows[-1]) or (last is not None and sent and not new[1:].any()) or (not new[-1] and bool(rows[np.flatnonzero(new)[-1]]))
+            last = (band[-1], key[-1])
+            if rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(key[rows])], ["bucket", "key"])
+
+    met = in_tasks(rows.select("text"), run, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
+    return in_tasks(met, meet, "bucket long, key long").distinct()
 
 
 def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, row, pos, key, body, before, after): wanted paragraphs as words codes, with codes of the words around."""
+    """(id, row, pos, key, is_head, body, before, after) of wanted places.
+
+    ``body`` has word codes where asked for. ``before`` and ``after`` have codes of the words around: of heads, and
+    where a run of wanted paragraphs ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "row", "pos", "key", "body", "before", "after"]
+        names = ["id", "row", "pos", "key", "is_head", "body", "before", "after"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             ids, keys, places = (batch.column(k).to_pylist() for k in (0, 1, 3))
             for k, text in enumerate(batch.column(2)):
                 found = Paragraphs(utf8(text))
-                codes = found.codes
-                for p in places[k]:
-                    a, b = int(found.first[p["pos"]]), int(found.stop[p["pos"]])
-                    sides = (codes[a:b], codes[max(0, a - AROUND) : a][::-1], codes[b : b + AROUND])
-                    out.append((ids[k], keys[k], p["pos"], p["key"], *(s.tobytes() for s in sides)))
+                short = (found.codes >> np.uint64(32)).astype(np.uint32)
+                there = {p["pos"] for p in places[k]}
+                for p in {p["pos"]: p for p in places[k]}.values():
+                    pos = p["pos"]
+                    a, b = int(found.first[pos]), int(found.stop[pos])
+                    before = short[max(0, a - AROUND) : a][::-1] if p["is_head"] or pos - 1 not in there else short[:0]
+                    after = short[b : b + AROUND] if p["is_head"] or pos + 1 not in there else short[:0]
+                    body = found.codes[a:b].tobytes() if p["is_head"] and p["near"] else None
+                    out.append((ids[k], keys[k], pos, p["key"], p["is_head"], body, before.tobytes(), after.tobytes()))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key")).alias("places"))
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near")).alias("places"))
     lists = lists.select(F.col("id").alias("wanted_id"), F.col("row").alias("wanted_row"), "places")
     joined = rows.join(lists, (F.col("row") == F.col("wanted_row")) & F.col("id").eqNullSafe(F.col("wanted_id")))
-    # Rows equal in id and text are one document.
-    once = joined.select("id", "row", "text", "places")
-    return in_tasks(once, run, "id long, row long, pos int, key long, body binary, before binary, after binary").dropDuplicates(["id", "row", "pos"])
+    schema = "id long, row long, pos int, key long, is_head boolean, body binary, before binary, after binary"
+    return in_tasks(joined.select("id", "row", "text", "places"), run, schema)
 
 
 def _agreement(a: bytes, b: bytes) -> int:
     """How many words agree from the beginning of two rows of codes on."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     n = min(len(x), len(y))
     differ = np.flatnonzero(x[:n] != y[:n])
     return int(differ[0]) if len(differ) else n
 
 
-def _confirmed(pairs: DataFrame) -> DataFrame:
-    """(a, b, alike) of (a, b, body_a, body_b)."""
+def _blocks(bands: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(bucket, slice, key): the blocks in which classes are held against each other."""
+    hashes = "bucket long, key long"
+    left, done = bands, []
+    for level in range(PARTINGS):
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = cut(left.join(sizes, "bucket"), "bands")
+        done.append(sized.where(F.col("n") <= BLOCK_CLASSES).select("bucket", F.lit(0).alias("slice"), "key"))
+        left = sized.where(F.col("n") > BLOCK_CLASSES).select("bucket", "key")
+        if not left.head(1):
+            break
+
+        def part(batches: Iterator[pa.RecordBatch], seeds=_MORE_SEEDS[level * PART_HASHES : (level + 1) * PART_HASHES]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                buckets = []
+                for bucket, body in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(2)):
+                    shingles = shingle_codes(np.frombuffer(body.as_py(), np.uint64), WIDTH)
+                    buckets.append(mixed(np.array([mixed(shingles ^ s).min() ^ s for s in seeds]) ^ bucket))
+                keys = np.repeat(batch.column(1).to_numpy(), PART_HASHES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(keys)], ["bucket", "key"])
+
+        left = in_tasks(left.join(bodies.select("key", "body"), "key").select("bucket", "key", "body"), part, hashes).distinct()
+    else:
+        counted = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("slices"))
+        spread = left.join(counted, "bucket")
+        every = F.sequence(F.lit(0), F.col("slices") - 1)
+        own = F.array(F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+        done.append(spread.select("bucket", F.explode(F.when(F.col("key") == F.col("hub"), every).otherwise(own)).alias("slice"), "key"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "alike"])
 
-    return in_tasks(pairs.select("a", "b", "body_a", "body_b"), run, "a long, b long, alike boolean")
+def _near_classes(bands: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) that span the components of alike classes inside each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, keys, sets = None, [], []
 
+        def settle() -> Iterator[pa.RecordBatch]:
+            _, alike = link_block(sets)
+            if alike:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in alike], pa.int64()), pa.array([keys[b] for _, b in alike], pa.int64())], ["a", "b"])
 
-def _near_classes(bands: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) between different classes that are alike: every class of a band against its first.
+        for batch in batches:
+            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            ids = batch.column(2).to_pylist()
+            for k, body in enumerate(batch.column(3)):
+                if at[k] != here:
+                    yield from settle()
+                    here, keys, sets = at[k], [], []
+                keys.append(ids[k])
+                sets.append(np.unique(shingle_codes(np.frombuffer(body.as_py(), np.uint64), WIDTH)))
+        yield from settle()
 
-    What is not like the first of its band goes on with the first of the rest, until no two are left to be compared.
-    """
-    links, left = None, bands
-    while True:
-        hub = left.groupBy("band").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-        # A band is only of use while two classes are left in it.
-        left = cut(left.join(hub, "band"), "bands")
-        tried = left.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-        one = bodies.select(F.col("key").alias("a"), F.col("body").alias("body_a"))
-        two = bodies.select(F.col("key").alias("b"), F.col("body").alias("body_b"))
-        judged = cut(_confirmed(tried.join(one, "a").join(two, "b")), "judged")
-        found = judged.where("alike").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        missed = judged.where("NOT alike").select(F.col("a").alias("hub"), F.col("b").alias("key"))
-        left = left.join(missed, ["hub", "key"], "left_semi").select("band", "key")
-        if not left.head(1):
-            return links
+    met = _blocks(bands, bodies).join(bodies.select("key", "body"), "key").select("bucket", "slice", "key", "body")
+    return in_tasks(met.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice"), run, "a long, b long").distinct()
 
 
 def find_repeats(rows: DataFrame) -> DataFrame:
     """(id, row, pos, back, forth, kept_id): paragraphs to remove, with the words before and after that go with them."""
-    places = cut(_places(rows).distinct(), "places")
+    places = cut(_places(rows), "places")
     order = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("at"), "row", "pos")
-    classes = cut(places.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    bands = _bands(rows).distinct()
-    met = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    bands = cut(bands.join(met, "band"), "bands")
-    near = bands.select("key").distinct()
+    classes = places.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    bands = cut(_bands(rows), "bands")
+    near = bands.select("key").distinct().withColumn("near", F.lit(True))
     # Texts are looked at again only where a class is repeated or may be near another.
-    repeated = classes.where("n > 1").select("key").unionByName(near).distinct()
-    wanted = places.join(repeated, "key")
+    repeated = classes.join(near, "key", "left").where("n > 1 OR near").select(F.col("key").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    is_head = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
+    wanted = places.join(repeated, F.col("key") == F.col("of")).select("id", "row", "pos", "key", "near", is_head.alias("is_head"))
     shown = cut(_shown(rows, wanted), "shown")
-    heads = shown.join(classes.select(F.col("key").alias("of"), F.col("first.id").alias("i"), F.col("first.row").alias("r"), F.col("first.pos").alias("p")), F.col("key") == F.col("of"))
-    heads = heads.where(F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")) & (F.col("pos") == F.col("p")))
-    bodies = heads.select("key", "body", order.alias("order"), "id", "row", "pos", "before", "after")
-    links = _near_classes(bands, bodies)
+    heads = shown.where("is_head").dropDuplicates(["key"])  # rows equal in id and text show the same head
+    links = _near_classes(bands, heads.where("body IS NOT NULL"))
     named = components(links)
-    grouped = bodies.join(named, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = heads.join(named, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
     # The first place of each component stays.
-    kept = grouped.groupBy("component").agg(F.min(F.struct("order", "id", "row", "pos", "body", "before", "after")).alias("kept"))
+    kept = grouped.groupBy("component").agg(F.min(F.struct(order.alias("order"), "id", "row", "pos", "before", "after")).alias("kept"))
     kept = grouped.select("key", "component").join(kept, "component").select(F.col("key").alias("of"), "kept")
-    removed = shown.join(kept, F.col("key") == F.col("of")).where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("row") == F.col("kept.row")) & (F.col("pos") == F.col("kept.pos"))))
-    removed = removed.select("id", "row", "pos", "key", "before", "after", F.col("kept.before").alias("kept_before"), F.col("kept.after").alias("kept_after"), F.col("kept.id").alias("kept_id"))
+    is_kept = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("row") == F.col("kept.row")) & (F.col("pos") == F.col("kept.pos"))
+    removed = shown.drop("body").join(kept, F.col("key") == F.col("of")).where(~is_kept)
+    removed = removed.select("id", "row", "pos", "before", "after", F.col("kept.before").alias("kept_before"), F.col("kept.after").alias("kept_after"), F.col("kept.id").alias("kept_id"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,8 +292,7 @@ def find_repeats(rows: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(s, pa.int32()) for s in sides), batch.column(7)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "row", "pos", "back", "forth", "kept_id"])
 
-    sized = removed.select("id", "row", "pos", "before", "after", "kept_before", "kept_after", "kept_id")
-    return cut(in_tasks(sized, grow, "id long, row long, pos int, back int, forth int, kept_id long"), "removed")
+    return cut(in_tasks(removed, grow, "id long, row long, pos int, back int, forth int, kept_id long"), "removed")
 
 
 def removed_spans(found: Paragraphs, places: list[dict]) -> list[tuple[int, int, list[int]]]:
@@ -278,7 +331,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = [n for n in docs.columns if n not in ("removed_spans", "kept_in")]
     rows = docs.select(docs[id_col].cast("long").alias("id"), row_key(docs[id_col], docs[text_col]).alias("row"), docs[text_col].alias("text"))
-    gone = find_repeats(rows).groupBy("id", "row").agg(F.collect_list(F.struct("pos", "back", "forth", "kept_id")).alias("places"))
+    gone = find_repeats(rows).groupBy("id", "row").agg(F.collect_set(F.struct("pos", "back", "forth", "kept_id")).alias("places"))
     gone = gone.select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), "places")
     whole = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("id"), row_key(docs[id_col], docs[text_col]).alias("key"))
     joined = whole.join(gone, (F.col("key") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
