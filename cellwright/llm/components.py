@@ -14,6 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every round is a minimum that is reduced before it is shuffled, so a node with very many edges is no heavier than
     others. Rounds go on until no label changes; a chain takes about the logarithm of its length.
     """
+    edges = cut(edges.select("a", "b"), "links")  # what found the links is not run twice
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut(both, "edges")
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")

@@ -32,7 +32,7 @@ LEAST_WORDS, ENDS, LONG = 12, 2, 48
 #: Words that must go together for a removal: shorter repeats stay.
 LEAST_REMOVED = 40
 #: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
-AROUND = 48
+AROUND = 64
 #: Classes of a block at most, and how often and by how many hashes a larger one is parted. What is still larger then
 #: agrees in so many minimum hashes that each class is held against the first one, over as many blocks as needed.
 BLOCK_CLASSES, PARTINGS, PART_HASHES = 1000, 4, 3
@@ -165,7 +165,7 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, row, pos, key, is_head, body, before, after) of wanted places.
 
     ``body`` has word codes where asked for. ``before`` and ``after`` have codes of the words around: of heads, and
-    where a run of wanted paragraphs ends.
+    where a run of paragraphs that surely go ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column(2)):
                 found = Paragraphs(utf8(text))
                 short = (found.codes >> np.uint64(32)).astype(np.uint32)
-                there = {p["pos"] for p in places[k]}
+                there = {p["pos"] for p in places[k] if p["goes"]}
                 for p in {p["pos"]: p for p in places[k]}.values():
                     pos = p["pos"]
                     a, b = int(found.first[pos]), int(found.stop[pos])
@@ -188,7 +188,7 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
 
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near")).alias("places"))
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near", "goes")).alias("places"))
     lists = lists.select(F.col("id").alias("wanted_id"), F.col("row").alias("wanted_row"), "places")
     joined = rows.join(lists, (F.col("row") == F.col("wanted_row")) & F.col("id").eqNullSafe(F.col("wanted_id")))
     schema = "id long, row long, pos int, key long, is_head boolean, body binary, before binary, after binary"
@@ -208,8 +208,11 @@ def _blocks(bands: DataFrame, bodies: DataFrame) -> DataFrame:
     hashes = "bucket long, key long"
     left, done = bands, []
     for level in range(PARTINGS):
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = cut(left.join(sizes, "bucket"), "bands")
+        # Alike classes meet in several bands; of buckets with the same classes one is enough.
+        sums = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
+        once = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+        sized = cut(left.join(once, "bucket"), "bands")
         done.append(sized.where(F.col("n") <= BLOCK_CLASSES).select("bucket", F.lit(0).alias("slice"), "key"))
         left = sized.where(F.col("n") > BLOCK_CLASSES).select("bucket", "key")
         if not left.head(1):
@@ -271,9 +274,11 @@ def find_repeats(rows: DataFrame) -> DataFrame:
     bands = cut(_bands(rows), "bands")
     near = bands.select("key").distinct().withColumn("near", F.lit(True))
     # Texts are looked at again only where a class is repeated or may be near another.
-    repeated = classes.join(near, "key", "left").where("n > 1 OR near").select(F.col("key").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    repeated = classes.join(near, "key", "left").where("n > 1 OR near").select(F.col("key").alias("of"), "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
     is_head = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
-    wanted = places.join(repeated, F.col("key") == F.col("of")).select("id", "row", "pos", "key", "near", is_head.alias("is_head"))
+    wanted = places.join(repeated, F.col("key") == F.col("of")).select(
+        "id", "row", "pos", "key", "near", is_head.alias("is_head"), ((F.col("n") > 1) & ~is_head).alias("goes")
+    )
     shown = cut(_shown(rows, wanted), "shown")
     heads = shown.where("is_head").dropDuplicates(["key"])  # rows equal in id and text show the same head
     links = _near_classes(bands, heads.where("body IS NOT NULL"))
