@@ -116,7 +116,7 @@ def panel_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     treated = first.where(F.col("OCC1950") % 3 == 0)
     cells = cell_propensity(cell_counts(treated, census.CELL_KEYS), cell_counts(first, census.CELL_KEYS), census.CELL_KEYS)
     wide = panel.clean_wide(panel.collect_panel(people))
-    key_sets = {name: panel.PROPENSITIES[name] for name in ("int_prob", "county_intprop", "intprob_AB")}
+    key_sets = panel.PROPENSITIES
     exposed = panel.attach_propensities(wide, cut(cells, "cells"), key_sets)
     sample = panel.estimation_sample(panel.clean_long(exposed))
     return rounded(sample, [*key_sets, "earning_growth"], 6).select(
@@ -237,22 +237,24 @@ ORACLE = {
     "panel_sample": f"""
         WITH {_PEOPLE},
         f AS (SELECT *, {_bin_sql("byr")} AS bg, {_birthplace_group_sql("bpl")} AS pg FROM people WHERE y = 1940),
-        c1 AS (SELECT st, ct, race, sex, bg, pg, {_TREATED} FROM f GROUP BY ALL),
-        c2 AS (SELECT st, ct, race, {_TREATED} FROM f GROUP BY ALL),
-        c3 AS (SELECT st, race, pg, bg, sex, {_TREATED} FROM f GROUP BY ALL),
+        c1 AS (SELECT st, ct, race, {_TREATED} FROM f GROUP BY ALL),
+        c2 AS (SELECT st, ct, {_TREATED} FROM f GROUP BY ALL),
+        c3 AS (SELECT st, race, pg, bg, {_TREATED} FROM f GROUP BY ALL),
+        c4 AS (SELECT st, ct, race, sex, bg, pg, {_TREATED} FROM f GROUP BY ALL),
         a AS (SELECT * FROM f WHERE st IS NOT NULL AND ct IS NOT NULL AND byr < 1926),
         b AS (SELECT * FROM people WHERE y = 1950 AND st IS NOT NULL AND ct IS NOT NULL AND byr < 1926)
         SELECT a.u::VARCHAR AS "HIK", round_even((a.byr + b.byr) / 2.0::DOUBLE, 0)::INT AS birthyr_adj,
                CASE a.sex WHEN 1 THEN 'Male' ELSE 'Female' END AS sex_adj, CASE a.race WHEN 5 THEN 'Japanese' WHEN 4 THEN 'Chinese' END AS race_adj,
                (a.st <> b.st OR a.ct <> b.ct)::INT AS migrate10, a.pg AS bpl_grp, a.bg AS byr_grp,
                round(c1.p + 0.0000000173, 6) AS int_prob, round(c2.p + 0.0000000173, 6) AS county_intprop,
-               round(c3.p + 0.0000000173, 6) AS "intprob_AB",
+               round(c3.p + 0.0000000173, 6) AS "intprob_AB", round(c4.p + 0.0000000173, 6) AS intprob_full,
                round((b.wage - a.wage) / nullif(a.wage, 0) + 0.0000000173, 6) AS earning_growth, {_OCCUPATION} AS occ_grp_1940,
                (b.emp = 1)::INT AS employed_1950, (a.cls = 1)::INT AS selfemp_1940, (b.cls = 2)::INT AS wagewrk_1950,
                1950 - round_even((a.byr + b.byr) / 2.0::DOUBLE, 0)::INT AS age_adj_1950
         FROM a JOIN b ON a.u = b.u
-        LEFT JOIN c1 ON c1.st = a.st AND c1.ct = a.ct AND c1.race = a.race AND c1.sex = a.sex AND c1.bg IS NOT DISTINCT FROM a.bg AND c1.pg = a.pg
-        LEFT JOIN c2 ON c2.st = a.st AND c2.ct = a.ct AND c2.race = a.race
-        LEFT JOIN c3 ON c3.st = a.st AND c3.race = a.race AND c3.pg = a.pg AND c3.bg IS NOT DISTINCT FROM a.bg AND c3.sex = a.sex
+        LEFT JOIN c1 ON c1.st = a.st AND c1.ct = a.ct AND c1.race = a.race
+        LEFT JOIN c2 ON c2.st = a.st AND c2.ct = a.ct
+        LEFT JOIN c3 ON c3.st = a.st AND c3.race = a.race AND c3.pg = a.pg AND c3.bg IS NOT DISTINCT FROM a.bg
+        LEFT JOIN c4 ON c4.st = a.st AND c4.ct = a.ct AND c4.race = a.race AND c4.sex = a.sex AND c4.bg IS NOT DISTINCT FROM a.bg AND c4.pg = a.pg
         WHERE a.wage IS NOT NULL AND b.wage IS NOT NULL AND a.race = b.race AND a.occ IS NOT NULL AND b.occ IS NOT NULL""",
 }

@@ -56,7 +56,11 @@ def expand_term(df: DataFrame, term: Term) -> list[tuple[str, Column]]:
     if isinstance(term, Interact):
         value = F.col(term.column).cast("double")
         return [
-            (f"{term.factor}{level}:{term.column}", F.when(F.col(term.factor) == level, value).otherwise(0.0))
+            (
+                f"{term.factor}{level}:{term.column}",
+                # A missing factor or value stays missing, so that the row is left out of the fit.
+                F.when(F.col(term.factor).isNull() | value.isNull(), F.lit(None).cast("double")).when(F.col(term.factor) == level, value).otherwise(0.0),
+            )
             for level in term.levels
         ]
     kind = df.schema[term].dataType

@@ -51,13 +51,13 @@ def text_match(df: DataFrame, column: str, pattern: str, equal: Mapping[str, obj
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of every key by a unique order. A missing key value is a value of its own.
+    """The first row of every key by a unique order, missing values last. A missing key value is a value of its own.
 
     One aggregate: each task keeps one row per key before the shuffle, so a key with very many copies
     is no heavier than the others.
     """
     rest = [c for c in df.columns if c not in keys]
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    position = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("_first"))
     return picked.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 

@@ -267,7 +267,7 @@ def label_codes(df: DataFrame, labels: DataFrame, columns: Sequence[str], suffix
     on aggregated rows where possible."""
     for column in columns:
         own = labels.where(F.col("variable") == column).select(
-            F.col("code").cast(df.schema[column].dataType).alias("_code"), F.col("label").alias(column + suffix)
+            F.col("code").try_cast(df.schema[column].dataType).alias("_code"), F.col("label").alias(column + suffix)
         )
         df = lookup_join(df, own, {column: "_code"}, null_safe=False, measure=True)
     return df

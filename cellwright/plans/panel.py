@@ -73,11 +73,11 @@ def coarse_keys() -> dict[str, tuple[str, Column]]:
     }
 
 
-# Key sets of the four named propensities.
+# Key sets of the four named propensities. A county is told by state and county code together.
 PROPENSITIES = {
-    "int_prob": ["STATEFIP", "COUNTYICP", "RACE", "SEX", "BIRTHYR", "BPL"],
-    "county_intprop": ["STATEFIP", "COUNTYICP", "RACE"],
-    "intprob_AB": ["STATEFIP", "RACE", "BPL", "BIRTHYR", "SEX"],
+    "int_prob": ["STATEFIP", "COUNTYICP", "RACE"],
+    "county_intprop": ["STATEFIP", "COUNTYICP"],
+    "intprob_AB": ["STATEFIP", "RACE", "BPL", "BIRTHYR"],
     "intprob_full": ["STATEFIP", "COUNTYICP", "RACE", "SEX", "BIRTHYR", "BPL"],
 }
 

@@ -43,7 +43,7 @@ AGE_COHORTS = [
     (1923, 1928, "14-19"),
     (1913, 1922, "20-29"),
     (1903, 1912, "30-39"),
-    (1893, 1902, "40-59"),
+    (1893, 1902, "40-49"),
     (1883, 1892, "50-59"),
     (None, 1882, "60+"),
 ]

@@ -126,7 +126,7 @@ def test_panel_from_long_rows_to_sample(spark):
     cells = spark.createDataFrame([(6, 10, 5, 1, 1903, 501, 3, 4), (6, 10, 4, 2, 1910, 6, 0, 5)], "STATEFIP int, COUNTYICP int, RACE int, SEX int, BIRTHYR int, BPL int, n_treated int, n_population int")
     exposed = panel.attach_propensities(wide, cells)
     got = {r["HIK"]: r for r in exposed.collect()}
-    assert got["a"]["int_prob"] == 0.75 and got["a"]["county_intprop"] == 0.75 and got["b"]["int_prob"] == 0.0 and got["c"]["int_prob"] is None
+    assert got["a"]["int_prob"] == 0.75 and got["a"]["county_intprop"] == 3 / 9 and got["b"]["int_prob"] == 0.0 and got["c"]["int_prob"] is None
     long = panel.clean_long(exposed)
     assert long.count() == 2 * wide.count()
     a = {r["YEAR"]: r for r in long.where("HIK = 'a'").collect()}
