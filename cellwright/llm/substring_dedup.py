@@ -28,7 +28,7 @@ WIDTH = 5
 #: Bands of minimum hashes and hashes per band: two paragraphs that are 0.8 alike meet with a chance of 0.994.
 BANDS, ROWS = 5, 2
 #: A paragraph has so many words at least, and then ends after one sentence in ENDS or one word in LONG.
-LEAST_WORDS, ENDS, LONG = 12, 2, 48
+LEAST_WORDS, ENDS, LONG = 8, 2, 24
 #: Words that must go together for a removal: shorter repeats stay.
 LEAST_REMOVED = 40
 #: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
