@@ -32,7 +32,7 @@ LEAST_WORDS, ENDS, LONG = 8, 2, 24
 #: Words that must go together for a removal: shorter repeats stay.
 LEAST_REMOVED = 40
 #: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
-AROUND = 64
+AROUND = 48
 #: Classes of a block at most, and how often and by how many hashes a larger one is parted. What is still larger then
 #: agrees in so many minimum hashes that each class is held against the first one, over as many blocks as needed.
 BLOCK_CLASSES, PARTINGS, PART_HASHES = 1000, 4, 3
@@ -158,7 +158,7 @@ def _bands(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(key[rows])], ["bucket", "key"])
 
     met = in_tasks(rows.select("text"), run, "bucket long, key long").repartition("bucket").sortWithinPartitions("bucket", "key")
-    return in_tasks(met, meet, "bucket long, key long").distinct()
+    return in_tasks(met, meet, "bucket long, key long")
 
 
 def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
