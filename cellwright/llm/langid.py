@@ -138,13 +138,13 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         for batch in batches:
             for text, lang, key in zip(*batch.columns):
                 at, counts = bucket_counts(words_of(text.as_py()))
-                columns = [pa.array([lang.as_py()]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
+                columns = [pa.array([lang.as_py()]), pa.array([at.astype("<i4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([key.as_py()], pa.string())], ["lang", "buckets", "counts", "key"])
 
-    counted = in_tasks(chosen.select("text", "lang", "key"), run, "lang string, buckets array<int>, counts array<long>, key string")
+    counted = in_tasks(chosen.select("text", "lang", "key"), run, "lang string, buckets binary, counts binary, key string")
     found = counted.groupBy("key").agg(F.min(F.struct("lang", "buckets", "counts")).alias("row")).select("row.*").collect()
-    rows = sorted((r["lang"], r["buckets"], r["counts"]) for r in found)
-    return train([(lang, np.array(at, np.int64), np.array(n, float)) for lang, at, n in rows])
+    rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
+    return train([(lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(float)) for lang, at, n in rows])
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
