@@ -23,7 +23,7 @@ from cellwright.llm.common import cut, in_tasks, table
 #: Vectors to fit the trees on, about (at most twice as many); trees; vectors per leaf, about; levels at most.
 SAMPLE_ROWS, TREES, LEAF_ROWS, MOST_LEVELS = 20_000, 4, 400, 6
 #: Share of the leaves of the forest that a query visits. Recall on vectors without structure needs this much.
-VISIT = 0.3
+VISIT = 0.34
 #: Entries of a leaf that are scored in one block.
 BLOCK_ROWS = 8192
 NEIGHBOURS, EVERY = 20, 20
