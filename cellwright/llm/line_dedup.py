@@ -4,7 +4,7 @@ A rolling hash over the hashes of two neighbouring lines says where a chunk ends
 only the boundaries around it. Chunks of several lines that occur again anywhere are removed, but for the first one.
 Hashes find the candidates; a chunk goes only if its bytes are those of the first.
 
-Only hashes and positions of chunks are grouped. The texts are shuffled by row, never by what repeats in them.
+Only hashes and positions of chunks are grouped. The texts are shuffled by row and once, never by what repeats in them.
 """
 
 from __future__ import annotations
@@ -75,20 +75,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = light.withColumn("place", place).join(firsts, ["h1", "h2"])
     # What each document has to show: its repeated chunks, and whether each is the first of its kind.
     shown = again.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "h1", "h2", (F.col("place") == F.col("first")).alias("is_first"))).alias("shown"))
-    # Only documents with a repeated chunk are looked at again.
-    texts = rows.select("id", "key", "text").join(shown.select(F.col("id").alias("i"), F.col("key").alias("k"), "shown"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
-    bodies = texts.select("id", "key", "shown", chunks(F.col("text")).alias("all")).select("id", "key", "all", F.inline("shown"))
+    # The texts are shuffled once, to learn what each has to show. From here on only documents with a repeated chunk move.
+    shown = shown.select(F.col("id").alias("i"), F.col("key").alias("k"), "shown")
+    met = rows.drop("text").join(shown, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    met = cut(met.select("row", "id", "key", "shown"), "met")
+    text = F.col("row").getField(text_col)
+    bodies = met.where(F.col("shown").isNotNull()).select("id", "key", "shown", chunks(text).alias("all")).select("id", "key", "all", F.inline("shown"))
     bodies = bodies.select("id", "key", "pos", "h1", "h2", "is_first", F.get("all", F.col("pos"))["chunk"].alias("chunk"))
     bodies = cut(bodies, "bodies")
     kept = bodies.where("is_first").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("chunk").alias("kept")).dropDuplicates(["f1", "f2"])
     others = bodies.where("NOT is_first")
     confirmed = others.join(kept, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(F.col("chunk") == F.col("kept"))
     gone = cut(confirmed.groupBy("id", "key").agg(F.collect_set("pos").alias("gone")), "gone")
-    marked = rows.join(gone.select(F.col("id").alias("i"), F.col("key").alias("k"), "gone"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    left = F.filter(F.transform(chunks(F.col("text")), lambda c, k: F.when(~F.array_contains("gone", k), c["chunk"])), lambda c: c.isNotNull())
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    others = [F.col("row").getField(n).alias(n) if n != text_col else text.alias(n) for n in names if n != "removed_chunks"]
-    return marked.select(*others, F.coalesce(F.size("gone"), F.lit(0)).alias("removed_chunks"))
+    gone = gone.select(F.col("id").alias("i"), F.col("key").alias("k"), "gone")
+    changed = met.where(F.col("shown").isNotNull()).join(gone, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    left = F.filter(F.transform(chunks(text), lambda c, k: F.when(~F.array_contains("gone", k), c["chunk"])), lambda c: c.isNotNull())
+    shorter = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    whole = [n for n in names if n != "removed_chunks"]
+
+    def out(rows: DataFrame, body: Column, removed: Column) -> DataFrame:
+        columns = [body.alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in whole]
+        return rows.select(*columns, removed.cast("int").alias("removed_chunks"))
+
+    same = out(met.where(F.col("shown").isNull()), text, F.lit(0))
+    return same.union(out(changed, shorter, F.coalesce(F.size("gone"), F.lit(0))))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
