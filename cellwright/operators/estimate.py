@@ -26,7 +26,6 @@ from cellwright.session import cut
 MAX_SEGMENTS = 10_000
 PIVOT_TOLERANCE = 1e-10
 DEMEAN_TOLERANCE = 1e-9
-DEMEAN_ROUNDS = 500
 
 
 @dataclass
@@ -154,14 +153,16 @@ def _moment_cells(rows: DataFrame, by: Sequence[str], z: Sequence[str]) -> DataF
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(a).alias(f"s_{a}") for a in z], *products)
 
 
-def _sweep_factors(cells: DataFrame, segment: Sequence[str], factors: Sequence[str], z: Sequence[str]) -> DataFrame:
+def _sweep_factors(
+    cells: DataFrame, segment: Sequence[str], factors: Sequence[str], z: Sequence[str], most_rounds: int
+) -> DataFrame:
     """Add ``r_<z>``: the sums left in each cell after the factors' means are taken out.
 
     One factor needs one pass. With several, each in turn has its level means removed until none moves by
     more than the tolerance. The passes run over cells, not rows.
     """
     cells = cells.withColumns({f"r_{a}": F.col(f"s_{a}") for a in z})
-    rounds = 1 if len(factors) == 1 else DEMEAN_ROUNDS
+    rounds = 1 if len(factors) == 1 else most_rounds
     for step in range(rounds):
         moved = 0.0
         for factor in factors:
@@ -238,12 +239,14 @@ def linear_models(
     vcov: str = "iid",
     cluster: str | None = None,
     segment: Sequence[str] = (),
+    most_rounds: int = 500,
 ) -> dict[str, list[Fit]]:
     """Fit several linear models on one table, each on every segment.
 
     ``models`` maps a name to (outcome, terms). ``absorb`` lists fixed-effect factors, ``vcov`` is 'iid',
     'hc1' or 'cluster'. Rows with a missing value in any column of a model are left out. Models that use the
-    same rows share one pass over the table; the others get a pass each.
+    same rows share one pass over the table; the others get a pass each. Several factors that have not settled
+    after ``most_rounds`` sweeps are an error, as is a table without a complete row.
     """
     if vcov not in ("iid", "hc1", "cluster") or (vcov == "cluster") != (cluster is not None):
         raise ValueError("vcov is 'iid', 'hc1', or 'cluster' with a cluster column")
@@ -258,17 +261,19 @@ def linear_models(
     if len(models) > 1 and not _same_rows(df, models, keys):
         fits: dict[str, list[Fit]] = {}
         for name, model in models.items():
-            fits.update(linear_models(df, {name: model}, absorb, vcov, cluster, segment))
+            fits.update(linear_models(df, {name: model}, absorb, vcov, cluster, segment, most_rounds))
         return fits
 
     columns = _Columns(df, named, keys)
+    if not columns.n:
+        raise ValueError(f"no row is complete in the columns of {list(models)}")
     z = [columns.short[n] for n in columns.names]
     cells = _moment_cells(columns.rows, keys, z)
     swept = bool(absorb)
     if swept or cluster:
         cells = cut(cells, "moments")
     if swept:
-        cells = cut(_sweep_factors(cells, segment, absorb, z), "swept")
+        cells = cut(_sweep_factors(cells, segment, absorb, z, most_rounds), "swept")
     products, order = _within_products(cells, z, swept)
     pairs = [f"p_{a}_{b}" for i, a in enumerate(order) for b in order[i:]]
     sums = [F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in pairs]]
@@ -531,7 +536,8 @@ def logit(
     """Logistic regression by Newton steps, each one aggregate over the table.
 
     The needed columns are written once, as they are read in every step. If some combination of regressors
-    tells the outcomes apart fully there is no finite estimate, and this raises an error.
+    tells the outcomes apart fully there is no finite estimate, and this raises an error, as does a fit that has
+    not settled after ``max_steps`` steps.
     """
     keys = [cluster] if cluster else []
     expanded = dict(expand_terms(df, terms))
@@ -567,7 +573,7 @@ def logit(
         if done:
             break
         b = b + np.linalg.solve(hessian, np.array([float(found[f"d_{i}"]) for i in range(len(used))]))
-        if not np.all(np.isfinite(b)) or np.max(np.abs(b)) > 1e3 or deviance < 1e-8 * n:
+        if not np.all(np.isfinite(b)) or deviance < 1e-8 * n:
             raise RuntimeError("the regressors separate the outcomes; there is no finite estimate")
     else:
         raise RuntimeError(f"no convergence in {max_steps} steps; the outcomes may be separated")

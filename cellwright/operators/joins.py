@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio
+from cellwright.session import cut
 
 # Below the session's own broadcast threshold the planner sends a lookup to every executor by itself. A
 # lookup of unknown size, such as rows given by the user, is sent once it was counted within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-# A key with more rows than this is spread over SALTS tasks; at most HOT_KEYS keys are treated so,
-# the others join in the plain way.
+# A key with more rows than this is spread over SALTS tasks. There are at most rows / HOT_ROWS such keys.
 HOT_ROWS = 5_000_000
-HOT_KEYS = 10_000
 SAMPLE_HITS = 2_000
 SALTS = 256
 
@@ -28,29 +27,37 @@ def key_match(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return reduce(lambda x, y: x & y, tests)
 
 
+def generates(df: DataFrame) -> bool:
+    """Whether the plan of a table holds a generator, which the planner's size estimate leaves out."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(line.lstrip(" :+-").startswith("Generate ") for line in plan.splitlines())
+
+
 def planned_small(lookup: DataFrame) -> bool:
     """Whether the planner's size estimate of a table lies under the session's broadcast threshold.
 
-    The estimate rests on file sizes and only grows through joins and aggregates, so it does not take a
-    large table for a small one.
+    The estimate rests on file sizes. It does not grow through a generator such as ``explode``, so a table
+    that has one in its plan never counts as small.
     """
+    if generates(lookup):
+        return False
     plan = lookup._jdf.queryExecution().optimizedPlan()
     threshold = lookup.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(str(plan.stats().sizeInBytes())) <= int(threshold)
 
 
 def within_broadcast(lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Count the rows and bytes of a table, reading at most ``rows + 1`` of it."""
+    """Count the rows and bytes of a table, in one aggregate over all of it."""
     width = reduce(
         lambda x, y: x + y,
         [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(8) for c in lookup.columns],
     )
-    seen = lookup.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("size")).first()
+    seen = lookup.agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("size")).first()
     return seen["n"] <= rows and (seen["size"] or 0) <= size
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """The keys that about ``hot_rows`` rows or more share, or None. At most HOT_KEYS rows are brought back.
+    """The keys that about ``hot_rows`` rows or more share, as a written table, or None where there are none.
 
     Only the key columns are read, and a sample of them is counted that holds some thousand rows of any
     such key. The sample decides how rows are spread over tasks, never which rows are joined.
@@ -59,10 +66,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) ->
     fraction = min(1.0, SAMPLE_HITS / hot_rows)
     seen = df.select(*keys) if fraction == 1.0 else df.select(*keys).sample(fraction=fraction, seed=1)
     counted = seen.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows * fraction)
-    top = counted.orderBy(F.desc("_rows")).limit(HOT_KEYS)
-    schema = top.select(*keys).schema
-    rows = [tuple(row[k] for k in keys) for row in top.collect()]
-    return df.sparkSession.createDataFrame(rows, schema) if rows else None
+    found = cut(counted.select(*keys), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def lookup_join(
@@ -108,6 +113,9 @@ def lookup_join(
         return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
     if measure and within_broadcast(lookup):
         return df.join(F.broadcast(lookup), key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
+    if generates(lookup):
+        # Without this the planner would send it to every executor on an estimate that is far too low.
+        lookup = lookup.hint("merge")
     often = hot_keys(sample_from or df, [a for a, _ in pairs], hot_rows) if hot == "sample" else None
     if often is None:
         return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
@@ -115,13 +123,16 @@ def lookup_join(
     marks = often.withColumnsRenamed({a: f"_h{i}" for i, (a, _) in enumerate(pairs)}).withColumn("_hot", F.lit(True))
     left_marks = [(a, f"_h{i}") for i, (a, _) in enumerate(pairs)]
     right_marks = [(k, f"_h{i}") for i, k in enumerate(right_keys)]
-    # The salt follows the input split, so a task that runs again gives the same salts.
-    spread = F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    # The salt follows the row and its partition: rows of one key spread also where they came in one partition, equal
+    # rows where they came in several, and a task that runs again gives the same salts.
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    spread = F.when(F.col("_hot"), salt).otherwise(F.lit(0))
     drop_marks = [h for _, h in left_marks] + ["_hot"]
-    left = df.join(F.broadcast(marks), key_match(df, marks, left_marks), "left")
+    left = df.join(marks, key_match(df, marks, left_marks), "left")
     left = left.withColumn("_salt", spread).drop(*drop_marks)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(F.broadcast(marks), key_match(lookup, marks, right_marks), "left")
+    right = lookup.join(marks, key_match(lookup, marks, right_marks), "left")
     right = right.withColumn("_copy", F.explode(copies)).drop(*drop_marks)
     condition = key_match(left, right, renamed, null_safe) & (left["_salt"] == right["_copy"])
     return left.join(right, condition, how).drop("_salt", "_copy", *right_keys)

@@ -30,8 +30,16 @@ DUPLICATE_KEYS = ["ind_number", "file_no", "first_name", "last_name"]
 
 
 def read_card_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Card lines with ``card_order``: the order of the lines in the file."""
-    return spark.read.text(path).withColumn("card_order", F.monotonically_increasing_id())
+    """Card lines with ``card_order``: by file name, place of the split in its file, and line in the split.
+
+    The row id alone would not do: Spark reads large splits first, whatever their names.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return spark.read.text(path).select("value", place.alias("card_order"))
 
 
 def cut_cards(lines: DataFrame) -> DataFrame:

@@ -35,6 +35,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether data files lie in the folder ``path``; what a failed write leaves, in hidden names, does not count."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(folder) and any(f.getPath().getName()[0] not in "._" for f in files.listStatus(folder))
+
+
 def load_table(
     df: DataFrame, path: str, replace: bool = False, keep: Sequence[tuple[str, Sequence]] = ()
 ) -> tuple[DataFrame, int | None]:
@@ -42,11 +49,14 @@ def load_table(
 
     A finished table is kept unless ``replace``; the count is then None. Rows are counted while they
     are written. ``keep`` lists (column, values) filters, which hold for every row. The write commits
-    as a whole, so a failed load leaves no table behind.
+    as a whole, so a failed load leaves no table behind. Without ``replace``, a folder that holds files but no
+    mark of a finished write is an error: nothing in it is deleted.
     """
     spark = df.sparkSession
     if path_exists(spark, path) and not replace:
         return spark.read.parquet(path), None
+    if not replace and holds_files(spark, path):
+        raise FileExistsError(f"{path} holds files without a mark of a finished write; name replace=True to overwrite them")
     for column, values in keep:
         df = df.where(F.col(column).isin(list(values)))
     seen = Observation("load")
@@ -54,12 +64,18 @@ def load_table(
     return spark.read.parquet(path), seen.get["rows"]
 
 
-def load_catalog_table(df: DataFrame, name: str, replace: bool = False) -> DataFrame:
+def load_catalog_table(
+    df: DataFrame, name: str, replace: bool = False, keep: Sequence[tuple[str, Sequence]] = ()
+) -> tuple[DataFrame, int | None]:
     """As ``load_table``, for a table of the session catalog."""
     spark = df.sparkSession
-    if replace or not spark.catalog.tableExists(name):
-        df.write.mode("overwrite").saveAsTable(name)
-    return spark.table(name)
+    if spark.catalog.tableExists(name) and not replace:
+        return spark.table(name), None
+    for column, values in keep:
+        df = df.where(F.col(column).isin(list(values)))
+    seen = Observation("load")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
+    return spark.table(name), seen.get["rows"]
 
 
 def write_labelled_csv(df: DataFrame, path: str, labels: DataFrame | None = None, columns: Sequence[str] = ()) -> None:

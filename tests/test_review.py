@@ -61,3 +61,54 @@ def test_every_level_of_a_crosstab_counts(spark):
 
     found = QUERIES["crosstab_total_topk"](spark, "/root/testdata/sf0.001").collect()
     assert found and all(sum(r[s] for s in SEGMENTS) == r["total"] for r in found)
+
+
+def test_salt_spreads_a_key_that_came_in_one_partition(spark):
+    from cellwright.operators import joins
+
+    units = spark.range(4000).selectExpr("id", "1 AS k").repartition(8, "k")
+    lookup = spark.createDataFrame([(1, "v")], "k int, v string")
+    joined = joins.lookup_join(units, lookup, ["k"], hot_rows=20, use_estimate=False)
+    assert joined.count() == 4000 and joined.where("v = 'v'").count() == 4000
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64" in plan and joined.columns == ["id", "k", "v"]
+
+
+def test_exploded_lookup_is_not_taken_for_small(spark):
+    from cellwright.operators import joins
+
+    grown = spark.createDataFrame([(1,)], "k int").selectExpr("explode(sequence(1, 50000)) AS k", "'x' AS v").where("k > 5")
+    assert not joins.planned_small(grown)
+    units = spark.range(100).selectExpr("id", "CAST(id AS INT) AS k")
+    joined = joins.lookup_join(units, grown, ["k"], hot=None)
+    assert joined.where("v = 'x'").count() == 94
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_deletes_nothing_without_replace(spark, tmp_path):
+    from cellwright.sources import tables
+
+    path = tmp_path / "t"
+    tables.load_table(spark.range(5), str(path))
+    (path / "_SUCCESS").unlink()
+    with pytest.raises(FileExistsError):
+        tables.load_table(spark.range(3), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+    assert tables.load_table(spark.range(3), str(path), replace=True)[1] == 3
+
+
+def test_fit_without_a_complete_row(spark):
+    from cellwright.operators.estimate import ols
+
+    df = spark.createDataFrame([(1.0, None), (None, 2.0)], "y double, x double")
+    with pytest.raises(ValueError, match="complete"):
+        ols(df, "y", ["x"])
+
+
+def test_lines_of_two_files_keep_the_order_of_the_files(spark, tmp_path):
+    from cellwright.plans.register import read_card_lines
+
+    (tmp_path / "a.txt").write_text("a1\na2\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i:04}\n" for i in range(5000)))
+    lines = [r["value"] for r in read_card_lines(spark, str(tmp_path)).orderBy("card_order").collect()]
+    assert lines == ["a1", "a2", *[f"b{i:04}" for i in range(5000)]]
