@@ -9,7 +9,6 @@ so is the score below which a prediction is rejected.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import held_out, in_tasks, table
+from cellwright.llm.common import held_out, in_tasks, mixed, ranged_codes, table
 
 #: Labelled documents to train on, about, and their share for calibration.
 SAMPLE_ROWS, CALIBRATION = 4000, 0.25
@@ -36,28 +35,39 @@ def words_of(text: str | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of the word and of its runs of two to four letters, its ends marked."""
-    marked = f"<{word}>"
-    parts = [marked, *(marked[k : k + n] for n in (2, 3, 4) for k in range(len(marked) - n + 1))]
-    return np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts], np.int64) & (BUCKETS - 1)
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its runs of two to four letters, its ends marked, and the number of the word of each."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    stop, number = lengths.cumsum(), np.arange(len(words))
+    of = np.repeat(number, lengths)
+    left = np.repeat(stop, lengths) - np.arange(len(letters))  # letters of the word from here on
+    codes, owners = [ranged_codes(letters, stop - lengths, stop)], [number]
+    run = mixed(letters)
+    for n in (2, 3, 4):
+        run = mixed(run[:-1] ^ letters[n - 1 :])
+        whole = left[: len(run)] >= n
+        codes.append(run[whole])
+        owners.append(of[: len(run)][whole])
+    return (np.concatenate(codes) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners)
 
 
 class WordRows(dict):
-    """Sums of ``table`` rows over a word's subwords and their number, by word, in one growing array."""
+    """Sums of ``table`` rows over a word's subwords and their number, by word, in one array that is emptied when full."""
 
     def __init__(self, table: np.ndarray, limit: int = 300_000):
         super().__init__()
         self.table, self.limit = table, limit
         self.rows = np.zeros((limit, table.shape[1] + 1))
 
-    def __missing__(self, word: str) -> int:
-        buckets = subwords(word)
-        at = len(self)
-        self.rows[at, :-1] = self.table[buckets].sum(0)
-        self.rows[at, -1] = len(buckets)
-        self[word] = at
-        return at
+    def learn(self, words: list[str]) -> None:
+        """Add words that are not yet here."""
+        buckets, owners = subwords(words)
+        at, n = len(self), len(words)
+        for k in range(self.table.shape[1]):
+            self.rows[at : at + n, k] = np.bincount(owners, self.table[buckets, k], n)
+        self.rows[at : at + n, -1] = np.bincount(owners, minlength=n)
+        self.update(zip(words, range(at, at + n)))
 
     def mean(self, words: list[str]) -> np.ndarray:
         """The mean of the table rows over all subwords of ``words``."""
@@ -66,15 +76,19 @@ class WordRows(dict):
             part = words[start : start + self.limit // 4]
             if len(self) + len(part) > self.limit:
                 self.clear()
+            unseen = [w for w in dict.fromkeys(part) if w not in self]
+            if unseen:
+                self.learn(unseen)
             total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(0)
         return total[:-1] / max(total[-1], 1.0)
 
 
 def bucket_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all subwords and how often each occurs."""
+    often = Counter(words)
+    buckets, owners = subwords(list(often))
     counts = np.zeros(BUCKETS, np.int64)
-    for word, n in Counter(words).items():
-        np.add.at(counts, subwords(word), n)
+    np.add.at(counts, buckets, np.fromiter(often.values(), np.int64, len(often))[owners])
     at = np.flatnonzero(counts)
     return at, counts[at]
 
