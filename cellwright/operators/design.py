@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-# A text regressor with more levels than this belongs in ``absorb``.
-MAX_LEVELS = 500
-
 
 @dataclass(frozen=True)
 class Square:
@@ -41,10 +38,9 @@ def source_columns(term: Term) -> list[str]:
 
 
 def text_levels(df: DataFrame, column: str) -> list[str]:
-    """Sorted levels of a text column."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels; absorb it instead")
+    """Sorted levels of a text column. Each but the first becomes a column of the model, so that long lists of levels
+    are better absorbed."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in found)
 
 

@@ -17,13 +17,13 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from cellwright.functions.tails import f_upper, normal_two_sided, t_two_sided
 from cellwright.operators.design import Term, expand_terms, source_columns
 from cellwright.operators.joins import lookup_join
 from cellwright.session import cut
 
-MAX_SEGMENTS = 10_000
 PIVOT_TOLERANCE = 1e-10
 DEMEAN_TOLERANCE = 1e-9
 
@@ -161,6 +161,18 @@ def _sweep_factors(
     One factor needs one pass. With several, each in turn has its level means removed until none moves by
     more than the tolerance. The passes run over cells, not rows.
     """
+    if len(factors) > 1:
+        # The rounds carry keys, counts and remainders alone; the products of the cells meet the outcome once.
+        keys = [c for c in cells.columns if c != "n" and not c.startswith(("s_", "p_"))]
+        narrow = cells.select(*keys, "n", *[f"s_{a}" for a in z])
+        settled = _sweep_rounds(narrow, segment, factors, z, most_rounds).select(*keys, *[f"r_{a}" for a in z])
+        return lookup_join(cells, settled, keys, hot=None)
+    return _sweep_rounds(cells, segment, factors, z, most_rounds)
+
+
+def _sweep_rounds(
+    cells: DataFrame, segment: Sequence[str], factors: Sequence[str], z: Sequence[str], most_rounds: int
+) -> DataFrame:
     cells = cells.withColumns({f"r_{a}": F.col(f"s_{a}") for a in z})
     rounds = 1 if len(factors) == 1 else most_rounds
     for step in range(rounds):
@@ -206,7 +218,7 @@ def _within_products(cells: DataFrame, z: Sequence[str], swept: bool) -> tuple[D
 def _factor_sizes(cells: DataFrame, segment: Sequence[str], factors: Sequence[str]) -> dict[tuple, dict[str, int]]:
     sizes = cells.groupBy(*segment).agg(*[F.count_distinct(f).alias(f"_l_{f}") for f in factors])
     return {
-        tuple(r[s] for s in segment): {f: r[f"_l_{f}"] for f in factors} for r in sizes.limit(MAX_SEGMENTS + 1).collect()
+        tuple(r[s] for s in segment): {f: r[f"_l_{f}"] for f in factors} for r in sizes.toLocalIterator()
     }
 
 
@@ -225,13 +237,6 @@ def _nested_factors(cells: DataFrame, segment: Sequence[str], factors: Sequence[
     return nested
 
 
-def _segment_test(segment: Sequence[str], values: Sequence) -> Column:
-    test = F.lit(True)
-    for name, value in zip(segment, values):
-        test = test & (F.col(name) == F.lit(value))
-    return test
-
-
 def linear_models(
     df: DataFrame,
     models: Mapping[str, tuple[str, Sequence[Term]]],
@@ -278,10 +283,8 @@ def linear_models(
     pairs = [f"p_{a}_{b}" for i, a in enumerate(order) for b in order[i:]]
     sums = [F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in pairs]]
     sums += [F.sum(f"s_{a}").alias(f"s_{a}") for a in z] + [F.sum(f"raw_{a}").alias(f"raw_{a}") for a in z]
-    totals = products.groupBy(*segment).agg(*sums).limit(MAX_SEGMENTS + 1).collect()
-    if len(totals) > MAX_SEGMENTS:
-        raise ValueError(f"more than {MAX_SEGMENTS} segments")
-    sizes = _factor_sizes(cells, segment, absorb) if swept else {}
+    totals = list(products.groupBy(*segment).agg(*sums).toLocalIterator())
+    sizes =_factor_sizes(cells, segment, absorb) if swept else {}
     nested = _nested_factors(cells, segment, absorb, cluster) if swept and cluster else set()
 
     solved = []
@@ -338,13 +341,13 @@ def _solve(row, columns: _Columns, order: Sequence[str], outcome: str, terms: Se
     return used, b, bread, rss
 
 
-def _score(used: Sequence[str], y: str, b: Sequence[float], order: Sequence[str]) -> list[Column]:
+def _score(regressors: Sequence[str], y: str, b: Sequence[Column], order: Sequence[str]) -> list[Column]:
     """Sum of regressor times residual over the rows of a cell or cluster."""
     scores = []
-    for a in used:
+    for a in regressors:
         term = F.col(_pair(a, y, order))
-        for other, value in zip(used, b):
-            term = term - F.col(_pair(a, other, order)) * F.lit(float(value))
+        for other, value in zip(regressors, b):
+            term = term - F.col(_pair(a, other, order)) * value
         scores.append(term)
     return scores
 
@@ -385,20 +388,40 @@ def _meats(solved, vcov, cluster, segment, absorb, columns, products, cells, ord
             base = lookup_join(base, effects, keys)
             base = base.withColumns({a: F.col(a) - F.col(f"_t_{a}") for a in z}).drop(*effect)
         base = base.withColumn("one", F.lit(1.0))
+    # One job per model serves all its segments: each row or cluster meets the coefficients of its segment.
+    of_model: dict[str, list[int]] = {}
+    for index, (name, *_) in enumerate(solved):
+        of_model.setdefault(name, []).append(index)
     meats = {}
-    for index, (_, outcome, _, row, used, b, _, _) in enumerate(solved):
+    for indexes in of_model.values():
+        _, outcome, terms, *_ = solved[indexes[0]]
         y = columns.short[outcome]
-        rows = base.where(_segment_test(segment, [row[s] for s in segment])) if segment else base
+        regressors = ([] if swept else ["one"]) + [columns.short[t] for t in terms]
+        vectors = {}
+        for index in indexes:
+            row, used, b = solved[index][3:6]
+            by_name = dict(zip(used, map(float, b)))
+            vectors[index] = [by_name.get(a, 0.0) for a in regressors]
+        if segment:
+            kinds = [base.schema[s] for s in segment]
+            schema = StructType([*kinds, StructField("_b", ArrayType(DoubleType())), StructField("_fit", LongType())])
+            table = [(*(solved[i][3][s] for s in segment), vectors[i], i) for i in indexes]
+            rows = lookup_join(base, base.sparkSession.createDataFrame(table, schema), segment, "inner")
+            by, values = ["_fit"], [F.col("_b")[j] for j in range(len(regressors))]
+        else:
+            rows, by, values = base, [], [F.lit(v) for v in vectors[indexes[0]]]
         if vcov == "cluster":
-            scores, weight = _score(used, y, b, order), None
+            scores, weight = _score(regressors, y, values, order), None
         else:
             fitted = F.lit(0.0)
-            for a, value in zip(used, b):
-                fitted = fitted + F.col(a) * F.lit(float(value))
+            for a, value in zip(regressors, values):
+                fitted = fitted + F.col(a) * value
             residual = F.col(y) - fitted
-            scores, weight = [F.col(a) for a in used], residual * residual
-        found = rows.agg(F.count("*").alias("groups"), *_outer(scores, "m", weight)).first()
-        meats[index] = (_read_outer(found, len(used), "m"), found["groups"])
+            scores, weight = [F.col(a) for a in regressors], residual * residual
+        for found in rows.groupBy(*by).agg(F.count("*").alias("groups"), *_outer(scores, "m", weight)).toLocalIterator():
+            index = found["_fit"] if segment else indexes[0]
+            at = [regressors.index(a) for a in solved[index][4]]
+            meats[index] = (_read_outer(found, len(regressors), "m")[np.ix_(at, at)], found["groups"])
     return meats
 
 

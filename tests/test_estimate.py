@@ -129,6 +129,23 @@ def test_segments_subsets_and_outcomes(data):
     assert whole["y2"]["x"] == pytest.approx(2 * whole["y"]["x"])
 
 
+@pytest.mark.parametrize("options", [{"vcov": "hc1"}, {"vcov": "cluster", "cluster": "c"}])
+def test_errors_of_segments_take_one_job(data, options):
+    df, _ = data
+    flat = df.withColumn("x", F.when(F.col("h") == 4, 1.0).otherwise(F.col("x")))  # one segment loses its regressor
+    by = {f.segment["h"]: f for f in ols_by_segment(flat, "y", ["x", "age"], ["h"], **options)}
+    for h, fit in by.items():
+        one = ols(flat.where(F.col("h") == h), "y", ["x", "age"], **options)
+        assert fit.terms == one.terms and fit.coef == pytest.approx(one.coef) and fit.std_error == pytest.approx(one.std_error, rel=1e-6)
+    assert by[4].dropped == ["x"]
+
+
+def test_many_segments(spark):
+    rows = spark.range(60_000).select((F.col("id") % 20_000).alias("s"), F.rand(3).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    fits = ols_by_segment(rows, "y", ["x"], ["s"], vcov="hc1")
+    assert len(fits) == 20_000 and {f.n for f in fits} == {3}
+
+
 def test_sweep_equals_single_fits(data):
     df, _ = data
     fits = sweep(df, "y", ["x", "age"], ["sex"], absorb=["f"])
