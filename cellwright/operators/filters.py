@@ -54,12 +54,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     """The first row of every key by a unique order, missing values last. A missing key value is a value of its own.
 
     One aggregate: each task keeps one row per key before the shuffle, so a key with very many copies
-    is no heavier than the others.
+    is no heavier than the others. Rows are sorted and dealt by a SHA-256 digest of the keys, never by long texts.
     """
-    rest = [c for c in df.columns if c not in keys]
+    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
     position = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), position).alias("_first"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+    picked = df.groupBy(digest.alias("_digest")).agg(F.min_by(F.struct(*df.columns), position).alias("_first"))
+    return picked.select("_first.*")
 
 
 def consistency_flags(first: str, second: str) -> dict[str, Column]:

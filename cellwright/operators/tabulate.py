@@ -18,9 +18,15 @@ def column_name(value: object) -> str:
 
 
 def crosstab(
-    df: DataFrame, rows: Sequence[str], column: str, levels: Sequence, with_total: bool = False, prefix: str = ""
+    df: DataFrame, rows: Sequence[str], column: str, levels: Sequence | None = None, with_total: bool = False, prefix: str = ""
 ) -> DataFrame:
-    """Counts by row keys and one column per level; the total counts every row, other levels too."""
+    """Counts by row keys and one column per level; the total counts every row, other levels too.
+
+    Without ``levels``, all those found in the data, in ascending order; a missing value is counted in the total alone.
+    """
+    if levels is None:
+        found = df.select(F.col(column).alias("level")).where("level IS NOT NULL").distinct().orderBy("level")
+        levels = [r["level"] for r in found.collect()]
     counts = [F.count_if(F.col(column) == level).alias(prefix + column_name(level)) for level in levels]
     if with_total:
         counts.append(F.count("*").alias("total"))

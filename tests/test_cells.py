@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.recode import equal_width_bin
 from cellwright.functions.rules import birthplace_group
-from cellwright.operators import cells, filters, order
+from cellwright.operators import cells, filters, order, tabulate
 from cellwright.operators.moments import group_moments
 from cellwright.operators.population import population_summary
 
@@ -118,3 +118,17 @@ def test_running_sums_equal_a_window(spark):
     run = order.running_sums(df, ["id"], ["v"], ["g"])
     expected = df.withColumn("run_v", F.sum("v").over(W.partitionBy("g").orderBy("id")))
     assert sorted(map(tuple, run.select("id", "run_v").collect())) == sorted(map(tuple, expected.select("id", "run_v").collect()))
+
+
+def test_crosstab_finds_its_levels(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("b", None)], "k string, level string")
+    got = {r["k"]: r.asDict() for r in tabulate.crosstab(rows, ["k"], "level", with_total=True).collect()}
+    assert got["a"] == {"k": "a", "x": 1, "y": 1, "z": 0, "total": 2} and got["b"] == {"k": "b", "x": 0, "y": 0, "z": 1, "total": 2}
+
+
+def test_first_of_duplicates_sorts_a_digest_and_not_the_text(spark):
+    rows = spark.createDataFrame([("t", None, 2), ("t", None, 1), (None, "t", 3), ("t", "null", 4)], "a string, b string, o int")
+    first = filters.first_per_key(rows, ["a", "b"], ["o"])
+    assert {tuple(r) for r in first.collect()} == {("t", None, 1), (None, "t", 3), ("t", "null", 4)}
+    exchanges = [line for line in first._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any(f"({key}#" in line for line in exchanges for key in ("a", "b"))
