@@ -135,25 +135,23 @@ def _bands(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(keys))], ["bucket", "key"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before, and whether it has been sent
+        last, sent = None, False  # the row before, and whether it has been sent
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, key = (batch.column(k).to_numpy() for k in (0, 1))
             if last is not None:
                 band, key = (np.concatenate([[v], x]) for v, x in zip(last, (band, key)))
-            new = np.ones(len(band), bool)
+            new = np.ones(len(band), bool)  # the same class from another task is one row
             new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
-            near = new.copy()
-            near[0] = False
-            near[1:] &= band[1:] == band[:-1]
-            first = np.zeros(len(band), bool)  # the first class of a band goes with the second
-            first[:-1] = near[1:] & new[:-1] & ~near[:-1]
-            if last is not None:
-                first[0] &= not sent
-            rows = near | first
-            sent = bool(rows[-1]) or (last is not None and sent and not new[1:].any()) or (not new[-1] and bool(rows[np.flatnonzero(new)[-1]]))
-            last = (band[-1], key[-1])
+            band, key = band[new], key[new]
+            near = np.zeros(len(band), bool)
+            near[1:] = band[1:] == band[:-1]
+            near[0] = sent
+            rows = near.copy()
+            rows[:-1] |= near[1:]  # the first class of a band goes with the second
+            rows[0] &= not sent
+            last, sent = (band[-1], key[-1]), bool(near[-1])
             if rows.any():
                 yield pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(key[rows])], ["bucket", "key"])
 

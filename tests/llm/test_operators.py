@@ -257,6 +257,37 @@ def test_substring_removal(spark, docs, rows):
     assert set(substring_dedup.remove_passages(docs).columns) == {*docs.columns, "removed_spans"}
 
 
+def in_partitions(spark, texts):
+    """(id, row, text) with every text in a partition of its own."""
+    texts = list(enumerate(texts))
+    return spark.createDataFrame(spark.sparkContext.parallelize([(k, k, t) for k, t in texts], len(texts)), "id long, row long, text string")
+
+
+def test_bands_keep_every_class_that_meets_another(spark):
+    rng = random.Random(11)
+    passages = [words(rng, 60).split() for _ in range(12)]
+    texts = []
+    for p in passages:
+        near = list(p)
+        near[0] = "changed"
+        texts += [" ".join(p)] * 3 + [" ".join(near)] * 2
+    classes = collections.defaultdict(set)
+    for t in texts:
+        found = substring_dedup.Paragraphs(t.encode())
+        long, keys = substring_dedup.paragraph_keys(found)
+        for key, bands in zip(keys.tolist(), substring_dedup.band_codes(found, long).reshape(-1, substring_dedup.BANDS).tolist()):
+            for b in bands:
+                classes[b].add(key)
+    wanted = sorted((b, k) for b, keys in classes.items() if len(keys) > 1 for k in keys)
+    for size in (10_000, 3):  # also with groups that go on in the next batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted(tuple(r) for r in substring_dedup._bands(in_partitions(spark, texts)).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert wanted and got == wanted
+
+
 def test_language(spark, docs):
     taught = spark.createDataFrame(
         [(k, ("the cat and the dog were here " if k % 2 else "der Hund und die Katze waren hier ") * 3 + str(k), "en" if k % 2 else "de") for k in range(300)],
