@@ -9,14 +9,14 @@
    class walks the tree, sharing the overlap of common beginnings, and leaves a subtree when what is left of both cannot
    reach the overlap asked for, or when all of it is linked with it already. Overlaps are exact.
 4. A block with many classes is cut into slices. All slices hold the hub, so classes like the hub are linked at once;
-   only those that are not linked with it visit the other slices.
+   only those that are not linked with it visit the other slices, two slices to a task.
 
 No link between different sets is lost: the order only decides which codes are looked at first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -309,23 +309,23 @@ def likely_members(shared: DataFrame) -> DataFrame:
     return cut(likely.join(blocks, "hub"), "members")
 
 
-def _block_edges(blocks: DataFrame) -> DataFrame:
-    """(hub, key, root, with_hub) of each block (hub, slice) of (key, role, text): the component of every class in it.
+def _block_edges(blocks: DataFrame, read: Callable) -> DataFrame:
+    """(block, key, root, with_hub): the component of every class in each group (block, slice, other) of (hub, key, home, loose, body).
 
-    Roles: 0 a class of the slice, 1 a visitor from another slice, 2 the hub where it is a guest. Visitors are only
-    held against classes of the slice.
+    ``read`` makes a set of a body. Where ``slice`` and ``other`` differ, classes are only held against those of the
+    other slice, and only if one of both is loose.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, keys, roles, sets = None, [], [], []
+        here, hub, seen, keys, homes, loose, sets = None, None, set(), [], [], [], []
 
         def settle() -> Iterator[pa.RecordBatch]:
             if len(keys) < 2:
                 return
-            visited = 1 in roles
-            links, _ = link_block(sets, (lambda a, b: roles[a] != roles[b]) if visited else None)
+            apart = here[1] != here[2]
+            links, _ = link_block(sets, (lambda a, b: homes[a] != homes[b] and (loose[a] or loose[b])) if apart else None)
             roots = [links.find(k) for k in range(len(keys))]
-            hub_root = next((r for r, k in zip(roots, keys) if k == here[0]), -1)
+            hub_root = next((r for r, k in zip(roots, keys) if k == hub), -1)
             least: dict[int, int] = {}
             for r, k in zip(roots, keys):
                 least[r] = min(k, least.get(r, k))
@@ -335,34 +335,82 @@ def _block_edges(blocks: DataFrame) -> DataFrame:
                     pa.array(keys, pa.int64()),
                     pa.array([least[r] for r in roots], pa.int64()),
                     pa.array([r == hub_root for r in roots], pa.bool_()),
-                    pa.array([here[1]] * len(keys), pa.int32()),
                 ],
-                ["hub", "key", "root", "with_hub", "slice"],
+                ["block", "key", "root", "with_hub"],
             )
 
         for batch in batches:
-            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            ids, kinds = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k, text in enumerate(batch.column(4)):
+            at = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            heads, ids, own, free = (batch.column(k).to_pylist() for k in range(3, 7))
+            for k, body in enumerate(batch.column(7)):
                 if at[k] != here:
                     yield from settle()
-                    here, keys, roles, sets = at[k], [], [], []
+                    here, hub, seen, keys, homes, loose, sets = at[k], heads[k], set(), [], [], [], []
+                if ids[k] in seen:  # rows equal in id and text that were not joined in one task
+                    continue
+                seen.add(ids[k])
                 keys.append(ids[k])
-                roles.append(kinds[k])
-                sets.append(text_set(utf8(text)))
+                homes.append(own[k])
+                loose.append(free[k])
+                sets.append(read(body))
         yield from settle()
 
-    met = blocks.select("hub", "slice", "key", "role", "text").repartition("hub", "slice").sortWithinPartitions("hub", "slice")
-    return in_tasks(met, run, "hub long, key long, root long, with_hub boolean, slice int")
+    met = blocks.select("block", "slice", "other", "hub", "key", "home", "loose", "body")
+    met = met.repartition("block", "slice", "other").sortWithinPartitions("block", "slice", "other")
+    return in_tasks(met, run, "block long, key long, root long, with_hub boolean")
+
+
+def sliced_links(members: DataFrame, with_bodies: Callable, read: Callable, size: int) -> DataFrame:
+    """(a, b): links that span the components of alike classes inside each block of ``members`` (block, hub, key).
+
+    ``with_bodies`` adds the column ``body`` by ``key``, from which ``read`` makes a set. Every task holds two slices of
+    about ``size`` classes at most, however large the block.
+    """
+    slices = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("slices"))
+    members = members.join(slices, "block").withColumn("home", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    # The hub is at home in its own slice and a guest in all others.
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    placed = members.select("block", "hub", "key", "home", F.explode(F.when(F.col("hub") == F.col("key"), every).otherwise(F.array("home"))).alias("slice"))
+    placed = placed.select("block", "slice", F.col("slice").alias("other"), "hub", "key", "home", F.lit(False).alias("loose"))
+    linked = cut(_block_edges(with_bodies(placed), read), "links")
+    edges = linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
+    sliced = members.where("slices > 1")
+    loose = cut(sliced.join(linked.where("NOT with_hub").select("block", "key"), ["block", "key"]), "loose")
+    if not loose.head(1):
+        return edges
+    # Two slices meet, with all their classes, if both have a loose one; else the loose ones of one and all of the other.
+    visitors = loose.select("block", "hub", "key", "home", F.lit(True).alias("loose"), F.explode(every).alias("to"))
+    hosts = sliced.join(loose.select("block", "key"), ["block", "key"], "left_anti").join(loose.select("block", F.col("home").alias("to")).distinct(), "block")
+    visits = visitors.unionByName(hosts.select("block", "hub", "key", "home", F.lit(False).alias("loose"), "to")).where("home <> to")
+    visits = visits.select("block", F.least("home", "to").alias("slice"), F.greatest("home", "to").alias("other"), "hub", "key", "home", "loose")
+    more = cut(_block_edges(with_bodies(visits), read), "links")
+    return edges.unionByName(more.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
 
 
 def _with_texts(docs: DataFrame, members: DataFrame, reps: DataFrame) -> DataFrame:
-    """``members`` (hub, slice, key, role) with the text of one document of each class."""
-    wanted = members.join(reps.select("key", "id", "row"), "key").groupBy("id", "row").agg(F.collect_list(F.struct("hub", "slice", "key", "role")).alias("places"))
+    """``members`` (block, slice, other, hub, key, home, loose) with the text of one document of each class as ``body``."""
+    names = ["block", "slice", "other", "hub", "key", "home", "loose"]
+    wanted = members.join(reps.select("key", "id", "row"), "key").groupBy("id", "row").agg(F.collect_list(F.struct(*names)).alias("places"))
     wanted = wanted.select(F.col("id").alias("wanted_id"), F.col("row").alias("wanted_row"), "places")
     found = docs.join(wanted, (F.col("row") == F.col("wanted_row")) & F.col("id").eqNullSafe(F.col("wanted_id")))
-    # Rows equal in id and text are one document; a class is met once however often they come.
-    return found.select("text", F.inline("places"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [k for k, place in enumerate(at) if place not in seen and not seen.add(place)]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield batch.take(pa.array(fresh, pa.int64())).select(["text", "places"])
+
+    # Rows equal in id and text are one document: they meet in one task, and one goes on to the blocks.
+    found = found.select("id", "row", "text", "places")
+    schema = f"text string, places {found.schema['places'].dataType.simpleString()}"
+    return in_tasks(found, once, schema).select(F.col("text").alias("body"), F.inline("places"))
+
+
+def _read_text(value: pa.Scalar) -> np.ndarray:
+    return text_set(utf8(value))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,24 +432,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     reps = cut(light.where("n > 0").groupBy("key").agg(first.alias("rep")).select("key", "rep.id", "rep.row"), "reps")
     members = likely_members(cut(hubs(prefixes(rows, frequent_codes(rows))), "hubs"))
-    slices = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SLICE_CLASSES).cast("int").alias("slices"))
-    members = members.join(slices, "hub")
-    own = F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
-    # The hub is at home in its own slice and a guest in all others.
-    guest = F.sequence(F.lit(0), F.col("slices") - 1)
-    placed = members.select("hub", "key", "slices", F.explode(F.when(F.col("hub") == F.col("key"), guest).otherwise(F.array(own))).alias("slice"))
-    placed = placed.withColumn("role", F.when((F.col("hub") == F.col("key")) & (F.col("slice") != own), 2).otherwise(0))
-    linked = cut(_block_edges(_with_texts(rows, placed.drop("slices"), reps)), "links")
-    edges = linked.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
-    sliced = members.where("slices > 1")
-    loose = linked.where("NOT with_hub").join(sliced.select("hub", "key", "slices"), ["hub", "key"])
-    loose = cut(loose.select("hub", "key", "slices", "slice"), "loose")
-    if loose.head(1):
-        visitors = loose.select("hub", "key", F.col("slice").alias("home"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        visitors = visitors.where("slice <> home").select("hub", "slice", "key", F.lit(1).alias("role"))
-        hosts = sliced.join(loose.select("hub").distinct(), "hub").select("hub", own.alias("slice"), "key", F.lit(0).alias("role"))
-        more = cut(_block_edges(_with_texts(rows, hosts.unionByName(visitors), reps)), "links")
-        edges = edges.unionByName(more.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    members = members.select(F.col("hub").alias("block"), "hub", "key")
+    edges = sliced_links(members, lambda placed: _with_texts(rows, placed, reps), _read_text, SLICE_CLASSES)
     named = components(edges)
     # The first document of each class, then of each component.
     classes = reps.join(named, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), "id", "row")

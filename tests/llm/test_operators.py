@@ -288,6 +288,23 @@ def test_bands_keep_every_class_that_meets_another(spark):
         assert wanted and got == wanted
 
 
+def test_jaccard_blocks_are_bounded(spark, monkeypatch):
+    """No task holds more than two slices of a block, and rows equal in id and text are there once."""
+    monkeypatch.setattr(jaccard, "SLICE_CLASSES", 4)
+    rng = random.Random(13)
+    kept, base = words(rng, 30), {k: words(rng, 20) for k in range(60)}
+    texts = [(k, base[k] + " " + kept + (" more" if k % 2 else "")) for k in range(60)] + [(3, base[3] + " " + kept + " more")] * 40
+    rows = spark.createDataFrame(texts, "id long, text string").withColumn("row", F.xxhash64("id", "text")).repartition(3)
+    seen = []
+    real = jaccard._block_edges
+    monkeypatch.setattr(jaccard, "_block_edges", lambda blocks, *more: seen.append(blocks.groupBy("block", "slice", "other").count().collect()) or real(blocks, *more))
+    reps = rows.select(F.col("id").alias("key"), "id", "row").distinct()
+    members = reps.select(F.lit(1).cast("long").alias("block"), F.lit(0).cast("long").alias("hub"), "key")
+    jaccard.sliced_links(members, lambda placed: jaccard._with_texts(rows, placed, reps), jaccard._read_text, jaccard.SLICE_CLASSES).collect()
+    sizes = [r["count"] for rows in seen for r in rows]
+    assert len(seen) == 2 and max(sizes) <= 30  # slices are dealt by hash: about four, some have more
+
+
 def test_language(spark, docs):
     taught = spark.createDataFrame(
         [(k, ("the cat and the dog were here " if k % 2 else "der Hund und die Katze waren hier ") * 3 + str(k), "en" if k % 2 else "de") for k in range(300)],
