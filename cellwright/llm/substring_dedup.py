@@ -6,8 +6,8 @@ band of minimum hashes meet in a block, where a prefix tree finds all pairs whos
 index of 0.8. Components of what is alike are removed but for their first place, and a removal grows to both sides as
 long as the words before and after agree with those around the place that stays.
 
-A band that very many classes share (they have a common sentence) is parted by further minimum hashes, on which alike
-paragraphs agree and others do not.
+A band that very many classes share (they have a common sentence) is compared in slices, as in ``jaccard``: what is not
+linked with its first class visits the other slices.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cellwright.llm.common import cut, in_tasks, mixed, ranged_codes, row_key, shingle_codes, table, utf8, word_codes, word_spans
 from cellwright.llm.components import components
-from cellwright.llm.jaccard import link_block
+from cellwright.llm.jaccard import sliced_links
 
 WIDTH = 5
 #: Bands of minimum hashes and hashes per band: two paragraphs that are 0.8 alike meet with a chance of 0.994.
@@ -33,12 +33,10 @@ LEAST_WORDS, ENDS, LONG = 8, 2, 24
 LEAST_REMOVED = 40
 #: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
 AROUND = 48
-#: Classes of a block at most, and how often and by how many hashes a larger one is parted. What is still larger then
-#: agrees in so many minimum hashes that each class is held against the first one, over as many blocks as needed.
-BLOCK_CLASSES, PARTINGS, PART_HASHES = 1000, 4, 3
+#: Classes of one slice of a block.
+BLOCK_CLASSES = 1000
 
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_MORE_SEEDS = mixed(np.arange(1001, 1001 + PARTINGS * PART_HASHES, dtype=np.uint64))
 _SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
@@ -201,67 +199,18 @@ def _agreement(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _blocks(bands: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(bucket, slice, key): the blocks in which classes are held against each other."""
-    hashes = "bucket long, key long"
-    left, done = bands, []
-    for level in range(PARTINGS):
-        # Alike classes meet in several bands; of buckets with the same classes one is enough.
-        sums = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *sums).where("n > 1")
-        once = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        sized = cut(left.join(once, "bucket"), "bands")
-        done.append(sized.where(F.col("n") <= BLOCK_CLASSES).select("bucket", F.lit(0).alias("slice"), "key"))
-        left = sized.where(F.col("n") > BLOCK_CLASSES).select("bucket", "key")
-        if not left.head(1):
-            break
-
-        def part(batches: Iterator[pa.RecordBatch], seeds=_MORE_SEEDS[level * PART_HASHES : (level + 1) * PART_HASHES]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buckets = []
-                for bucket, body in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(2)):
-                    shingles = shingle_codes(np.frombuffer(body.as_py(), np.uint64), WIDTH)
-                    buckets.append(mixed(np.array([mixed(shingles ^ s).min() ^ s for s in seeds]) ^ bucket))
-                keys = np.repeat(batch.column(1).to_numpy(), PART_HASHES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(keys)], ["bucket", "key"])
-
-        left = in_tasks(left.join(bodies.select("key", "body"), "key").select("bucket", "key", "body"), part, hashes).distinct()
-    else:
-        counted = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("slices"))
-        spread = left.join(counted, "bucket")
-        every = F.sequence(F.lit(0), F.col("slices") - 1)
-        own = F.array(F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-        done.append(spread.select("bucket", F.explode(F.when(F.col("key") == F.col("hub"), every).otherwise(own)).alias("slice"), "key"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+def _read_body(value: pa.Scalar) -> np.ndarray:
+    return np.unique(shingle_codes(np.frombuffer(utf8(value), np.uint64), WIDTH))
 
 
 def _near_classes(bands: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of alike classes inside each block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, keys, sets = None, [], []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            _, alike = link_block(sets)
-            if alike:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in alike], pa.int64()), pa.array([keys[b] for _, b in alike], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            ids = batch.column(2).to_pylist()
-            for k, body in enumerate(batch.column(3)):
-                if at[k] != here:
-                    yield from settle()
-                    here, keys, sets = at[k], [], []
-                keys.append(ids[k])
-                sets.append(np.unique(shingle_codes(np.frombuffer(body.as_py(), np.uint64), WIDTH)))
-        yield from settle()
-
-    met = _blocks(bands, bodies).join(bodies.select("key", "body"), "key").select("bucket", "slice", "key", "body")
-    return in_tasks(met.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice"), run, "a long, b long").distinct()
+    """Links (a, b) that span the components of alike classes inside each bucket."""
+    # Alike classes meet in several bands; of buckets with the same classes one is enough.
+    sums = [F.sum(F.xxhash64(F.lit(k), "key").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub"), *sums).where("n > 1")
+    once = sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct("bucket", "hub")).alias("of")).select("of.*")
+    members = cut(bands.join(once, "bucket").select(F.col("bucket").alias("block"), "hub", "key"), "bands")
+    return sliced_links(members, lambda placed: placed.join(bodies.select("key", "body"), "key"), _read_body, BLOCK_CLASSES).distinct()
 
 
 def find_repeats(rows: DataFrame) -> DataFrame:

@@ -288,6 +288,25 @@ def test_bands_keep_every_class_that_meets_another(spark):
         assert wanted and got == wanted
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """All alike pairs of a bucket of many slices are linked, though none is like the hub and all share most shingles."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_CLASSES", 4)
+    rng = random.Random(12)
+    common, bodies, sets = [rng.getrandbits(64) for _ in range(92)], [], {}
+    for _ in range(40):
+        own = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(2):
+            body = np.array([*common, *own, *(rng.getrandbits(64) for _ in range(8))], np.uint64)
+            key = rng.getrandbits(62)
+            sets[key] = set(substring_dedup.shingle_codes(body).tolist())
+            bodies.append((key, bytearray(body.tobytes())))
+    bodies = spark.createDataFrame(bodies, "key long, body binary")
+    bands = bodies.select(F.lit(5).cast("long").alias("bucket"), "key")
+    got = {r["node"]: r["component"] for r in components(substring_dedup._near_classes(bands, bodies)).collect()}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(alike) == 40 and len(got) == 80 and all(got[a] == got[b] == a for a, b in alike)
+
+
 def test_jaccard_blocks_are_bounded(spark, monkeypatch):
     """No task holds more than two slices of a block, and rows equal in id and text are there once."""
     monkeypatch.setattr(jaccard, "SLICE_CLASSES", 4)
