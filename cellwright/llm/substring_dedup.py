@@ -1,7 +1,8 @@
 """Substring deduplication: paragraph MinHash banding, exact verification, removal by components.
 
 A text is cut into sentences, and a choice by word codes joins them into paragraphs, so a passage that is pasted into
-another text gives the same paragraphs there but for its ends. Equal paragraphs are one class. Classes with a common
+another text gives the same paragraphs there but for its ends. A second cut, at local minima of the word codes, gives shorter
+ones, so that also a passage without sentence ends has a whole one. Equal paragraphs are one class. Wide ones with a common
 band of minimum hashes meet in a block, where a prefix tree finds all pairs whose word shingles have an exact Jaccard
 index of 0.8. Components of what is alike are removed but for their first place, and a removal grows to both sides as
 long as the words before and after agree with those around the place that stays.
@@ -31,8 +32,8 @@ BANDS, ROWS = 5, 2
 LEAST_WORDS, ENDS, LONG = 8, 2, 24
 #: Words that must go together for a removal: shorter repeats stay.
 LEAST_REMOVED = 40
-#: Words on either side of a paragraph that are kept to see how far a repeated passage goes on.
-AROUND = 48
+#: Short paragraphs, of which only equal ones are found, begin where a word has the least code of so many on either side.
+WINDOW = 5
 #: Classes of one slice of a block.
 BLOCK_CLASSES = 1000
 
@@ -49,7 +50,8 @@ class Paragraphs:
         self.codes = word_codes(data, (self.starts, self.ends))
         n = len(self.codes)
         if not n:
-            self.first = self.stop = np.zeros(0, np.int64)
+            self.first = self.stop = self.least = np.zeros(0, np.int64)
+            self.wide = np.zeros(0, bool)
             return
         letters = np.frombuffer(data, np.uint8)
         # A sentence ends with a word that ends in a full stop, or at a line end.
@@ -64,16 +66,35 @@ class Paragraphs:
             if at - last >= LEAST_WORDS:
                 stops.append(at)
                 last = at
-        self.stop = np.array(stops if last == n else [*stops, n])
-        self.first = np.concatenate([[0], self.stop[:-1]])
+        wide = np.unique([0, *stops, n])
+        # A short one begins where the choice is the least of those around, so wherever ends are rare there are such places.
+        padded = np.pad(choice, WINDOW, constant_values=np.uint64(2**64 - 1))
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WINDOW + 1)
+        self.least = np.flatnonzero((around[:, :WINDOW].min(1) > choice) & (around[:, WINDOW:].min(1) == choice))  # of equal ones the first
+        short = np.unique([0, *self.least.tolist(), n])
+        spans = np.unique(np.concatenate([np.column_stack([e[:-1], e[1:]]) for e in (wide, short)]), axis=0)
+        self.first, self.stop = spans[:, 0], spans[:, 1]
+        self.wide = np.isin(self.first, wide) & (self.stop == wide[np.minimum(np.searchsorted(wide, self.first, "right"), len(wide) - 1)])
+
+    def reach(self, a: int, b: int) -> tuple[int, int]:
+        """Up to which words before ``a`` and after ``b`` a short paragraph surely lies between, with what decides on its ends.
+
+        A passage that goes on further on both places has that paragraph as a repeat of its own.
+        """
+        k = int(np.searchsorted(self.least, a - WINDOW, "right")) - 2
+        low = max(0, int(self.least[k]) - WINDOW - 1) if k >= 0 else 0
+        k = int(np.searchsorted(self.least, b + WINDOW + 1)) + 1
+        high = min(len(self.codes), int(self.least[k]) + WINDOW + 1) if k < len(self.least) else len(self.codes)
+        return low, high
 
     def text(self, k: int) -> bytes:
         return self.data[self.starts[self.first[k]] : self.ends[self.stop[k] - 1]]
 
 
-def paragraph_keys(found: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the paragraphs that are long enough, and a code of the words of each."""
-    long = np.flatnonzero(found.stop - found.first >= LEAST_WORDS)
+def paragraph_keys(found: Paragraphs, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the paragraphs, or of the ``wide`` ones, that are long enough, and a code of the words of each."""
+    enough = found.stop - found.first > WINDOW
+    long = np.flatnonzero(enough & found.wide & (found.stop - found.first >= LEAST_WORDS) if wide else enough)
     return long, ranged_codes(found.codes, found.first[long], found.stop[long]).view(np.int64)
 
 
@@ -122,7 +143,7 @@ def _bands(rows: DataFrame) -> DataFrame:
             bands, keys = [], []
             for text in batch.column(0):
                 found = Paragraphs(utf8(text))
-                long, own = paragraph_keys(found)
+                long, own = paragraph_keys(found, wide=True)
                 fresh = [n for n, key in enumerate(own.tolist()) if key not in seen and not seen.add(key)]
                 if fresh:
                     bands.append(band_codes(found, long[fresh]).ravel())
@@ -173,12 +194,14 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column(2)):
                 found = Paragraphs(utf8(text))
                 short = (found.codes >> np.uint64(32)).astype(np.uint32)
-                there = {p["pos"] for p in places[k] if p["goes"]}
+                goes = [p["pos"] for p in places[k] if p["goes"]]
+                begins, stops = set(found.first[goes].tolist()), set(found.stop[goes].tolist())
                 for p in {p["pos"]: p for p in places[k]}.values():
                     pos = p["pos"]
                     a, b = int(found.first[pos]), int(found.stop[pos])
-                    before = short[max(0, a - AROUND) : a][::-1] if p["is_head"] or pos - 1 not in there else short[:0]
-                    after = short[b : b + AROUND] if p["is_head"] or pos + 1 not in there else short[:0]
+                    low, high = found.reach(a, b)
+                    before = short[low:a][::-1] if p["is_head"] or a not in stops else short[:0]
+                    after = short[b:high] if p["is_head"] or b not in begins else short[:0]
                     body = found.codes[a:b].tobytes() if p["is_head"] and p["near"] else None
                     out.append((ids[k], keys[k], pos, p["key"], p["is_head"], body, before.tobytes(), after.tobytes()))
             if out:

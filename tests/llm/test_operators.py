@@ -274,7 +274,7 @@ def test_bands_keep_every_class_that_meets_another(spark):
     classes = collections.defaultdict(set)
     for t in texts:
         found = substring_dedup.Paragraphs(t.encode())
-        long, keys = substring_dedup.paragraph_keys(found)
+        long, keys = substring_dedup.paragraph_keys(found, wide=True)
         for key, bands in zip(keys.tolist(), substring_dedup.band_codes(found, long).reshape(-1, substring_dedup.BANDS).tolist()):
             for b in bands:
                 classes[b].add(key)
@@ -324,6 +324,21 @@ def test_jaccard_blocks_are_bounded(spark, monkeypatch):
     assert len(seen) == 2 and max(sizes) <= 30  # slices are dealt by hash: about four, some have more
 
 
+def test_passages_without_sentence_ends_go_whole(spark):
+    """Copied runs of 50 to 200 words in unpunctuated text, over several partitions: no word of the copy stays."""
+    rng = random.Random(14)
+    lengths, texts, parts = [50, 60, 80, 200], [], []
+    for n in lengths * 10:
+        passage = words(rng, n)
+        parts.append([(words(rng, 60), passage, words(rng, 60)) for _ in range(2)])
+        texts += [" ".join(t) for t in parts[-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_passages(df).collect()}
+    assert all(got[2 * k] == texts[2 * k] for k in range(len(parts)))
+    whole = sum(got[2 * k + 1] == " ".join(second[::2]) for k, (_, second) in enumerate(parts))
+    assert whole >= len(parts) - 1  # one run in 300 of 50 words has no whole paragraph
+
+
 def test_language(spark, docs):
     taught = spark.createDataFrame(
         [(k, ("the cat and the dog were here " if k % 2 else "der Hund und die Katze waren hier ") * 3 + str(k), "en" if k % 2 else "de") for k in range(300)],
