@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwright.session import cut
 
-__all__ = ["cut", "table", "in_tasks", "held_out", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
+__all__ = ["cut", "table", "in_tasks", "held_out", "drawn", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -35,6 +35,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def drawn(share: float, *columns: str) -> Column:
+    """Whether a hash of the columns is in the first ``share`` of its range, in steps of 2^-63."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1) < F.lit(int(share * 2**63))
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A key of id and text together; rows that agree in both are one document to the operators that use it."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))

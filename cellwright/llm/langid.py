@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import held_out, in_tasks, mixed, ranged_codes, table
+from cellwright.llm.common import drawn, held_out, in_tasks, mixed, ranged_codes, table
 
 #: Labelled documents to train on, about, and their share for calibration.
 SAMPLE_ROWS, CALIBRATION = 4000, 0.25
@@ -145,8 +145,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     labelled = labelled.where(~held_out(F.col("key")) & F.col("lang").isNotNull())
     count = labelled.count()
     share = min(1.0, sample_rows / max(count, 1))
-    bound = int(share * 1_000_000)
-    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < bound)
+    chosen = labelled.where(drawn(share, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,6 +156,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
 
     counted = in_tasks(chosen.select("text", "lang", "key"), run, "lang string, buckets binary, counts binary, key string")
     found = counted.groupBy("key").agg(F.min(F.struct("lang", "buckets", "counts")).alias("row")).select("row.*").collect()
+    if count and not found:
+        raise ValueError(f"none of {count} labelled rows were drawn to learn from")
     rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
     return train([(lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(float)) for lang, at, n in rows])
 

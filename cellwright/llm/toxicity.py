@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import held_out, in_tasks, table
+from cellwright.llm.common import drawn, held_out, in_tasks, table
 
 # Letters that digits and signs are written for.
 LEET = {
@@ -173,8 +173,10 @@ def marks(word: str) -> list[str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of about ``rows`` labelled documents that are not held out; the labels are the bounded side."""
     usable = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, rows / max(usable.count(), 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * rows)
+    count = usable.count()
+    chosen = usable.where(drawn(min(1.0, rows / max(count, 1)), "doc_id")).limit(2 * rows)
+    if count and not chosen.head(1):
+        raise ValueError(f"none of {count} labelled rows were drawn to learn from")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 

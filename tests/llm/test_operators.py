@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.llm import bpe, fingerprints, jaccard, langid, line_dedup, neighbours, packing, sharding, substring_dedup, toxicity
-from cellwright.llm.common import held_out
+from cellwright.llm.common import drawn, held_out
 from cellwright.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -339,6 +339,15 @@ def test_passages_without_sentence_ends_go_whole(spark):
     assert whole >= len(parts) - 1  # one run in 300 of 50 words has no whole paragraph
 
 
+def test_small_shares_are_drawn(spark):
+    assert 0 < spark.range(20_000_000).where(drawn(5e-7, "id")).count() < 40
+    assert spark.range(1000).where(drawn(1.0, "id")).count() == 1000
+    taught = spark.createDataFrame([(k, f"word {k}", "en", k % 2) for k in range(30)], "doc_id long, text string, lang string, toxic int")
+    for fit in (lambda: langid.fit(taught, 0), lambda: toxicity.fit(taught, taught.select("doc_id", "toxic"), 0)):
+        with pytest.raises(ValueError, match="drawn"):
+            fit()
+
+
 def test_language(spark, docs):
     taught = spark.createDataFrame(
         [(k, ("the cat and the dog were here " if k % 2 else "der Hund und die Katze waren hier ") * 3 + str(k), "en" if k % 2 else "de") for k in range(300)],
