@@ -8,6 +8,8 @@ the same priority, only the outer one counts. Everything happens within a row: n
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +25,14 @@ CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 KEYWORDS = sorted({word for rule in RULES for word in rule.keywords})
 
 
-def _texts(values: list[str] | tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _keywords() -> Column:
+    return F.split(F.lit(" ".join(KEYWORDS)), " ")
 
 
 def _rule_table() -> Column:
-    """The rules as one constant array, a few hundred entries long."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(r.number).alias("rule"),
-                F.lit(r.priority).alias("priority"),
-                F.lit(r.label).alias("label"),
-                F.lit(r.base).alias("base"),
-                _texts(r.keywords).alias("keywords"),
-                F.lit(r.pattern).alias("pattern"),
-            )
-            for r in RULES
-        ]
-    )
+    """The rules as one constant, a few hundred entries long; as JSON, so that the plan holds one node for all of them."""
+    rules = [{"rule": r.number, "priority": r.priority, "label": r.label, "base": r.base, "keywords": r.keywords, "pattern": r.pattern} for r in RULES]
+    return F.from_json(F.lit(json.dumps(rules)), "array<struct<rule:int,priority:int,label:string,base:boolean,keywords:array<string>,pattern:string>>")
 
 
 def _detections(indexed: Column, hits: Column) -> Column:
@@ -107,11 +98,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"))
     # F.lower also changes letters beyond ASCII, which may only let a text through that a rule then does not match.
     rows = rows.select("row", F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
-    some = F.arrays_overlap("words", _texts(KEYWORDS))
+    some = F.arrays_overlap("words", _keywords())
     rows = rows.select(
         "row",
         F.size("words").cast("long").alias("n_words"),
-        F.when(some, F.array_intersect("words", _texts(KEYWORDS))).alias("hits"),
+        F.when(some, F.array_intersect("words", _keywords())).alias("hits"),
     )
     numbered = F.transform(
         F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
