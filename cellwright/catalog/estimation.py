@@ -9,13 +9,14 @@ from cellwright.catalog.base import rounded, table
 from cellwright.catalog.recodes import yearly_orders
 from cellwright.operators.design import Interact, Square
 from cellwright.operators.estimate import (
-    fit_subsets,
     fit_table,
     logit,
     multi_outcome,
     ols,
-    ols_by_segment,
+    segment_models,
+    segment_table,
     stats_table,
+    subset_models,
     sweep,
     wald,
 )
@@ -57,13 +58,14 @@ def ols_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ols_by_segment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coefficients(spark, ols_by_segment(lines(spark, sf_dir), PRICE, TERMS, ["l_returnflag"]), 3)
+    fits = segment_models(lines(spark, sf_dir), {PRICE: (PRICE, TERMS)}, ["l_returnflag"])
+    return rounded(segment_table(fits), ["estimate", "std_error"], 3).drop("fit", "statistic", "p_value")
 
 
 def ols_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     subsets = {"all": None, "many": F.col("l_quantity") > 25, "few returned": (F.col("l_quantity") <= 25) & (F.col("l_returnflag") == "R")}
-    fits = fit_subsets(lines(spark, sf_dir), subsets, PRICE, TERMS)
-    return coefficients(spark, fits, 3)
+    fits = subset_models(lines(spark, sf_dir), subsets, PRICE, TERMS)
+    return rounded(segment_table(fits), ["estimate", "std_error"], 3).drop("statistic", "p_value")
 
 
 def multi_outcome_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Least squares and logit on tables of any length.
 
-Linear models never see single rows twice. One aggregate turns the table into moment cells: for each
-combination of absorbed factors, cluster and segment, the row count, the sums and the cross products of
-all columns. Fixed effects are swept out of the cells, clustered scores are sums over cells, and only a
-k x k matrix comes to the driver. The number of rows matters for that one aggregate alone, and a
-cell that holds most of the rows is summed before the shuffle.
+One aggregate gives the count and the cross products of all columns; coefficients are solved from these few numbers. Absorbed
+factors are taken out of the rows first (``operators.absorb``), so that only counts and sums are shuffled by level. Clustered
+and robust errors come after the coefficients, from scores: sums of regressor times residual. Segments are solved in
+batches by the executors and stay a table, however many there are. A fit of a whole table remembers its rows, so that other
+errors can be asked for later.
 """
 
 from __future__ import annotations
@@ -12,57 +12,24 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from cellwright.functions.tails import f_upper, normal_two_sided, t_two_sided
+from cellwright.functions.tails import f_upper
+from cellwright.operators.absorb import SMALL_CELLS, dependent_levels, sweep_rows
 from cellwright.operators.design import Term, expand_terms, source_columns
 from cellwright.operators.joins import lookup_join
-from cellwright.session import cut
-
-PIVOT_TOLERANCE = 1e-10
-DEMEAN_TOLERANCE = 1e-9
-
-
-@dataclass
-class Fit:
-    """Estimates of one model on one segment."""
-
-    outcome: str
-    terms: list[str]
-    coef: np.ndarray
-    vcov: np.ndarray
-    n: int
-    n_params: int
-    df_t: float
-    vcov_type: str
-    stats: dict[str, float]
-    dropped: list[str] = field(default_factory=list)
-    n_missing: int = 0
-    segment: dict[str, object] = field(default_factory=dict)
-    normal: bool = False
-
-    @property
-    def std_error(self) -> np.ndarray:
-        return np.sqrt(np.diag(self.vcov))
-
-    def p_values(self) -> list[float]:
-        ratios = self.coef / self.std_error
-        return [normal_two_sided(r) if self.normal else t_two_sided(r, self.df_t) for r in ratios]
-
-    def rows(self) -> list[tuple]:
-        return [
-            (self.outcome, t, float(b), float(s), float(b / s), float(p), self.n)
-            for t, b, s, p in zip(self.terms, self.coef, self.std_error, self.p_values())
-        ]
-
-    def __getitem__(self, term: str) -> float:
-        return float(self.coef[self.terms.index(term)])
+from cellwright.operators.solve import FIT_FIELDS, Fit, Layout, finish_batches, finished, independent_columns, outer_names, read_outer, solve_batches, solved
+from cellwright.session import cut, in_tasks
 
+__all__ = [
+    "Fit", "fit_statistics_of", "fit_subsets", "fit_table", "independent_columns", "linear_models", "logit", "multi_outcome", "ols",
+    "ols_by_segment", "segment_models", "segment_table", "stats_table", "subset_models", "sweep", "wald", "with_errors",
+]
 
 FIT_SCHEMA = "outcome string, term string, estimate double, std_error double, statistic double, p_value double, n bigint"
 
@@ -89,44 +56,17 @@ def _text(value: object) -> str | None:
     return None if value is None else str(value)
 
 
-def independent_columns(gram: np.ndarray, tolerance: float = PIVOT_TOLERANCE) -> list[int]:
-    """Columns, in order, that are not linear combinations of earlier ones (Cholesky with dropping)."""
-    kept: list[int] = []
-    factor = np.zeros((0, 0))
-    for j in range(gram.shape[0]):
-        if gram[j, j] <= 0:
-            continue
-        cross = gram[np.ix_(kept, [j])][:, 0]
-        row = np.linalg.solve(factor, cross) if kept else np.zeros(0)
-        left = gram[j, j] - row @ row
-        if left > tolerance * gram[j, j]:
-            grown = np.zeros((len(kept) + 1, len(kept) + 1))
-            grown[:-1, :-1] = factor
-            grown[-1, :-1] = row
-            grown[-1, -1] = math.sqrt(left)
-            factor, kept = grown, [*kept, j]
-    return kept
-
-
-def _pair(a: str, b: str, order: Sequence[str]) -> str:
-    first, second = sorted((a, b), key=order.index)
-    return f"p_{first}_{second}"
-
-
-def _symmetric(row, names: Sequence[str], order: Sequence[str]) -> np.ndarray:
-    return np.array([[float(row[_pair(a, b, order)]) for b in names] for a in names]).reshape(len(names), len(names))
-
-
 class _Columns:
     """The numeric columns of a set of models, centred and scaled to unit spread.
 
-    Without this step the cross products of a year and its square would lose most of their digits.
+    Without this step the cross products of a year and its square would lose most of their digits. ``keys`` must be known for
+    a row to count; ``keep`` are carried along as they are.
     """
 
-    def __init__(self, df: DataFrame, named: Mapping[str, Column], keys: Sequence[str]):
+    def __init__(self, df: DataFrame, named: Mapping[str, Column], keys: Sequence[str], keep: Sequence[str] = ()):
         self.names = list(named)
         self.short = {name: f"z{i}" for i, name in enumerate(self.names)}
-        raw = df.select(*keys, *[c.alias(self.short[n]) for n, c in named.items()])
+        raw = df.select(*keys, *keep, *[c.alias(self.short[n]) for n, c in named.items()])
         whole = F.lit(True)
         for c in [*keys, *self.short.values()]:
             whole = whole & F.col(c).isNotNull()
@@ -142,102 +82,174 @@ class _Columns:
         self.center = {n: float(counted[f"m_{z}"] or 0.0) for n, z in self.short.items()}
         spread = {n: float(counted[f"d_{z}"] or 0.0) for n, z in self.short.items()}
         self.scale = {n: spread[n] if spread[n] > 1e-12 * (1.0 + abs(self.center[n])) else 1.0 for n in self.names}
+        #: Sums of squares of the scaled columns.
+        self.raw = {z: self.n * (spread[n] / self.scale[n]) ** 2 for n, z in self.short.items()}
         scaled = [
             ((F.col(z) - F.lit(self.center[n])) / F.lit(self.scale[n])).alias(z) for n, z in self.short.items()
         ]
-        self.rows = complete.select(*keys, *scaled)
-
-
-def _moment_cells(rows: DataFrame, by: Sequence[str], z: Sequence[str]) -> DataFrame:
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(z) for b in z[i:]]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(a).alias(f"s_{a}") for a in z], *products)
-
+        self.rows = complete.select(*keys, *keep, *scaled)
 
-def _sweep_factors(
-    cells: DataFrame, segment: Sequence[str], factors: Sequence[str], z: Sequence[str], most_rounds: int
-) -> DataFrame:
-    """Add ``r_<z>``: the sums left in each cell after the factors' means are taken out.
-
-    One factor needs one pass. With several, each in turn has its level means removed until none moves by
-    more than the tolerance. The passes run over cells, not rows.
-    """
-    if len(factors) > 1:
-        # The rounds carry keys, counts and remainders alone; the products of the cells meet the outcome once.
-        keys = [c for c in cells.columns if c != "n" and not c.startswith(("s_", "p_"))]
-        narrow = cells.select(*keys, "n", *[f"s_{a}" for a in z])
-        settled = _sweep_rounds(narrow, segment, factors, z, most_rounds).select(*keys, *[f"r_{a}" for a in z])
-        return lookup_join(cells, settled, keys, hot=None)
-    return _sweep_rounds(cells, segment, factors, z, most_rounds)
 
+class _CellColumns(_Columns):
+    """The same for cells that stand for ``_n`` rows each."""
 
-def _sweep_rounds(
-    cells: DataFrame, segment: Sequence[str], factors: Sequence[str], z: Sequence[str], most_rounds: int
-) -> DataFrame:
-    cells = cells.withColumns({f"r_{a}": F.col(f"s_{a}") for a in z})
-    rounds = 1 if len(factors) == 1 else most_rounds
-    for step in range(rounds):
-        moved = 0.0
-        for factor in factors:
-            keys = [*segment, factor]
-            level = cells.groupBy(*keys).agg(F.sum("n").alias("_n"), *[F.sum(f"r_{a}").alias(f"_r_{a}") for a in z])
-            means = level.select(*keys, *[(F.col(f"_r_{a}") / F.col("_n")).alias(f"_m_{a}") for a in z])
-            largest = Observation("largest")
-            highest = F.max(F.greatest(*[F.abs(f"_m_{a}") for a in z], F.lit(0.0)))
-            means = cut(means.observe(largest, highest.alias("mean")), "means")
-            moved = max(moved, float(largest.get["mean"] or 0.0))
-            joined = lookup_join(cells, means, keys)
-            cells = joined.withColumns({f"r_{a}": F.col(f"r_{a}") - F.col("n") * F.col(f"_m_{a}") for a in z})
-            cells = cells.drop(*[f"_m_{a}" for a in z])
-        if rounds > 1:
-            cells = cut(cells, "cells")
-            if moved < DEMEAN_TOLERANCE:
-                return cells
-    if rounds > 1:
-        raise RuntimeError(f"the factors {list(factors)} did not settle in {rounds} rounds")
-    return cells
-
-
-def _within_products(cells: DataFrame, z: Sequence[str], swept: bool) -> tuple[DataFrame, list[str]]:
-    """Cross products per cell of the regression columns: after sweeping, or with a constant ``one``."""
-    if not swept:
-        constant = {"p_one_one": F.col("n").cast("double"), **{f"p_one_{a}": F.col(f"s_{a}") for a in z}}
-        return cells.withColumns({**constant, **{f"raw_{a}": F.col(f"p_{a}_{a}") for a in z}}), ["one", *z]
-    effect = {a: (F.col(f"s_{a}") - F.col(f"r_{a}")) / F.col("n") for a in z}
-    adjusted = {f"raw_{a}": F.col(f"p_{a}_{a}") for a in z}
-    for i, a in enumerate(z):
-        for b in z[i:]:
-            adjusted[f"p_{a}_{b}"] = (
-                F.col(f"p_{a}_{b}")
-                - effect[a] * F.col(f"s_{b}")
-                - effect[b] * F.col(f"s_{a}")
-                + F.col("n") * effect[a] * effect[b]
-            )
-    return cells.withColumns(adjusted), list(z)
-
-
-def _factor_sizes(cells: DataFrame, segment: Sequence[str], factors: Sequence[str]) -> dict[tuple, dict[str, int]]:
-    sizes = cells.groupBy(*segment).agg(*[F.count_distinct(f).alias(f"_l_{f}") for f in factors])
-    return {
-        tuple(r[s] for s in segment): {f: r[f"_l_{f}"] for f in factors} for r in sizes.toLocalIterator()
-    }
-
-
-def _nested_factors(cells: DataFrame, segment: Sequence[str], factors: Sequence[str], cluster: str) -> set[str]:
-    """Factors each of whose levels lies in one cluster."""
-    nested = set()
-    for f in factors:
-        if f == cluster:
-            nested.add(f)
-            continue
-        spans = cells.groupBy(*segment, f).agg(
-            F.min(cluster).alias("_lo"), F.max(cluster).alias("_hi")
-        )
-        if spans.where(F.col("_lo") != F.col("_hi")).limit(1).count() == 0:
-            nested.add(f)
-    return nested
-
-
-def linear_models(
+    def __init__(self, cells: DataFrame, named: Mapping[str, Column], keys: Sequence[str]):
+        self.names = list(named)
+        self.short = {name: f"z{i}" for i, name in enumerate(self.names)}
+        raw = cells.select(*keys, "_n", "_y", *[c.alias(self.short[n]) for n, c in named.items()])
+        sums = [F.sum("_n").alias("n"), *[(F.sum(F.col("_n") * F.col(z)) / F.sum("_n")).alias(f"m_{z}") for z in self.short.values()]]
+        first = raw.agg(*sums).first()
+        self.n = first["n"]
+        self.center = {n: float(first[f"m_{z}"]) for n, z in self.short.items()}
+        squares = [F.sum(F.col("_n") * (F.col(z) - F.lit(self.center[n])) ** 2).alias(z) for n, z in self.short.items()]
+        found = raw.agg(F.count("*").alias("cells"), *squares).first()
+        spread = {n: math.sqrt(float(found[z]) / self.n) for n, z in self.short.items()}
+        self.scale = {n: spread[n] if spread[n] > 1e-12 * (1.0 + abs(self.center[n])) else 1.0 for n in self.names}
+        self.rows = raw.select(*keys, "_n", "_y", *[((F.col(z) - F.lit(self.center[n])) / F.lit(self.scale[n])).alias(z) for n, z in self.short.items()])
+
+
+def _residual(layout: Layout, values: Sequence[Column]) -> Column:
+    return reduce(lambda left, pair: left - F.col(pair[0]) * pair[1], zip(layout.regressors, values), F.col(layout.y))
+
+
+def _outer(scores: Sequence[Column], tag: str = "m", weight: Column | None = None) -> list[Column]:
+    pairs = [(a, c) for i, a in enumerate(scores) for c in scores[i:]]
+    products = [a * c if weight is None else a * c * weight for a, c in pairs]
+    return [F.sum(p).alias(n) for p, n in zip(products, outer_names(len(scores), tag))]
+
+
+class _Pass:
+    """Rows that several models share: without their factors' effects, and with the sums that the models are solved from."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        models: Mapping[str, tuple[str, Sequence[Term]]],
+        segment: Sequence[str],
+        absorb: Sequence[str],
+        cluster: str | None,
+        keep: Sequence[str],
+        degrees: str,
+        most_rounds: int,
+        small_cells: int,
+    ):
+        required = list(dict.fromkeys([*segment, *absorb, *([cluster] if cluster else [])]))
+        kept = [c for c in dict.fromkeys(keep) if c not in required]
+        named: dict[str, Column] = {}
+        layout: dict[str, tuple[str, list[str]]] = {}
+        for name, (outcome, terms) in models.items():
+            named[outcome] = F.col(outcome).cast("double")
+            expanded = expand_terms(df, terms)
+            named.update(expanded)
+            layout[name] = (outcome, [t for t, _ in expanded])
+        columns = _Columns(df, named, required, kept)
+        if not columns.n:
+            raise ValueError(f"no row is complete in the columns of {list(models)}")
+        self.n_missing, self.segment, self.absorb, self.kept = columns.n_missing, list(segment), list(absorb), {*required, *kept}
+        z = list(columns.short.values())
+        self.rounds = 0
+        if absorb:
+            swept = sweep_rows(columns.rows, segment, absorb, z, most_rounds, small_cells)
+            self.rows, self.rounds, self.cells = cut(swept.rows, "swept"), swept.rounds, swept.cells
+        else:
+            self.rows = columns.rows.withColumn("one", F.lit(1.0))
+        self.columns = z if absorb else ["one", *z]
+        shared = dict(center=columns.center, scale=columns.scale, swept=bool(absorb), columns=tuple(self.columns), factors=tuple(absorb))
+        self.layouts = {
+            name: Layout(outcome, tuple(terms), columns.short[outcome], (*(() if absorb else ("one",)), *[columns.short[t] for t in terms]), **shared)
+            for name, (outcome, terms) in layout.items()
+        }
+        pairs = [(a, b) for i, a in enumerate(self.columns) for b in self.columns[i:]]
+        sums = [F.count("*").cast("double").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]]
+        totals = self.rows.groupBy(*segment).agg(*sums)
+        if not absorb:
+            totals = totals.withColumns({**{f"s_{a}": F.col(f"p_one_{a}") for a in z}, **{f"raw_{a}": F.col(f"p_{a}_{a}") for a in z}})
+        elif segment:
+            before = columns.rows.groupBy(*segment).agg(*[F.sum(a).alias(f"s_{a}") for a in z], *[F.sum(F.col(a) * F.col(a)).alias(f"raw_{a}") for a in z])
+            totals = totals.join(before, list(segment))
+        else:
+            totals = totals.withColumns({**{f"s_{a}": F.lit(0.0) for a in z}, **{f"raw_{a}": F.lit(columns.raw[a]) for a in z}})
+        for factor in absorb:
+            level = list(dict.fromkeys([*segment, factor]))
+            sizes = self.cells.select(*level).distinct().groupBy(*segment).agg(F.count("*").cast("double").alias(f"l_{factor}"))
+            totals = totals.join(sizes, list(segment)) if segment else totals.withColumn(f"l_{factor}", F.lit(float(sizes.first()[0])))
+        if absorb:
+            if degrees == "components" and len(absorb) > 1:
+                found = dependent_levels(self.cells, segment, absorb)
+                totals = totals.join(found, list(segment)) if segment else totals.withColumn("dependent", F.lit(found.first()["dependent"]))
+            else:
+                totals = totals.withColumn("dependent", F.lit(len(absorb) - 1))
+        self.fields = [c for c in totals.columns if c not in segment]
+        numbers = F.array(*[F.col(f"`{c}`").cast("double") for c in self.fields]).alias("numbers")
+        if segment:
+            # The number of a segment is settled once the table is written.
+            self.totals = cut(totals.select(*segment, numbers).withColumn("_s", F.monotonically_increasing_id()), "totals")
+        else:
+            self.total = dict(zip(self.fields, totals.select(numbers).first()["numbers"]))
+
+    def nested(self, cluster: str) -> frozenset[str]:
+        """Factors each of whose levels lies in one cluster."""
+        found = set()
+        for f in self.absorb:
+            spans = self.rows.groupBy(*dict.fromkeys([*self.segment, f])).agg(F.min(cluster).alias("_lo"), F.max(cluster).alias("_hi"))
+            if f == cluster or spans.where(F.col("_lo") != F.col("_hi")).isEmpty():
+                found.add(f)
+        return frozenset(found)
+
+    def _sums(self, rows: DataFrame, by: Sequence[str], layout: Layout, values: Sequence[Column], vcov: str, cluster: str | None) -> DataFrame:
+        """The middle of the sandwich: outer products of scores, of rows or of clusters."""
+        residual = _residual(layout, values)
+        if vcov == "hc1":
+            outer = _outer([F.col(a) for a in layout.regressors], weight=residual * residual)
+            return rows.groupBy(*by).agg(F.count("*").alias("groups"), F.lit(0).alias("unknown"), *outer)
+        scores = rows.groupBy(*by, F.col(cluster).alias("_c")).agg(*[F.sum(F.col(a) * residual).alias(f"_u{j}") for j, a in enumerate(layout.regressors)])
+        outer = _outer([F.col(f"_u{j}") for j in range(len(layout.regressors))])
+        return scores.groupBy(*by).agg(F.count("*").alias("groups"), F.count_if(F.col("_c").isNull()).alias("unknown"), *outer)
+
+    def fit(self, name: str, vcov: str, cluster: str | None) -> Fit:
+        """One model on all rows."""
+        layout = self.layouts[name]
+        solution, meat, groups = solved(self.total, layout), None, None
+        if vcov != "iid":
+            values = [F.lit(b) for b in solution.padded(len(layout.regressors))]
+            row = self._sums(self.rows, [], layout, values, vcov, cluster).first()
+            if row["unknown"]:
+                raise ValueError(f"{cluster} is missing in some rows of the fit")
+            meat, groups = read_outer(row, len(layout.regressors)), row["groups"]
+        if vcov == "cluster" and self.absorb:
+            layout = replace(layout, nested=self.nested(cluster))
+        fit = finished(self.total, layout, solution, vcov, meat, groups)
+        fit.n_missing, fit.source = self.n_missing, (self, name)
+        if self.absorb:
+            fit.stats["rounds"] = float(self.rounds)
+        return fit
+
+    def segments(self, vcov: str, cluster: str | None) -> DataFrame:
+        """Every model on every segment, as a table: segment columns and ``FIT_FIELDS``."""
+        layouts = self.layouts
+        if vcov == "cluster" and self.absorb:
+            nested = self.nested(cluster)
+            layouts = {name: replace(layout, nested=nested) for name, layout in layouts.items()}
+        types = "model string, meat array<double>, groups bigint"
+        if vcov == "iid":
+            known = self.totals.select("_s", "numbers", *[F.lit(None).cast(t).alias(n) for n, t in (p.split(" ") for p in types.split(", "))])
+        else:
+            found = cut(in_tasks(self.totals.select("_s", "numbers"), solve_batches(self.fields, layouts), "_s bigint, _model string, _b array<double>"), "coefficients")
+            found = self.totals.select(*self.segment, "_s").join(found, "_s")
+            meats = []
+            for name, layout in layouts.items():
+                of_model = found.where(F.col("_model") == name).select(*self.segment, "_s", "_b")
+                rows = lookup_join(self.rows, of_model, self.segment, "inner", null_safe=False)
+                values = [F.col("_b")[j] for j in range(len(layout.regressors))]
+                sums = self._sums(rows, ["_s"], layout, values, vcov, cluster)
+                meats.append(sums.select("_s", F.lit(name).alias("model"), F.array(*outer_names(len(layout.regressors))).alias("meat"), "groups"))
+            meats = reduce(lambda a, b: a.unionByName(b), meats)
+            known = self.totals.select("_s", "numbers").join(meats, "_s").select("_s", "numbers", "model", "meat", "groups")
+        fits = in_tasks(known, finish_batches(self.fields, layouts, vcov), f"_s bigint, {FIT_FIELDS}")
+        return self.totals.select(*self.segment, "_s").join(fits, "_s").drop("_s")
+
+
+def _passes(
     df: DataFrame,
     models: Mapping[str, tuple[str, Sequence[Term]]],
     absorb: Sequence[str] = (),
@@ -245,66 +257,92 @@ def linear_models(
     cluster: str | None = None,
     segment: Sequence[str] = (),
     most_rounds: int = 500,
+    keep: Sequence[str] = (),
+    degrees: str = "levels",
+    small_cells: int = SMALL_CELLS,
+) -> dict[str, _Pass]:
+    """Each model's pass. Models that use the same rows share one, the others get one each."""
+    if vcov not in ("iid", "hc1", "cluster") or (vcov == "cluster") != (cluster is not None):
+        raise ValueError("vcov is 'iid', 'hc1', or 'cluster' with a cluster column")
+    if degrees not in ("levels", "components"):
+        raise ValueError("degrees is 'levels' or 'components'")
+    keys = list(dict.fromkeys([*segment, *absorb, *([cluster] if cluster else [])]))
+    options = (segment, absorb, cluster, keep, degrees, most_rounds, small_cells)
+    if len(models) > 1 and not _same_rows(df, models, keys):
+        return {name: _Pass(df, {name: model}, *options) for name, model in models.items()}
+    shared = _Pass(df, models, *options)
+    return {name: shared for name in models}
+
+
+def linear_models(
+    df: DataFrame, models: Mapping[str, tuple[str, Sequence[Term]]], vcov: str = "iid", cluster: str | None = None, segment: Sequence[str] = (), **options
 ) -> dict[str, list[Fit]]:
     """Fit several linear models on one table, each on every segment.
 
     ``models`` maps a name to (outcome, terms). ``absorb`` lists fixed-effect factors, ``vcov`` is 'iid',
     'hc1' or 'cluster'. Rows with a missing value in any column of a model are left out. Models that use the
     same rows share one pass over the table; the others get a pass each. Several factors that have not settled
-    after ``most_rounds`` sweeps are an error, as is a table without a complete row.
+    after ``most_rounds`` rounds are an error, as is a table without a complete row.
+
+    Absorbed levels count as parameters, less one for every factor but the first; with ``degrees`` 'components', less the
+    parts into which the levels fall apart. ``keep`` names columns by which errors may be clustered later (``with_errors``).
+    The fits of segments are brought to the driver here; ``segment_models`` gives the same as a table.
     """
-    if vcov not in ("iid", "hc1", "cluster") or (vcov == "cluster") != (cluster is not None):
-        raise ValueError("vcov is 'iid', 'hc1', or 'cluster' with a cluster column")
-    keys = list(dict.fromkeys([*segment, *absorb, *([cluster] if cluster else [])]))
-    named: dict[str, Column] = {}
-    layout: dict[str, tuple[str, list[str]]] = {}
-    for name, (outcome, terms) in models.items():
-        named[outcome] = F.col(outcome).cast("double")
-        expanded = expand_terms(df, terms)
-        named.update(expanded)
-        layout[name] = (outcome, [t for t, _ in expanded])
-    if len(models) > 1 and not _same_rows(df, models, keys):
-        fits: dict[str, list[Fit]] = {}
-        for name, model in models.items():
-            fits.update(linear_models(df, {name: model}, absorb, vcov, cluster, segment, most_rounds))
-        return fits
-
-    columns = _Columns(df, named, keys)
-    if not columns.n:
-        raise ValueError(f"no row is complete in the columns of {list(models)}")
-    z = [columns.short[n] for n in columns.names]
-    cells = _moment_cells(columns.rows, keys, z)
-    swept = bool(absorb)
-    if swept or cluster:
-        cells = cut(cells, "moments")
-    if swept:
-        cells = cut(_sweep_factors(cells, segment, absorb, z, most_rounds), "swept")
-    products, order = _within_products(cells, z, swept)
-    pairs = [f"p_{a}_{b}" for i, a in enumerate(order) for b in order[i:]]
-    sums = [F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in pairs]]
-    sums += [F.sum(f"s_{a}").alias(f"s_{a}") for a in z] + [F.sum(f"raw_{a}").alias(f"raw_{a}") for a in z]
-    totals = list(products.groupBy(*segment).agg(*sums).toLocalIterator())
-    sizes =_factor_sizes(cells, segment, absorb) if swept else {}
-    nested = _nested_factors(cells, segment, absorb, cluster) if swept and cluster else set()
-
-    solved = []
-    for name, (outcome, terms) in layout.items():
-        for row in totals:
-            if row["n"]:
-                solved.append((name, outcome, terms, row, *_solve(row, columns, order, outcome, terms, swept)))
-    meats = _meats(solved, vcov, cluster, segment, absorb, columns, products, cells, order, z, swept)
+    passes = _passes(df, models, vcov=vcov, cluster=cluster, segment=segment, **options)
+    if not segment:
+        return {name: [shared.fit(name, vcov, cluster)] for name, shared in passes.items()}
     result: dict[str, list[Fit]] = {name: [] for name in models}
-    for index, (name, outcome, terms, row, used, b, bread, rss) in enumerate(solved):
-        values = tuple(row[s] for s in segment)
-        fit = _finish(
-            outcome, terms, row, used, b, bread, rss, columns, swept, vcov, meats.get(index), sizes.get(values, {}), nested
-        )
-        fit.n_missing = columns.n_missing
-        fit.segment = dict(zip(segment, values))
-        result[name].append(fit)
+    for shared in dict.fromkeys(passes.values()):
+        for row in shared.segments(vcov, cluster).toLocalIterator():
+            k = len(row["terms"])
+            fit = Fit(
+                row["outcome"], row["terms"], np.array(row["coef"]), np.array(row["vcov"]).reshape(k, k), row["n"], row["n_params"], row["df_t"], vcov,
+                dict(zip(row["stat_names"], row["stat_values"])), row["dropped"], shared.n_missing, {s: row[s] for s in segment},
+            )
+            result[row["fit"]].append(fit)
     return result
 
 
+def segment_models(
+    df: DataFrame, models: Mapping[str, tuple[str, Sequence[Term]]], segment: Sequence[str], vcov: str = "iid", cluster: str | None = None, **options
+) -> DataFrame:
+    """The fits of every model on every segment as a table, solved on the executors; nothing of a segment reaches the driver.
+
+    Columns: the segment's, and ``FIT_FIELDS`` with terms, coefficients, errors and the covariance (by rows) as arrays.
+    """
+    passes = _passes(df, models, vcov=vcov, cluster=cluster, segment=segment, **options)
+    tables = [shared.segments(vcov, cluster) for shared in dict.fromkeys(passes.values())]
+    return reduce(lambda a, b: a.unionByName(b), tables)
+
+
+def segment_table(fits: DataFrame) -> DataFrame:
+    """One row per coefficient of the fits that ``segment_models`` gives."""
+    each = F.explode(F.arrays_zip("terms", "coef", "std_error", "statistic", "p_value"))
+    others = [c for c in fits.columns if c not in {part.split(" ")[0] for part in FIT_FIELDS.split(", ")}]
+    rows = fits.select(*others, "fit", "outcome", each.alias("e"), "n")
+    named = {"terms": "term", "coef": "estimate", "std_error": "std_error", "statistic": "statistic", "p_value": "p_value"}
+    return rows.select(*others, "fit", "outcome", *[F.col(f"e.{a}").alias(b) for a, b in named.items()], "n")
+
+
+def fit_statistics_of(fits: DataFrame) -> DataFrame:
+    """One row per statistic of the fits that ``segment_models`` gives."""
+    others = [c for c in fits.columns if c not in {part.split(" ")[0] for part in FIT_FIELDS.split(", ")}]
+    rows = fits.select(*others, "fit", "outcome", F.explode(F.arrays_zip("stat_names", "stat_values")).alias("e"))
+    return rows.select(*others, "fit", "outcome", F.col("e.stat_names").alias("stat"), F.col("e.stat_values").alias("value"))
+
+
+def with_errors(fit: Fit, vcov: str, cluster: str | None = None) -> Fit:
+    """The same fit with errors of another kind, from the rows that it keeps; ``cluster`` is a key or kept column of it."""
+    if vcov not in ("iid", "hc1", "cluster") or (vcov == "cluster") != (cluster is not None):
+        raise ValueError("vcov is 'iid', 'hc1', or 'cluster' with a cluster column")
+    if fit.source is None:
+        raise ValueError("only a linear fit of a whole table keeps its rows")
+    shared, name = fit.source
+    if cluster and cluster not in shared.kept:
+        raise ValueError(f"{cluster} was not kept; name it in keep= when fitting")
+    return shared.fit(name, vcov, cluster)
+
+
 def _same_rows(df: DataFrame, models: Mapping[str, tuple[str, Sequence[Term]]], keys: Sequence[str]) -> bool:
     """Whether every model has the same complete rows, told by one count of each."""
     tests = {}
@@ -321,186 +359,13 @@ def _same_rows(df: DataFrame, models: Mapping[str, tuple[str, Sequence[Term]]],
     return all(counts[n] == counts["all"] for n in tests)
 
 
-def _solve(row, columns: _Columns, order: Sequence[str], outcome: str, terms: Sequence[str], swept: bool):
-    """Coefficients in scaled units: (short names used, b, inverse of X'X, residual sum of squares)."""
-    regressors = ([] if swept else ["one"]) + [columns.short[t] for t in terms]
-    y = columns.short[outcome]
-    gram = _symmetric(row, regressors, order)
-    # A column that the factors or the scaling left without spread is no regressor. Judge it on its scale.
-    spread = np.array([1.0 if a == "one" else max(float(row[f"raw_{a}"]), 1e-300) for a in regressors])
-    for j, a in enumerate(regressors):
-        if a != "one" and gram[j, j] <= PIVOT_TOLERANCE * spread[j]:
-            gram[j, j] = 0.0
-    kept = independent_columns(gram)
-    used = [regressors[j] for j in kept]
-    xx = _symmetric(row, used, order)
-    xy = np.array([float(row[_pair(a, y, order)]) for a in used])
-    bread = np.linalg.inv(xx)
-    b = bread @ xy
-    rss = max(float(row[_pair(y, y, order)]) - 2.0 * b @ xy + b @ xx @ b, 0.0)
-    return used, b, bread, rss
-
-
-def _score(regressors: Sequence[str], y: str, b: Sequence[Column], order: Sequence[str]) -> list[Column]:
-    """Sum of regressor times residual over the rows of a cell or cluster."""
-    scores = []
-    for a in regressors:
-        term = F.col(_pair(a, y, order))
-        for other, value in zip(regressors, b):
-            term = term - F.col(_pair(a, other, order)) * value
-        scores.append(term)
-    return scores
-
-
-def _outer(scores: Sequence[Column], tag: str, weight: Column | None = None) -> list[Column]:
-    columns = []
-    for i, a in enumerate(scores):
-        for j, c in enumerate(scores[i:], start=i):
-            product = a * c if weight is None else a * c * weight
-            columns.append(F.sum(product).alias(f"{tag}_{i}_{j}"))
-    return columns
-
-
-def _read_outer(row, size: int, tag: str) -> np.ndarray:
-    meat = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            meat[i, j] = meat[j, i] = float(row[f"{tag}_{i}_{j}"] or 0.0)
-    return meat
-
-
-def _meats(solved, vcov, cluster, segment, absorb, columns, products, cells, order, z, swept) -> dict[int, tuple]:
-    """Middle part of the sandwich for every solved model: (matrix, number of clusters)."""
-    if vcov == "iid":
-        return {}
-    if vcov == "cluster":
-        pairs = [f"p_{a}_{b}" for i, a in enumerate(order) for b in order[i:]]
-        keys = list(dict.fromkeys([*segment, cluster]))
-        base = products.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in pairs])
-        if len(solved) > 1:
-            base = cut(base, "clusters")
-    else:
-        base = columns.rows
-        if swept:
-            effect = {f"_t_{a}": (F.col(f"s_{a}") - F.col(f"r_{a}")) / F.col("n") for a in z}
-            keys = list(dict.fromkeys([*segment, *absorb]))
-            effects = cut(cells.select(*keys, *[c.alias(n) for n, c in effect.items()]), "effects")
-            base = lookup_join(base, effects, keys)
-            base = base.withColumns({a: F.col(a) - F.col(f"_t_{a}") for a in z}).drop(*effect)
-        base = base.withColumn("one", F.lit(1.0))
-    # One job per model serves all its segments: each row or cluster meets the coefficients of its segment.
-    of_model: dict[str, list[int]] = {}
-    for index, (name, *_) in enumerate(solved):
-        of_model.setdefault(name, []).append(index)
-    meats = {}
-    for indexes in of_model.values():
-        _, outcome, terms, *_ = solved[indexes[0]]
-        y = columns.short[outcome]
-        regressors = ([] if swept else ["one"]) + [columns.short[t] for t in terms]
-        vectors = {}
-        for index in indexes:
-            row, used, b = solved[index][3:6]
-            by_name = dict(zip(used, map(float, b)))
-            vectors[index] = [by_name.get(a, 0.0) for a in regressors]
-        if segment:
-            kinds = [base.schema[s] for s in segment]
-            schema = StructType([*kinds, StructField("_b", ArrayType(DoubleType())), StructField("_fit", LongType())])
-            table = [(*(solved[i][3][s] for s in segment), vectors[i], i) for i in indexes]
-            rows = lookup_join(base, base.sparkSession.createDataFrame(table, schema), segment, "inner")
-            by, values = ["_fit"], [F.col("_b")[j] for j in range(len(regressors))]
-        else:
-            rows, by, values = base, [], [F.lit(v) for v in vectors[indexes[0]]]
-        if vcov == "cluster":
-            scores, weight = _score(regressors, y, values, order), None
-        else:
-            fitted = F.lit(0.0)
-            for a, value in zip(regressors, values):
-                fitted = fitted + F.col(a) * value
-            residual = F.col(y) - fitted
-            scores, weight = [F.col(a) for a in regressors], residual * residual
-        for found in rows.groupBy(*by).agg(F.count("*").alias("groups"), *_outer(scores, "m", weight)).toLocalIterator():
-            index = found["_fit"] if segment else indexes[0]
-            at = [regressors.index(a) for a in solved[index][4]]
-            meats[index] = (_read_outer(found, len(regressors), "m")[np.ix_(at, at)], found["groups"])
-    return meats
-
-
-def _finish(outcome, terms, row, used, b, bread, rss, columns, swept, vcov, meat, sizes, nested) -> Fit:
-    """Standard errors, original units and fit statistics."""
-    n = int(row["n"])
-    names = {columns.short[t]: t for t in terms}
-    effects = sum(sizes.values()) - (len(sizes) - 1) if sizes else 0
-    n_params = len(used) + effects
-    degrees = n - n_params
-    if vcov == "iid":
-        v = bread * (rss / degrees if degrees > 0 else math.nan)
-        df_t = degrees
-    elif vcov == "hc1":
-        v = bread @ meat[0] @ bread * (n / degrees if degrees > 0 else math.nan)
-        df_t = degrees
-    else:
-        groups = meat[1]
-        inside = sum(size - 1 for f, size in sizes.items() if f in nested)
-        counted = n_params - inside
-        c = (groups / (groups - 1)) * ((n - 1) / (n - counted)) if groups > 1 and n > counted else math.nan
-        v = bread @ meat[0] @ bread * c
-        df_t = groups - 1
-
-    y_scale, y_center = columns.scale[outcome], columns.center[outcome]
-    back = np.zeros((len(used), len(used)))
-    shift = np.zeros(len(used))
-    for j, a in enumerate(used):
-        if a == "one":
-            back[j, j] = y_scale
-            shift[j] = y_center
-        else:
-            back[j, j] = y_scale / columns.scale[names[a]]
-    if "one" in used:
-        at = used.index("one")
-        for j, a in enumerate(used):
-            if a != "one":
-                back[at, j] = -y_scale * columns.center[names[a]] / columns.scale[names[a]]
-    coef = back @ b + shift
-    covariance = back @ v @ back.T
-
-    y = columns.short[outcome]
-    unit = y_scale * y_scale
-    tss = max(float(row[f"raw_{y}"]) - float(row[f"s_{y}"]) ** 2 / n, 0.0)
-    within = float(row[f"p_{y}_{y}"]) if swept else tss
-    rss_units = rss * unit
-    loglik = -0.5 * n * (math.log(2 * math.pi) + math.log(max(rss_units, 1e-300) / n) + 1)
-    stats = {
-        "n": n,
-        "r2": 1 - rss / tss if tss > 0 else math.nan,
-        "adj_r2": 1 - (rss / degrees) / (tss / (n - 1)) if tss > 0 and degrees > 0 else math.nan,
-        "within_r2": 1 - rss / within if swept and within > 0 else math.nan,
-        "rmse": math.sqrt(rss_units / n),
-        "loglik": loglik,
-        "aic": -2 * loglik + 2 * n_params,
-        "bic": -2 * loglik + math.log(n) * n_params,
-    }
-    labels = ["(Intercept)" if a == "one" else names[a] for a in used]
-    return Fit(
-        outcome=outcome,
-        terms=labels,
-        coef=coef,
-        vcov=covariance,
-        n=n,
-        n_params=n_params,
-        df_t=df_t,
-        vcov_type=vcov,
-        stats=stats,
-        dropped=[t for t in terms if t not in labels],
-    )
-
-
 def ols(df: DataFrame, outcome: str, terms: Sequence[Term], **options) -> Fit:
     """One linear model on the whole table."""
     return linear_models(df, {outcome: (outcome, terms)}, **options)[outcome][0]
 
 
 def ols_by_segment(df: DataFrame, outcome: str, terms: Sequence[Term], segment: Sequence[str], **options) -> list[Fit]:
-    """The same model on every segment, in one pass."""
+    """The same model on every segment, in one pass; for few segments, see ``segment_models``."""
     return linear_models(df, {outcome: (outcome, terms)}, segment=segment, **options)[outcome]
 
 
@@ -518,6 +383,19 @@ def sweep(
     return {name: found[0] for name, found in fits.items()}
 
 
+def _tagged(df: DataFrame, subsets: Mapping[str, Column | None]) -> DataFrame:
+    tags = [
+        F.lit(name) if condition is None else F.when(condition, F.lit(name)) for name, condition in subsets.items()
+    ]
+    return df.withColumn("_subset", F.explode(F.array_compact(F.array(*tags))))
+
+
+def subset_models(df: DataFrame, subsets: Mapping[str, Column | None], outcome: str, terms: Sequence[Term], **options) -> DataFrame:
+    """The same model on filtered subsets as a table, ``fit`` being the subset's name; see ``fit_subsets``."""
+    fits = segment_models(_tagged(df, subsets), {outcome: (outcome, terms)}, ["_subset"], **options)
+    return fits.withColumn("fit", F.col("_subset")).drop("_subset")
+
+
 def fit_subsets(
     df: DataFrame, subsets: Mapping[str, Column | None], outcome: str, terms: Sequence[Term], **options
 ) -> dict[str, Fit]:
@@ -526,18 +404,19 @@ def fit_subsets(
     A row is counted into every subset it belongs to, so one pass serves all of them. Levels of text
     regressors are those of the whole table.
     """
-    tags = [
-        F.lit(name) if condition is None else F.when(condition, F.lit(name)) for name, condition in subsets.items()
-    ]
-    tagged = df.withColumn("_subset", F.explode(F.array_compact(F.array(*tags))))
-    fits = {fit.segment["_subset"]: fit for fit in ols_by_segment(tagged, outcome, terms, ["_subset"], **options)}
+    fits = {fit.segment["_subset"]: fit for fit in ols_by_segment(_tagged(df, subsets), outcome, terms, ["_subset"], **options)}
     for fit in fits.values():
         fit.segment = {}
     return {name: fits[name] for name in subsets if name in fits}
 
 
-def wald(fit: Fit, pattern: str) -> dict[str, object]:
-    """Joint test that every coefficient whose name matches the pattern is zero."""
+def wald(fit: Fit, pattern: str, vcov: str | None = None, cluster: str | None = None) -> dict[str, object]:
+    """Joint test that every coefficient whose name matches the pattern is zero.
+
+    With ``vcov`` or ``cluster`` the test takes errors of that kind, whatever those of the fit are.
+    """
+    if vcov or cluster:
+        fit = with_errors(fit, vcov or "cluster", cluster)
     chosen = [j for j, t in enumerate(fit.terms) if re.search(pattern, t)]
     if not chosen:
         raise ValueError(f"no coefficient matches {pattern!r}")
@@ -556,21 +435,29 @@ def logit(
     tolerance: float = 1e-10,
     max_steps: int = 25,
 ) -> Fit:
-    """Logistic regression by Newton steps, each one aggregate over the table.
+    """Logistic regression by Newton steps over cells of equal covariates.
 
-    The needed columns are written once, as they are read in every step. If some combination of regressors
+    The table is read once: rows that agree in all source columns, and in the cluster, become one cell with their count and
+    the sum of their outcomes. Each step is one aggregate over the cells. The outcome is 0 or 1. If some combination of regressors
     tells the outcomes apart fully there is no finite estimate, and this raises an error, as does a fit that has
     not settled after ``max_steps`` steps.
     """
+    sources = list(dict.fromkeys(c for t in terms for c in source_columns(t)))
     keys = [cluster] if cluster else []
-    expanded = dict(expand_terms(df, terms))
-    columns = _Columns(df, expanded, [*keys, outcome])
-    n = columns.n
-    y = F.col(outcome).cast("double")
-    rows = cut(columns.rows.withColumn("_y", y).withColumn("one", F.lit(1.0)), "logit")
+    everything = list(dict.fromkeys([*keys, *sources]))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*everything, outcome]])
+    seen = Observation("rows")
+    rows = df.select(*dict.fromkeys([*everything, outcome])).observe(seen, F.count(F.lit(1)).alias("n"))
+    grouped = rows.where(known).groupBy(*everything).agg(F.count("*").alias("_n"), F.sum(F.col(outcome).cast("double")).alias("_y"))
+    cells = cut(grouped, "covariates")
+    if cells.isEmpty():
+        raise ValueError(f"no row is complete in {everything} and {outcome}")
+    columns = _CellColumns(cells, dict(expand_terms(cells, terms)), keys)
+    n, n_missing = columns.n, seen.get["n"] - columns.n
+    rows = cut(columns.rows.withColumn("one", F.lit(1.0)), "logit")
     regressors = ["one", *columns.short.values()]
-    gram_row = rows.agg(*_outer([F.col(a) for a in regressors], "g")).first()
-    used = [regressors[j] for j in independent_columns(_read_outer(gram_row, len(regressors), "g"))]
+    gram_row = rows.agg(*_outer([F.col(a) for a in regressors], "g", F.col("_n"))).first()
+    used = [regressors[j] for j in independent_columns(read_outer(gram_row, len(regressors), "g"))]
 
     b = np.zeros(len(used))
     deviance = math.inf
@@ -581,15 +468,15 @@ def logit(
         p = 1.0 / (1.0 + F.exp(-F.col("_eta")))
         step = rows.withColumn("_eta", eta).withColumn("_p", p)
         log_one_plus = F.greatest(F.col("_eta"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_eta")))
-        gradient = [F.sum(F.col(a) * (F.col("_y") - F.col("_p"))).alias(f"d_{i}") for i, a in enumerate(used)]
+        gradient = [F.sum(F.col(a) * (F.col("_y") - F.col("_n") * F.col("_p"))).alias(f"d_{i}") for i, a in enumerate(used)]
         found = step.agg(
-            *_outer([F.col(a) for a in used], "h", F.col("_p") * (1.0 - F.col("_p"))),
+            *_outer([F.col(a) for a in used], "h", F.col("_n") * F.col("_p") * (1.0 - F.col("_p"))),
             *gradient,
-            F.sum(F.col("_y") * F.col("_eta") - log_one_plus).alias("ll"),
-            F.sum((F.col("_y") - F.col("_p")) ** 2).alias("sse"),
-            F.avg("_y").alias("base"),
+            F.sum(F.col("_y") * F.col("_eta") - F.col("_n") * log_one_plus).alias("ll"),
+            F.sum(F.col("_y") * (1.0 - 2.0 * F.col("_p")) + F.col("_n") * F.col("_p") * F.col("_p")).alias("sse"),
+            (F.sum("_y") / F.sum("_n")).alias("base"),
         ).first()
-        hessian = _read_outer(found, len(used), "h")
+        hessian = read_outer(found, len(used), "h")
         new_deviance = -2.0 * float(found["ll"])
         done = abs(new_deviance - deviance) / (0.1 + abs(new_deviance)) < tolerance
         deviance = new_deviance
@@ -604,14 +491,14 @@ def logit(
     bread = np.linalg.inv(hessian)
     v, df_t, kind = bread, n - len(used), "iid"
     if cluster:
-        scores = [F.sum(F.col(a) * (F.col("_y") - F.col("_p"))).alias(f"_s{i}") for i, a in enumerate(used)]
+        scores = [F.sum(F.col(a) * (F.col("_y") - F.col("_n") * F.col("_p"))).alias(f"_s{i}") for i, a in enumerate(used)]
         per_cluster = step.groupBy(cluster).agg(*scores)
         sums = per_cluster.agg(
             F.count("*").alias("groups"), *_outer([F.col(f"_s{i}") for i in range(len(used))], "m")
         ).first()
         groups = sums["groups"]
         factor = (groups / (groups - 1)) * ((n - 1) / (n - len(used)))
-        v = bread @ _read_outer(sums, len(used), "m") @ bread * factor
+        v = bread @ read_outer(sums, len(used), "m") @ bread * factor
         df_t, kind = groups - 1, "cluster"
 
     names = {z: t for t, z in columns.short.items()}
@@ -643,6 +530,6 @@ def logit(
         vcov_type=kind,
         stats=stats,
         dropped=[names[a] for a in regressors if a not in used],
-        n_missing=columns.n_missing,
+        n_missing=n_missing,
         normal=True,
     )

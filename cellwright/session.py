@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,13 @@ def cut(df: DataFrame, label: str = "stage", path: str | None = None) -> DataFra
     path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_tasks(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the import path of the Python workers (where it is at the same place)."""
+    environment = df.sparkSession.sparkContext.environment
+    path = environment.get("PYTHONPATH", "")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in path.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, root]))
+    return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import pytest
 
 from cellwright.catalog import QUERIES
 from cellwright.operators import cells, filters, joins, reshape
-from cellwright.operators.estimate import _moment_cells
+from cellwright.operators.absorb import factor_cells
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -49,8 +49,11 @@ def test_one_shuffle_with_a_partial_aggregate(orders):
     assert exchanges(first) == 1 and "Window" not in plan(first) and "partial_min_by" in plan(first)
     wide = reshape.to_wide(orders, ["o_custkey"], "o_orderstatus", ["O", "F"], ["o_totalprice"], reduce="sum")
     assert exchanges(wide) == 1
-    moments = _moment_cells(orders, ["o_orderstatus"], ["o_totalprice"])
+    moments = factor_cells(orders, ["o_custkey"], ["o_totalprice", "o_orderkey"])
     assert exchanges(moments) == 1 and "partial_sum" in plan(moments)
+    # Only counts and sums are shuffled by level, no products of columns.
+    shuffled = [line for line in plan(moments).split("\n") if "partial_sum" in line]
+    assert shuffled and all("*" not in line.split("functions=")[-1].replace("count(1)", "") for line in shuffled)
 
 
 def test_count_tables_are_stacked_not_joined(orders):
