@@ -110,23 +110,25 @@ def level_effects(
             break
         moved = of_levels(state, "p")
         average = moved.groupBy("m").agg(*[(F.sum(F.col("n") * F.col(f"u_{a}")) / F.sum("n")).alias(f"_a_{a}") for a in z])
-        moved = lookup_join(moved, cut(average, "averages"), ["m"], null_safe=False, hot=None)
+        moved = moved.join(average, "m")
         pushed = to_levels(moved, {f"q_{a}": F.col("n") * (F.col(f"u_{a}") - F.col(f"_a_{a}")) for a in z}, [f"q_{a}" for a in z])
         seen = Observation("steps")
         step = state.join(pushed.drop("size"), "id").observe(seen, *[F.sum(F.col(f"p_{a}") * F.col(f"q_{a}")).alias(a) for a in z])
         step = cut(step, "levels")
         curve = np.array([float(seen.get[a] or 0.0) for a in z])
         alpha = np.divide(left, curve, out=np.zeros(len(z)), where=open_ & (curve > 0))
-        step = step.withColumns(
-            {
-                **{f"x_{a}": F.col(f"x_{a}") + F.lit(float(w)) * F.col(f"p_{a}") for a, w in zip(z, alpha)},
-                **{f"r_{a}": F.col(f"r_{a}") - F.lit(float(w)) * F.col(f"q_{a}") for a, w in zip(z, alpha)},
-            }
-        ).drop(*[f"q_{a}" for a in z])
-        now = lengths(step)
+        rest_of = {a: F.col(f"r_{a}") - F.lit(float(w)) * F.col(f"q_{a}") for a, w in zip(z, alpha)}
+        # The lengths are summed anew: following them from the step loses too many digits.
+        now = lengths(step.select("size", *[r.alias(f"r_{a}") for a, r in rest_of.items()]))
         beta = np.divide(now, left, out=np.zeros(len(z)), where=open_ & (left > 0))
         left = np.where(open_, now, left)
-        state = step.withColumns({f"p_{a}": F.col(f"r_{a}") / F.col("size") + F.lit(float(w)) * F.col(f"p_{a}") for a, w in zip(z, beta)})
+        state = step.select(
+            "id",
+            "size",
+            *[r.alias(f"r_{a}") for a, r in rest_of.items()],
+            *[(F.col(f"x_{a}") + F.lit(float(w)) * F.col(f"p_{a}")).alias(f"x_{a}") for a, w in zip(z, alpha)],
+            *[(rest_of[a] / F.col("size") + F.lit(float(w)) * F.col(f"p_{a}")).alias(f"p_{a}") for a, w in zip(z, beta)],
+        )
     else:
         raise RuntimeError(f"the factors {list(factors)} did not settle in {most_rounds} rounds")
 

@@ -224,6 +224,10 @@ class _Pass:
             fit.stats["rounds"] = float(self.rounds)
         return fit
 
+    def _dealt(self, segments: DataFrame) -> DataFrame:
+        """Segments dealt to all cores: they are few bytes but much work, so sizes would put them into few tasks."""
+        return segments.repartition(segments.sparkSession.sparkContext.defaultParallelism, "_s")
+
     def segments(self, vcov: str, cluster: str | None) -> DataFrame:
         """Every model on every segment, as a table: segment columns and ``FIT_FIELDS``."""
         layouts = self.layouts
@@ -234,7 +238,7 @@ class _Pass:
         if vcov == "iid":
             known = self.totals.select("_s", "numbers", *[F.lit(None).cast(t).alias(n) for n, t in (p.split(" ") for p in types.split(", "))])
         else:
-            found = cut(in_tasks(self.totals.select("_s", "numbers"), solve_batches(self.fields, layouts), "_s bigint, _model string, _b array<double>"), "coefficients")
+            found = cut(in_tasks(self._dealt(self.totals.select("_s", "numbers")), solve_batches(self.fields, layouts), "_s bigint, _model string, _b array<double>"), "coefficients")
             found = self.totals.select(*self.segment, "_s").join(found, "_s")
             meats = []
             for name, layout in layouts.items():
@@ -245,7 +249,7 @@ class _Pass:
                 meats.append(sums.select("_s", F.lit(name).alias("model"), F.array(*outer_names(len(layout.regressors))).alias("meat"), "groups"))
             meats = reduce(lambda a, b: a.unionByName(b), meats)
             known = self.totals.select("_s", "numbers").join(meats, "_s").select("_s", "numbers", "model", "meat", "groups")
-        fits = in_tasks(known, finish_batches(self.fields, layouts, vcov), f"_s bigint, {FIT_FIELDS}")
+        fits = in_tasks(self._dealt(known), finish_batches(self.fields, layouts, vcov), f"_s bigint, {FIT_FIELDS}")
         return self.totals.select(*self.segment, "_s").join(fits, "_s").drop("_s")
 
 
