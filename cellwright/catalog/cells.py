@@ -16,7 +16,7 @@ from cellwright.catalog.base import (
     rounded,
     table,
 )
-from cellwright.functions.numeric import count_where
+from cellwright.functions.numeric import count_where, ratio
 from cellwright.functions.recode import equal_width_bin, first_match
 from cellwright.operators.cells import (
     area_demographics,
@@ -131,10 +131,11 @@ def area_income_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = ranked_index(order_cells(spark, sf_dir), ["nation", "segment"])
-    grouped = rounded(grouped, ["index"], 6)
+    # The weighted mean of the cells' shares is the share of the sums, which is the same in any order of summing.
+    grouped = grouped.withColumn("index", ratio(F.col("n_treated"), F.col("n_population")))
     order = [F.desc_nulls_last("index"), F.asc_nulls_last("nation"), F.asc_nulls_last("segment")]
     ranked = number_rows(grouped.where(F.col("index") > 0), order, "rank")
-    return index_bands(cut(ranked, "ranked"), "rank", 10, (0.70, 0.73))
+    return rounded(index_bands(cut(ranked, "ranked"), "rank", 10, (0.70, 0.73)), ["index"], 6)
 
 
 def population_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,14 +273,15 @@ ORACLE = {
     "ranked_cells": f"""
         WITH {CELLS_SQL},
         g AS (SELECT nation, segment,
-                     round(sum(n_treated::DOUBLE / n_population::DOUBLE * n_population) / sum(n_population)::DOUBLE + 0.0000000173, 6) AS "index",
+                     sum(n_treated)::DOUBLE / sum(n_population)::DOUBLE AS "index",
                      sum(n_population)::BIGINT AS n_population, sum(n_treated)::BIGINT AS n_treated
               FROM cells WHERE n_population > 0 GROUP BY nation, segment),
         r AS (SELECT *, row_number() OVER (ORDER BY "index" DESC NULLS LAST, nation NULLS LAST, segment NULLS LAST) AS rank
               FROM g WHERE "index" > 0)
-        SELECT *, 'top' AS band FROM (SELECT * FROM r ORDER BY rank LIMIT 10)
-        UNION ALL SELECT *, 'middle' FROM r WHERE "index" > 0.70 AND "index" < 0.73
-        UNION ALL SELECT *, 'bottom' FROM (SELECT * FROM r ORDER BY rank DESC LIMIT 10)""",
+        SELECT * REPLACE (round("index" + 0.0000000173, 6) AS "index") FROM (
+          SELECT *, 'top' AS band FROM (SELECT * FROM r ORDER BY rank LIMIT 10)
+          UNION ALL SELECT *, 'middle' FROM r WHERE "index" > 0.70 AND "index" < 0.73
+          UNION ALL SELECT *, 'bottom' FROM (SELECT * FROM r ORDER BY rank DESC LIMIT 10))""",
     "population_summary": f"""
         WITH {COARSE_SQL}
         SELECT u.segment, c.propensity > 0.74 AS exposed, count(*) AS n,

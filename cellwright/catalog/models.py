@@ -11,6 +11,7 @@ from cellwright.catalog.base import near, rounded, table
 from cellwright.catalog.estimation import PRICE, coefficients
 from cellwright.operators.design import Square
 from cellwright.operators.estimate import fit_table, logit, ols, segment_models, segment_table, stats_table, wald
+from cellwright.operators.levels import ols_with_levels
 
 TERMS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -66,6 +67,13 @@ def segment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("p_value")
 
 
+def ols_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a level of a text regressor, beside two numbers; the coefficients stay a table."""
+    rows = lines(spark, sf_dir).withColumn("part", F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    found = ols_with_levels(rows, PRICE, ["l_quantity", "l_discount"], "part")
+    return rounded(found, ["estimate", "std_error", "statistic"], 3).drop("p_value")
+
+
 def logit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number, its square, another number and a text, with clustered errors; the table is read once."""
     rows = lines(spark, sf_dir).withColumn("cheap", (F.col("l_discount") > 0.05).cast("int"))
@@ -85,6 +93,7 @@ QUERIES = {
     "wald_clustered": wald_clustered,
     "segment_errors": segment_errors,
     "segment_clusters": segment_clusters,
+    "ols_long_text": ols_long_text,
     "logit_terms": logit_terms,
 }
 
@@ -296,5 +305,16 @@ ORACLE = {
         levels AS (SELECT l_linenumber, count(DISTINCT l_partkey) AS k FROM lineitem GROUP BY l_linenumber),
         counted AS (SELECT errors.*, groups / (groups - 1) * (n - 1) / (n - 2 - k) AS f FROM errors JOIN levels USING (l_linenumber))
         {listed(["l_quantity", "l_discount"], PRICE, "f * e_{i}_{i}", "counted", head="l_linenumber, 'price' AS fit, ")}""",
+    "ols_long_text": f"""
+        WITH r AS (SELECT 'p' || l_partkey AS part, l_extendedprice AS y, l_quantity AS x0, l_discount AS x1 FROM lineitem),
+        {swept(["part"], ["y", "x0", "x1"], "r", 1)}, {solution("swept", 2)},
+        levels AS (SELECT part, count(*)::DOUBLE AS k, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1 FROM r GROUP BY part),
+        f AS (SELECT k AS k1, my - b_0 * m0 - b_1 * m1 AS a1, m0 AS f0, m1 AS f1, part AS p1, beta.*, rss / (n - 2 - (SELECT count(*) FROM levels)) AS s2
+              FROM levels, beta WHERE part = (SELECT min(part) FROM levels)),
+        d AS (SELECT part, n, my - b_0 * m0 - b_1 * m1 - CASE WHEN part = p1 THEN 0 ELSE a1 END AS b, m0 - CASE WHEN part = p1 THEN 0 ELSE f0 END AS d0,
+                     m1 - CASE WHEN part = p1 THEN 0 ELSE f1 END AS d1, 1 / k + CASE WHEN part = p1 THEN 0 ELSE 1 / k1 END AS w, part = p1 AS head, s2, v_0_0, v_0_1, v_1_1 FROM levels, f),
+        t AS (SELECT CASE WHEN head THEN '(Intercept)' ELSE 'part' || part END AS term, b, sqrt(s2 * (w + d0 * d0 * v_0_0 + 2 * d0 * d1 * v_0_1 + d1 * d1 * v_1_1)) AS s, n FROM d
+              UNION ALL SELECT 'l_quantity', b_0, sqrt(s2 * v_0_0), n FROM f UNION ALL SELECT 'l_discount', b_1, sqrt(s2 * v_1_1), n FROM f)
+        SELECT '{PRICE}' AS outcome, term, round(b + 0.0000173, 3) AS estimate, round(s + 0.0000173, 3) AS std_error, round(b / s + 0.0000173, 3) AS statistic, n::BIGINT AS n FROM t""",
     "logit_terms": _logit_terms(),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +130,55 @@ def propensity_key_sets(
     )
 
 
+def key_set_parents(sizes: Mapping[frozenset[str], int], whole: frozenset[str]) -> dict[frozenset[str], frozenset[str]]:
+    """For every key set the smallest finer one that it can be summed from; ``whole`` is the finest."""
+    known = {**sizes, whole: max(sizes.values(), default=0) + 1}
+    parents = {}
+    for keys in sizes:
+        finer = [other for other in known if keys < other]
+        parents[keys] = min(finer, key=lambda other: (known[other], len(other), sorted(other)))
+    return parents
+
+
+def propensity_lattice(
+    cells: DataFrame,
+    key_sets: Mapping[str, Sequence[str]],
+    treated: str = "n_treated",
+    population: str = "n_population",
+) -> DataFrame:
+    """The same for many key sets that contain one another: each is summed from its smallest finer set, not from the cells.
+
+    One estimate of the sets' sizes chooses the finer sets. Sets with the same finer set are summed together, and only
+    those that others are summed from are written. An estimate that is off makes more rows to read, never other sums.
+    """
+    columns = list(dict.fromkeys(k for keys in key_sets.values() for k in keys))
+    names = {frozenset(keys): name for name, keys in key_sets.items()}
+    if len(names) != len(key_sets):
+        raise ValueError("two key sets hold the same keys")
+    whole = frozenset(columns)
+    base = cells.groupBy(*columns).agg(total(F.col(treated)).alias(treated), total(F.col(population)).alias(population))
+    base = cut(base, "lattice")
+    others = [keys for keys in names if keys != whole]
+    counted = base.agg(*[F.approx_count_distinct(F.struct(*sorted(keys)) if keys else F.lit(1)).alias(f"n{i}") for i, keys in enumerate(others)]).first()
+    parents = key_set_parents({keys: counted[f"n{i}"] for i, keys in enumerate(others)}, whole)
+    tables, out = {whole: base}, []
+    for parent in sorted({whole, *parents.values()}, key=len, reverse=True):
+        children = sorted((keys for keys, p in parents.items() if p == parent), key=lambda keys: (-len(keys), sorted(keys)))
+        if not children:
+            continue
+        summed = propensity_key_sets(tables[parent], {names[keys]: sorted(keys) for keys in children}, treated, population)
+        if any(keys in parents.values() for keys in children):
+            summed = cut(summed, "lattice")
+            for keys in children:
+                tables[keys] = summed.where(F.col("key_set") == names[keys]).select(*sorted(keys), treated, population)
+        missing = [F.lit(None).cast(base.schema[c].dataType).alias(c) for c in columns if c not in summed.columns]
+        out.append(summed.select("*", *missing).select("key_set", *columns, treated, population, "propensity"))
+    if whole in names:
+        share = ratio(F.col(treated), F.col(population)).alias("propensity")
+        out.append(base.select(F.lit(names[whole]).alias("key_set"), *columns, treated, population, share))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def attach_key_sets(units: DataFrame, cells: DataFrame, key_sets: Mapping[str, Sequence[str]], **names: str) -> DataFrame:
     """Attach one propensity column per key set, named after the set."""
     rates = cut(propensity_key_sets(cells, key_sets, **names), "key-sets")

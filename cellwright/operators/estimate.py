@@ -27,7 +27,7 @@ from cellwright.operators.solve import FIT_FIELDS, Fit, Layout, finish_batches,
 from cellwright.session import cut, in_tasks
 
 __all__ = [
-    "Fit", "fit_statistics_of", "fit_subsets", "fit_table", "independent_columns", "linear_models", "logit", "multi_outcome", "ols",
+    "Fit", "fit_pass", "fit_statistics_of", "fit_subsets", "fit_table", "independent_columns", "linear_models", "logit", "multi_outcome", "ols",
     "ols_by_segment", "segment_models", "segment_table", "stats_table", "subset_models", "sweep", "wald", "with_errors",
 ]
 
@@ -278,6 +278,11 @@ def _passes(
     return {name: shared for name in models}
 
 
+def fit_pass(df: DataFrame, outcome: str, terms: Sequence[Term], **options) -> _Pass:
+    """The pass of one model on the whole table, for what is worked out from its cells and sums."""
+    return _passes(df, {outcome: (outcome, terms)}, **options)[outcome]
+
+
 def linear_models(
     df: DataFrame, models: Mapping[str, tuple[str, Sequence[Term]]], vcov: str = "iid", cluster: str | None = None, segment: Sequence[str] = (), **options
 ) -> dict[str, list[Fit]]:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, StructType, TimestampType
 
 from cellwright.functions.numeric import count_where, member
 from cellwright.functions.recode import known, same_known
@@ -50,15 +51,42 @@ def text_match(df: DataFrame, column: str, pattern: str, equal: Mapping[str, obj
     return df.where(reduce(lambda a, b: a & b, tests))
 
 
+def canonical(value: Column, kind: DataType) -> Column:
+    """Text that two values of a type share exactly if Spark groups them together; it says its own length.
+
+    Instants count to the microsecond, 0.0 equals -0.0, NaN equals NaN, and a missing value is one of its own.
+    """
+    if isinstance(kind, MapType):
+        raise TypeError("a map cannot be a key")
+    if isinstance(kind, ArrayType):
+        parts = F.transform(value, lambda v: canonical(v, kind.elementType))
+        text = F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(parts, ""))
+    elif isinstance(kind, StructType):
+        text = F.concat(*[canonical(value.getField(f.name), f.dataType) for f in kind], F.lit(";"))
+    elif isinstance(kind, TimestampType):
+        text = F.unix_micros(value).cast("string")
+    elif isinstance(kind, BinaryType):
+        text = F.hex(value)
+    elif isinstance(kind, (FloatType, DoubleType)):
+        text = (value.cast("double") + F.lit(0.0)).cast("string")
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def key_digest(df: DataFrame, keys: Sequence[str]) -> Column:
+    """SHA-256 of the keys in their canonical text."""
+    return F.sha2(F.concat(*[canonical(F.col(k), df.schema[k].dataType) for k in keys]).cast("binary"), 256)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of every key by a unique order, missing values last. A missing key value is a value of its own.
 
     One aggregate: each task keeps one row per key before the shuffle, so a key with very many copies
     is no heavier than the others. Rows are sorted and dealt by a SHA-256 digest of the keys, never by long texts.
     """
-    digest = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
     position = F.struct(*[part for c in order for part in (F.col(c).isNull(), F.col(c))])
-    picked = df.groupBy(digest.alias("_digest")).agg(F.min_by(F.struct(*df.columns), position).alias("_first"))
+    picked = df.groupBy(key_digest(df, keys).alias("_digest")).agg(F.min_by(F.struct(*df.columns), position).alias("_first"))
     return picked.select("_first.*")
 
 

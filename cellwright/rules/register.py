@@ -106,26 +106,6 @@ MOTHER_BIRTHPLACE = [
 NATIVE_PARENT = [15, 99]
 FOREIGN_PARENT = 501
 
-# Country of birth from the birthplace code; the first row that names a code wins.
-BIRTH_COUNTRY = [
-    (
-        "United States",
-        [
-            "00", "01", "11", "12", "13", "21", "22", "23", "24", "25", "26", "27", "28", "32", "33", "34", "36",
-            "37", "38", "4&", "4-", "40", "41", "42", "43", "44", "45", "46", "47", "48", "49", "5&", "51", "53",
-            "54", "55", "56", "57", "59", "61", "62", "63", "64", "70", "71", "72", "73", "74", "81", "82", "83", "84",
-        ],
-    ),
-    ("Poland", ["80"]),
-    ("Germany", ["8-"]),
-    ("Ireland", ["8&"]),
-    ("Canada", ["82"]),
-    ("Mexico", ["83"]),
-    ("South America", ["84"]),
-    ("Japan", ["9-", "90", "91", "92", "93", "94", "95", "96", "97", "98", "99"]),
-    ("Other", ["--"]),
-]
-
 # Years of schooling abroad; '&' is unknown.
 SCHOOL_YEARS = {
     "0": 0, "1": 1, "2": 2, "3": 3, "4": 4, "5": 5, "6": 6, "7": 7, "8": 8, "9": 9,
@@ -259,6 +239,15 @@ BIRTHPLACES = [
     ("--", "Other", None),
 ]
 
+# Country of birth: the states with their islands and Alaska, Japan with Formosa, and the other countries by their own name.
+# Territories (85 to 89) and Korea have none.
+_ABROAD = ["80", "8-", "8&", "82", "83", "84", "--"]
+BIRTH_COUNTRY = [
+    ("United States", [code for code, _, number in BIRTHPLACES if number is not None and number < 100]),
+    ("Japan", [code for code, _, number in BIRTHPLACES if number == 501] + ["9-"]),
+    *[(name, [code]) for code, name, _ in BIRTHPLACES if code in _ABROAD],
+]
+
 # Columns of the cleaned register, in order.
 REGISTER_COLUMNS = [
     "ind_number", "state", "county", "city", "camp", "assembly", "RACE", "SEX", "BIRTHYR", "BPL", "birthplace",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellwright.operators.absorb import connected_parts, dependent_levels, factor_cells
 from cellwright.operators.design import Square
 from cellwright.operators.estimate import linear_models, logit, ols, segment_models, segment_table, wald, with_errors
+from cellwright.operators.levels import ols_with_levels
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +167,16 @@ def test_models_with_other_rows_get_their_own_pass(data):
     assert table.where("fit = 'a'").count() == 6 and table.where("fit = 'b'").count() == 3
 
 
+
+
+def test_a_text_with_5000_levels(spark, data):
+    df, _ = data
+    alike = ols(df, "y", ["x", "w", "name"])
+    found = {r["term"]: r for r in ols_with_levels(df, "y", ["x", "w"], "name").collect()}
+    assert set(found) == set(alike.terms)
+    for row in alike.rows():
+        assert [found[row[1]][c] for c in ("estimate", "std_error", "statistic", "p_value")] == pytest.approx(row[2:6], rel=1e-6, abs=1e-9)
+    many = spark.range(15_000).select(F.format_string("%05d", F.col("id") % 5000).alias("t"), F.rand(1).alias("x")).withColumn("y", F.col("t").cast("double") / 100 + F.col("x") + F.randn(2) / 1000)
+    table = ols_with_levels(many, "y", ["x"], "t")
+    assert table.count() == 5001
+    assert table.where("term = 't04999'").first()["estimate"] == pytest.approx(49.99, abs=0.02)

@@ -132,3 +132,18 @@ def test_first_of_duplicates_sorts_a_digest_and_not_the_text(spark):
     assert {tuple(r) for r in first.collect()} == {("t", None, 1), (None, "t", 3), ("t", "null", 4)}
     exchanges = [line for line in first._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and not any(f"({key}#" in line for line in exchanges for key in ("a", "b"))
+
+
+def test_lattice_sums_each_set_from_its_smallest_finer_set(spark):
+    from itertools import combinations
+
+    from cellwright.operators.cells import key_set_parents, propensity_key_sets, propensity_lattice
+
+    cells = spark.range(400).selectExpr("id % 3 a", "nullif(id % 5, 0) b", "id % 7 c", "id % 40 d", "id % 4 n_treated", "id % 4 + 1 n_population")
+    sets = {"+".join(k) or "all": list(k) for n in range(5) for k in combinations("abcd", n)}
+    found = {tuple(r) for r in propensity_lattice(cells, sets).collect()}
+    assert found == {tuple(r) for r in propensity_key_sets(cells, sets).collect()}
+    few = {name: sets[name] for name in ("a", "a+b", "b+c+d")}
+    assert {tuple(r) for r in propensity_lattice(cells, few).collect()} == {tuple(r) for r in propensity_key_sets(cells, few).collect()}
+    parents = key_set_parents({frozenset("a"): 3, frozenset("ab"): 15, frozenset("ad"): 120}, frozenset("abd"))
+    assert parents[frozenset("a")] == frozenset("ab") and parents[frozenset("ab")] == frozenset("abd")

@@ -112,3 +112,23 @@ def test_lines_of_two_files_keep_the_order_of_the_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("".join(f"b{i:04}\n" for i in range(5000)))
     lines = [r["value"] for r in read_card_lines(spark, str(tmp_path)).orderBy("card_order").collect()]
     assert lines == ["a1", "a2", *[f"b{i:04}" for i in range(5000)]]
+
+
+def test_first_per_key_tells_keys_apart_as_grouping_does(spark):
+    rows = spark.sql("""
+        SELECT * FROM VALUES
+          (1, timestamp'2020-01-01 00:00:00.123456', 0.0D, X'00', array(1.5D, -0.0D), named_struct('a', 'x', 'b', 'y:')),
+          (2, timestamp'2020-01-01 00:00:00.123999', -0.0D, X'00', array(1.5D, 0.0D), named_struct('a', 'x', 'b', 'y:')),
+          (3, timestamp'2020-01-01 00:00:00.123456', double('NaN'), X'0001', array(1.5D), named_struct('a', 'xy', 'b', ':')),
+          (4, NULL, double('NaN'), NULL, NULL, named_struct('a', NULL, 'b', 'y:')),
+          (5, timestamp'2020-01-01 00:00:00.123456', NULL, X'', array(), NULL),
+          (6, NULL, 0.1D, NULL, array(NULL), NULL)
+        AS t(o, at, x, b, l, s)""")
+    assert rows.count() == 6
+    for keys in (["at"], ["x"], ["b"], ["l"], ["s"], ["at", "x"], ["b", "l"]):
+        wanted = {r["o"] for r in rows.groupBy(*keys).agg({"o": "min"}).withColumnRenamed("min(o)", "o").collect()}
+        assert {r["o"] for r in first_per_key(rows, keys, ["o"]).collect()} == wanted, keys
+    words = spark.createDataFrame([(1, "a", "bc"), (2, "ab", "c"), (3, "1:a", None), (4, "-", None), (5, None, "-")], "o int, k string, v string")
+    assert first_per_key(words, ["k", "v"], ["o"]).count() == 5
+    with pytest.raises(TypeError):
+        first_per_key(spark.sql("SELECT 1 AS o, map(1, 2) AS m"), ["m"], ["o"])
