@@ -144,17 +144,54 @@ def null_safe_join(
     keys: Sequence[str],
     how: str = "full",
     suffixes: tuple[str, str] = ("_x", "_y"),
+    hot: str | None = "sample",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join on keys where NULL matches NULL. Keys come back once, merged; other columns that both
-    tables have get the suffixes."""
+    tables have get the suffixes.
+
+    Keys with very many rows in either table, NULL among them, are joined by themselves, spread over ``SALTS`` tasks. As
+    all rows of a key match or none does, what is unmatched there follows from one flag per key and is added once. ``hot`` is
+    'sample' to look for such keys where both tables are larger than what the planner broadcasts, or None.
+    """
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
+    order = [*left.columns, *[c for c in right.columns if c not in keys]]
+    marks = None
+    if hot == "sample" and not (planned_small(left) or planned_small(right)):
+        often = [found for found in (hot_keys(df, keys, hot_rows) for df in (left, right)) if found is not None]
+        marks = cut(reduce(lambda x, y: x.unionByName(y), often).distinct(), "hot-keys") if often else None
+    if marks is None:
+        return _merged(left, right, keys, how).select(*order)
+
+    def flagged(df: DataFrame, table: DataFrame, flag: str) -> DataFrame:
+        named = table.withColumnsRenamed({k: f"_h_{k}" for k in keys}).withColumn(flag, F.lit(True))
+        return df.join(named, key_match(df, named, [(k, f"_h_{k}") for k in keys]), "left").drop(*[f"_h_{k}" for k in keys])
+
+    left_marked, right_marked = flagged(left, marks, "_hot"), flagged(right, marks, "_hot")
+    cold = _merged(left_marked.where("_hot IS NULL").drop("_hot"), right_marked.where("_hot IS NULL").drop("_hot"), keys, how)
+    left_hot, right_hot = left_marked.where("_hot").drop("_hot"), right_marked.where("_hot").drop("_hot")
+    both = cut(_merged(left_hot.select(*keys).distinct(), right_hot.select(*keys).distinct(), keys, "inner"), "both-sides")
+    left_met, right_met = flagged(left_hot, both, "_met"), flagged(right_hot, both, "_met")
+    hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    spread = left_met.where("_met").drop("_met").withColumn("_salt", salt)
+    copies = right_met.where("_met").drop("_met").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = [cold, _merged(spread, copies.hint("merge"), [*keys, "_salt"], "inner").drop("_salt")]
+    if how in ("full", "left"):
+        parts.append(left_met.where("_met IS NULL").drop("_met"))
+    if how in ("full", "right"):
+        parts.append(right_met.where("_met IS NULL").drop("_met"))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).select(*order)
+
+
+def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A null-safe join whose keys come back once."""
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     joined = left.join(right, key_match(left, right, [(k, f"_r_{k}") for k in keys]), how)
     if how in ("full", "right"):
-        merged = {k: F.coalesce(F.col(k), F.col(f"_r_{k}")) for k in keys}
-        joined = joined.withColumns(merged)
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"_r_{k}")) for k in keys})
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 

@@ -108,3 +108,28 @@ def test_shared_columns_need_suffixes(spark):
         joins.lookup_join(a, b, ["k"])
     joined = joins.lookup_join(a, b, ["k"], suffixes=("_mlp", "_reg"))
     assert joined.columns == ["k", "n_mlp", "n_reg"] and tuple(joined.first()) == (1, 5, 6)
+
+
+@pytest.mark.parametrize("how", ["full", "left", "right", "inner"])
+def test_heavy_null_key_is_spread_and_unmatched_rows_come_once(spark, how):
+    # NULL is heavy on the left and there on the right; 'only' is heavy on the left alone, 'r' on the right alone.
+    left = spark.range(6000).selectExpr("CASE WHEN id < 3000 THEN NULL WHEN id < 4000 THEN 'only' ELSE string(id % 300) END AS k", "id AS v", "id AS n")
+    right = spark.range(900).selectExpr("CASE WHEN id < 3 THEN NULL WHEN id < 500 THEN 'r' ELSE string(id) END AS k", "id AS w", "id AS n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        plain = joins.null_safe_join(left, right, ["k"], how, hot=None)
+        salted = joins.null_safe_join(left, right, ["k"], how, hot_rows=200)
+        assert salted.columns == plain.columns
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+
+        def largest(df):
+            return df.where("v < 3000 AND w IS NOT NULL").groupBy(joins.F.spark_partition_id()).count().agg({"count": "max"}).first()[0]
+
+        assert largest(plain) == 9000 and largest(salted) < 9000 / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
