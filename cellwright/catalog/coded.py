@@ -7,10 +7,11 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.catalog.base import table
+from cellwright.catalog.base import rounded, table
 from cellwright.functions.recode import map_codes
-from cellwright.functions.rules import age_cohort, birth_country_of_code, exposure_group, race_class, west_coast
+from cellwright.functions.rules import age_cohort, birth_country_of_code, exposure_group, race_class, region_rows, west_coast
 from cellwright.operators.cells import flagged_propensity, propensity_lattice
+from cellwright.plans.areas import area_table, region_table
 from cellwright.rules import census, regions
 from cellwright.rules import register as codes
 from cellwright.session import scratch_path
@@ -74,6 +75,26 @@ def random_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def area_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as people: customers live in six states and 130 counties, dear orders are the treated."""
+    key = F.col("c_custkey")
+    state = F.element_at(F.array(*[F.lit(s) for s in AREA_STATES]), (key % len(AREA_STATES) + 1).cast("int"))
+    people = table(spark, sf_dir, "customer").select(
+        key.alias("o_custkey"), state.alias("STATEFIP"), F.when(key % 31 != 0, ((key * 7) % 130 * 10).cast("int")).alias("COUNTYICP"), (key % 8).cast("int").alias("RACE")
+    )
+    orders = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") > 150000).alias("dear"))
+    return flagged_propensity(orders.join(people, "o_custkey"), ["STATEFIP", "COUNTYICP", "RACE"], F.col("dear"))
+
+
+def area_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas with their classes, shares, region and zone by the rules of the four western states."""
+    return rounded(area_table(area_cells(spark, sf_dir)), ["share_tot", "share_japn"], 6)
+
+
+def area_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(region_table(area_table(area_cells(spark, sf_dir))), ["share_tot", "share_japn", "zone"], 6)
+
+
 def key_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Propensities under all pairs and triples of six keys, 35 sets."""
     orders = table(spark, sf_dir, "orders").select(
@@ -90,6 +111,7 @@ def key_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propensity_lattice(cells, sets).drop("propensity")
 
 
+AREA_STATES = [4, 6, 32, 41, 49, 53]
 CARD_CODES = sorted({*codes.MARITAL_OF_CODE, *codes.SEX_OF_CODE, "?"})
 QUERIES = {
     "marital_status": marital_status,
@@ -99,6 +121,8 @@ QUERIES = {
     "raw_lines": raw_lines,
     "random_rows": random_rows,
     "key_combinations": key_combinations,
+    "area_tags": area_tags,
+    "area_regions": area_regions,
 }
 
 
@@ -116,7 +140,26 @@ _SETS = ", ".join(f"({', '.join(keys)})" for k in (2, 3) for keys in combination
 _NAMES = " ".join(
     f"WHEN {' AND '.join(f'grouping({c}) = {int(c not in keys)}' for c in SIX)} THEN '{'+'.join(keys)}'" for k in (2, 3) for keys in combinations(SIX, k)
 )
+_RULES = ", ".join(f"({state}, {county}, {_text(region)})" for state, county, region in region_rows(regions.REGIONS)[0])
+_STATES = ", ".join(map(str, regions.WEST_COAST_STATES))
+_AREAS = f"""
+    rules(s, c, r) AS (VALUES {_RULES}),
+    people AS (SELECT c_custkey, ([{", ".join(map(str, AREA_STATES))}])[(c_custkey % {len(AREA_STATES)} + 1)::INT] AS "STATEFIP",
+                      CASE WHEN c_custkey % 31 <> 0 THEN (c_custkey * 7) % 130 * 10 END::INT AS "COUNTYICP", c_custkey % 8 AS race FROM customer),
+    sums AS (SELECT "STATEFIP", "COUNTYICP", count(*) FILTER (race = 5)::BIGINT AS pop_japn, count(*) FILTER (race = 4)::BIGINT AS pop_chin,
+                    count(*) FILTER (race NOT IN (4, 5))::BIGINT AS pop_other, count(*)::BIGINT AS pop_tot, count(*) FILTER (o_totalprice > 150000)::BIGINT AS treated
+             FROM orders JOIN people ON o_custkey = c_custkey GROUP BY ALL),
+    placed AS (SELECT sums.*, CASE WHEN "STATEFIP" IN ({_STATES}) THEN r ELSE "STATEFIP"::VARCHAR END AS region FROM sums LEFT JOIN rules ON s = "STATEFIP" AND c = "COUNTYICP"),
+    areas AS (SELECT *, CASE WHEN "STATEFIP" NOT IN ({_STATES}) THEN 0 WHEN "STATEFIP" IN ({", ".join(map(str, regions.WHOLE_STATE_IN_ZONE))}) THEN 1
+                             WHEN region IS NOT NULL AND region NOT IN ({", ".join(map(_text, regions.OUTSIDE_ZONE))}) THEN 1 ELSE 0 END::INT AS zone FROM placed)"""
+_SHARES = "round(treated / nullif(pop_tot, 0)::DOUBLE + 0.0000000173, 6) AS share_tot, round(treated / nullif(pop_japn, 0)::DOUBLE + 0.0000000173, 6) AS share_japn"
 ORACLE = {
+    "area_tags": f"WITH {_AREAS} SELECT *, {_SHARES} FROM areas",
+    "area_regions": f"""
+        WITH {_AREAS},
+        rolled AS (SELECT region, sum(pop_tot)::BIGINT AS pop_tot, sum(pop_japn)::BIGINT AS pop_japn, sum(pop_chin)::BIGINT AS pop_chin,
+                          sum(pop_other)::BIGINT AS pop_other, sum(treated)::BIGINT AS treated, round(avg(zone) + 0.0000000173, 6) AS zone FROM areas GROUP BY region)
+        SELECT *, {_SHARES} FROM rolled""",
     "marital_status": f"""
         WITH c AS (SELECT c_custkey, ([{", ".join(map(_text, CARD_CODES))}])[(c_custkey % {len(CARD_CODES)} + 1)::INT] AS code FROM customer)
         SELECT c_custkey, {_case("code", codes.MARITAL_OF_CODE)} AS marst, {_case("code", codes.SEX_OF_CODE)} AS sex FROM c""",
