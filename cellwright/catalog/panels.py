@@ -175,6 +175,13 @@ def movers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movers_table(wide, ["status_1996"], before, after, ["many", "one"])
 
 
+def movers_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the pairs that the data hold: order counts of two years, of all customers that ordered in either."""
+    wide = yearly_wide(spark, sf_dir)
+    counts = [F.when(F.col(c) > 4, 4).otherwise(F.col(c)) for c in ("orders_1996", "orders_1997")]
+    return movers_table(wide, ["status_1996"], *counts)
+
+
 def move_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair of states before and after as one key."""
     wide = yearly_wide(spark, sf_dir)
@@ -207,6 +214,7 @@ QUERIES = {
     "panel_melt": panel_melt,
     "transitions_topk": transitions_topk,
     "movers": movers,
+    "movers_found": movers_found,
     "move_pairs": move_pairs,
     "stock_ratio": stock_ratio_query,
 }
@@ -299,6 +307,12 @@ ORACLE = {
         SELECT status_1996, count(*) FILTER (a AND b) AS "many_many", count(*) FILTER (a AND NOT b) AS "many_one",
                count(*) FILTER (NOT a AND b) AS "one_many", count(*) FILTER (NOT a AND NOT b) AS "one_one"
         FROM c GROUP BY 1""",
+    "movers_found": f"""
+        WITH {YEARLY_SQL},
+        p AS (SELECT status_1996 AS s, least(orders_1996, 4)::VARCHAR AS a,
+                     least(orders_1997, 4)::VARCHAR AS b, orders_1996, orders_1997 FROM wide),
+        q AS (SELECT s, CASE WHEN orders_1996 IS NULL THEN 'NA' ELSE a END || '_' || CASE WHEN orders_1997 IS NULL THEN 'NA' ELSE b END AS pair, count(*) AS n FROM p GROUP BY ALL)
+        SELECT s AS status_1996, coalesce(COLUMNS(* EXCLUDE (s)), 0)::BIGINT FROM (PIVOT q ON pair USING sum(n) GROUP BY s)""",
     "move_pairs": f"""
         WITH {YEARLY_SQL}
         SELECT concat_ws('_', status_1996, status_1997) AS pair, count(*) AS n FROM wide GROUP BY 1""",

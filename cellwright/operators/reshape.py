@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.numeric import ratio, total
+from cellwright.session import cut
 
 
 def to_wide(
@@ -87,15 +88,28 @@ def transition_shares(counts: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def movers_table(
-    wide: DataFrame, group: Sequence[str], before: Column, after: Column, classes: Sequence[str]
+    wide: DataFrame, group: Sequence[str], before: Column, after: Column, classes: Sequence[str] | None = None, most_pairs: int = 1000
 ) -> DataFrame:
-    """Units per group by the pair of classes before and after, one column per pair."""
-    columns = [
-        total(F.when((before == a) & (after == b), 1)).alias(f"{a}_{b}".replace(" ", "_"))
-        for a in classes
-        for b in classes
-    ]
-    return wide.groupBy(*group).agg(*columns)
+    """Units per group by the pair of classes before and after, one column per pair.
+
+    Without ``classes`` the pairs are those found in the data, a missing class being NA; the table is counted once, and more than
+    ``most_pairs`` pairs, or two of one name, are an error.
+    """
+    if classes is not None:
+        columns = [
+            total(F.when((before == a) & (after == b), 1)).alias(f"{a}_{b}".replace(" ", "_"))
+            for a in classes
+            for b in classes
+        ]
+        return wide.groupBy(*group).agg(*columns)
+    from_, to = F.coalesce(before.cast("string"), F.lit("NA")), F.coalesce(after.cast("string"), F.lit("NA"))
+    counted = cut(wide.groupBy(*group, from_.alias("_a"), to.alias("_b")).agg(F.count("*").alias("_n")), "pairs")
+    pairs = sorted((r["_a"], r["_b"]) for r in counted.select("_a", "_b").distinct().limit(most_pairs + 1).collect())
+    names = [f"{a}_{b}".replace(" ", "_") for a, b in pairs]
+    if len(pairs) > most_pairs or len(set(names)) < len(names):
+        raise ValueError(f"more than {most_pairs} pairs of classes, or two pairs of one name")
+    columns = [total(F.when((F.col("_a") == a) & (F.col("_b") == b), F.col("_n"))).alias(n) for (a, b), n in zip(pairs, names)]
+    return counted.groupBy(*group).agg(*columns)
 
 
 def stock_ratio(df: DataFrame, area: Sequence[str], period: str, first, second) -> DataFrame:
