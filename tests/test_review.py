@@ -132,3 +132,34 @@ def test_first_per_key_tells_keys_apart_as_grouping_does(spark):
     assert first_per_key(words, ["k", "v"], ["o"]).count() == 5
     with pytest.raises(TypeError):
         first_per_key(spark.sql("SELECT 1 AS o, map(1, 2) AS m"), ["m"], ["o"])
+
+
+def test_movers_by_pairs_found(spark):
+    from pyspark.sql import functions as F
+
+    from cellwright.operators.reshape import movers_table
+
+    df = spark.createDataFrame([("g", "a b", "c"), ("g", "a b", "c"), ("g", None, "c"), (None, "c", None)], "k string, x string, y string")
+    found = {r["k"]: r.asDict() for r in movers_table(df, ["k"], F.col("x"), F.col("y")).collect()}
+    assert found["g"] == {"k": "g", "NA_c": 1, "a_b_c": 2, "c_NA": 0} and found[None]["c_NA"] == 1
+    with pytest.raises(ValueError):
+        movers_table(df, ["k"], F.col("x"), F.col("y"), most_pairs=2)
+    alike = spark.createDataFrame([("g", "a b", "c"), ("g", "a_b", "c")], "k string, x string, y string")
+    with pytest.raises(ValueError):
+        movers_table(alike, ["k"], F.col("x"), F.col("y"))
+
+
+def test_area_table_with_a_missing_area(spark):
+    from cellwright.plans.areas import area_table, region_table
+
+    cells = spark.createDataFrame(
+        [(6, 10, 5, 2, 10), (6, 10, 1, 0, 30), (6, None, 5, 1, 1), (49, 30, 4, 0, 7), (4, 10, 5, 1, 2), (None, None, 1, 0, 3)],
+        "STATEFIP int, COUNTYICP int, RACE int, n_treated long, n_population long",
+    )
+    areas = {(r["STATEFIP"], r["COUNTYICP"]): r for r in area_table(cells).collect()}
+    alameda = areas[(6, 10)]
+    assert (alameda["pop_japn"], alameda["pop_other"], alameda["pop_tot"], alameda["treated"], alameda["share_japn"]) == (10, 30, 40, 2, 0.2)
+    assert alameda["region"] == "Alameda, CA" and alameda["zone"] == 1 and areas[(49, 30)]["region"] == "49" and areas[(49, 30)]["zone"] == 0
+    assert areas[(49, 30)]["share_japn"] is None and areas[(None, None)]["region"] is None
+    regions = {r["region"]: r for r in region_table(area_table(cells)).collect()}
+    assert regions["Northern AZ"]["pop_tot"] == 2 and regions["49"]["zone"] == 0.0
