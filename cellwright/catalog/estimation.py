@@ -97,7 +97,7 @@ def fe_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def did_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = yearly_orders(spark, sf_dir).where(F.col("year").isin(1996, 1997))
+    panel = yearly_orders(spark, sf_dir, (1996, 1997))
     people = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") / 10000).alias("exposure")
     )

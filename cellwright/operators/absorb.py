@@ -21,6 +21,8 @@ from cellwright.session import cut
 
 #: Rounds end when no column's remainder is longer than this share of what it was at first.
 TOLERANCE = 1e-11
+#: What is shorter than this share of the columns' own length, which is 1 for each row, is rounding: there is nothing to take out.
+ROUNDING = 1e-13
 #: Up to so many cells the equations are solved on the driver, by the same rounds.
 SMALL_CELLS = 50_000
 
@@ -49,7 +51,7 @@ def sweep_rows(
 ) -> Swept:
     """Take the factors' effects out of the columns ``z``, within segments. Other columns of the rows stay.
 
-    Keys must not be NULL. With several factors, not settling after ``most_rounds`` rounds is an error.
+    Keys must not be NULL; the columns are centred and of unit spread. With several factors, not settling after ``most_rounds`` rounds is an error.
     """
     keys = list(dict.fromkeys([*segment, *factors]))
     cells = cut(factor_cells(rows, keys, z), "cells")
@@ -104,8 +106,9 @@ def level_effects(
         return np.array([float(row[a] or 0.0) for a in z])
 
     first = left = lengths(state)
+    enough = np.maximum(TOLERANCE**2 * first, ROUNDING**2 * float(whole.agg(F.sum("_n")).first()[0]))
     for rounds in range(most_rounds + 1):
-        open_ = left > TOLERANCE**2 * first
+        open_ = left > enough
         if not open_.any():
             break
         moved = of_levels(state, "p")
@@ -180,8 +183,9 @@ def _small_effects(
     r = within(sums)
     x, p = np.zeros_like(r), r / size
     first = left = (r * r / size).sum(0)
+    enough = np.maximum(TOLERANCE**2 * first, ROUNDING**2 * n.sum())
     for rounds in range(most_rounds + 1):
-        open_ = left > TOLERANCE**2 * first
+        open_ = left > enough
         if not open_.any():
             break
         q = within(n[:, None] * sum(p[c] for c in rest))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,55 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) ->
     return None if found.isEmpty() else found
 
 
+def chain_hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], hot_rows: int | None = None) -> list[DataFrame | None]:
+    """The same for several sets of keys, from one scan and one sample: a table, or None, for each set."""
+    sets = list(dict.fromkeys(tuple(sorted(keys)) for keys in key_sets))
+    columns = sorted({k for keys in sets for k in keys})
+    hot_rows = hot_rows or HOT_ROWS
+    fraction = min(1.0, SAMPLE_HITS / hot_rows)
+    seen = df.select(*columns) if fraction == 1.0 else df.select(*columns).sample(fraction=fraction, seed=1)
+    grouped = seen.groupingSets([[F.col(k) for k in keys] for keys in sets], *[F.col(k) for k in columns])
+    counted = grouped.agg(F.grouping_id().alias("_set"), F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows * fraction)
+    found = cut(counted.drop("_rows"), "hot-keys")
+    numbers = {keys: sum(1 << (len(columns) - 1 - i) for i, k in enumerate(columns) if k not in keys) for keys in sets}
+    present = {row["_set"] for row in found.select("_set").distinct().collect()}
+    tables = {keys: found.where(F.col("_set") == n).select(*keys) if n in present else None for keys, n in numbers.items()}
+    return [tables[tuple(sorted(keys))] for keys in key_sets]
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """One join of a chain, as ``lookup_join`` takes it."""
+
+    table: DataFrame
+    on: Sequence[str] | Mapping[str, str]
+    how: str = "left"
+    null_safe: bool = True
+    measure: bool = False
+
+    @property
+    def keys(self) -> list[str]:
+        return list(self.on)
+
+
+def lookup_chain(df: DataFrame, lookups: Sequence[Lookup], hot_rows: int | None = None) -> DataFrame:
+    """Join a large table to several lookups, one after the other.
+
+    The heavy keys of all joins whose lookup is not small are looked for in one scan of the large table, instead of one run of
+    the plan so far for each. A join by a column that an earlier lookup brings looks for its heavy keys by itself.
+    """
+    ways = ["planned" if planned_small(one.table) else "sent" if one.measure and within_broadcast(one.table) else "shuffled" for one in lookups]
+    spread = [i for i, one in enumerate(lookups) if ways[i] == "shuffled" and set(one.keys) <= set(df.columns)]
+    often = dict(zip(spread, chain_hot_keys(df, [lookups[i].keys for i in spread], hot_rows))) if spread else {}
+    for i, one in enumerate(lookups):
+        if ways[i] == "shuffled":
+            df = lookup_join(df, one.table, one.on, one.how, one.null_safe, None if i in often else "sample", hot_rows=hot_rows, use_estimate=False, often=often.get(i))
+        else:
+            lookup = one.table if ways[i] == "planned" else F.broadcast(one.table)
+            df = lookup_join(df, lookup, one.on, one.how, one.null_safe, None)
+    return df
+
+
 def lookup_join(
     df: DataFrame,
     lookup: DataFrame,
@@ -82,6 +132,7 @@ def lookup_join(
     hot_rows: int | None = None,
     use_estimate: bool = True,
     suffixes: tuple[str, str] | None = None,
+    often: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table to a lookup and drop the lookup's key columns. ``how`` is 'left' or 'inner'.
 
@@ -94,7 +145,8 @@ def lookup_join(
     ``hot`` is 'sample' to look for such keys, or None where the keys are unique in the large table. They are
     looked for in ``sample_from``, by default the large table itself; where that is the outcome of other
     joins, name the table before them. An aggregate that is small should come as a written table
-    (``session.cut``), as then its true size is known and it is computed once.
+    (``session.cut``), as then its true size is known and it is computed once. ``often`` is a table of heavy keys that
+    is known already.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join takes 'left' or 'inner'")
@@ -116,7 +168,8 @@ def lookup_join(
     if generates(lookup):
         # Without this the planner would send it to every executor on an estimate that is far too low.
         lookup = lookup.hint("merge")
-    often = hot_keys(sample_from or df, [a for a, _ in pairs], hot_rows) if hot == "sample" else None
+    if often is None and hot == "sample":
+        often = hot_keys(sample_from or df, [a for a, _ in pairs], hot_rows)
     if often is None:
         return df.join(lookup, key_match(df, lookup, renamed, null_safe), how).drop(*right_keys)
 
@@ -302,20 +355,17 @@ def recode_columns(
 ) -> DataFrame:
     """Replace the codes in several columns by the values of a dictionary table with unique codes."""
     order = df.columns
-    for column in columns:
-        entries = dictionary.select(F.col(code).alias("_code"), F.col(value).alias("_value"))
-        df = lookup_join(df, entries, {column: "_code"}, null_safe=False, measure=True)
-        new = F.coalesce(F.col("_value"), F.col(column)) if keep_unmatched else F.col("_value")
-        df = df.withColumn(column, new).drop("_value")
-    return df.select(*order)
+    named = {c: dictionary.select(F.col(code).alias("_code"), F.col(value).alias(f"_value_{i}")) for i, c in enumerate(columns)}
+    df = lookup_chain(df, [Lookup(entries, {c: "_code"}, null_safe=False, measure=True) for c, entries in named.items()])
+    values = {c: F.col(f"_value_{i}") for i, c in enumerate(columns)}
+    return df.withColumns({c: F.coalesce(v, F.col(c)) if keep_unmatched else v for c, v in values.items()}).select(*order)
 
 
 def label_codes(df: DataFrame, labels: DataFrame, columns: Sequence[str], suffix: str = "_label") -> DataFrame:
     """Add a label column for each coded column, from a (variable, code, label) table. Do this last,
     on aggregated rows where possible."""
-    for column in columns:
-        own = labels.where(F.col("variable") == column).select(
-            F.col("code").try_cast(df.schema[column].dataType).alias("_code"), F.col("label").alias(column + suffix)
-        )
-        df = lookup_join(df, own, {column: "_code"}, null_safe=False, measure=True)
-    return df
+    def of_column(column: str) -> DataFrame:
+        code = F.col("code").try_cast(df.schema[column].dataType).alias("_code")
+        return labels.where(F.col("variable") == column).select(code, F.col("label").alias(column + suffix))
+
+    return lookup_chain(df, [Lookup(of_column(c), {c: "_code"}, null_safe=False, measure=True) for c in columns])

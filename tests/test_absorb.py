@@ -67,6 +67,15 @@ def test_too_few_rounds_are_an_error(data):
             ols(data[0], "y", ["x"], absorb=["f", "h"], most_rounds=2, small_cells=small)
 
 
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_a_factor_that_refines_another_leaves_nothing_to_do(data, small):
+    df, _ = data
+    finer = df.withColumn("fk", F.concat_ws("-", "f", "k"))
+    fit = ols(finer, "y", ["x"], absorb=["f", "fk"], degrees="components", small_cells=small)
+    alone = ols(finer, "y", ["x"], absorb=["fk"])
+    assert fit.stats["rounds"] == 0 and fit.coef == pytest.approx(alone.coef) and fit.std_error == pytest.approx(alone.std_error)
+
+
 def test_a_level_for_almost_every_row(spark):
     rows = spark.range(4000).select((F.col("id") / 2).cast("long").alias("o"), F.rand(1).alias("x"), (F.col("id") % 13).alias("c")).withColumn("y", 3 * F.col("x") + F.col("o") + F.randn(2))
     fit = ols(rows, "y", ["x"], absorb=["o"], vcov="cluster", cluster="c")

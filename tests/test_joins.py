@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.operators import joins
+from cellwright.session import cut
 
 
 def rows(df):
@@ -133,3 +134,31 @@ def test_heavy_null_key_is_spread_and_unmatched_rows_come_once(spark, how):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_a_chain_looks_for_heavy_keys_in_one_scan(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "base")
+    spark.range(4000).selectExpr("id", "id % 7 a", "IF(id < 2500, 1, id) b", "nullif(id % 3, 0) c", "id % 500 d").write.parquet(path)
+    base = spark.read.parquet(path)
+    sides = {k: cut(spark.range(4000).selectExpr(f"IF(id = 0, NULL, id) {k}", f"id * 2 v_{k}"), "side") for k in "abcd"}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    labels = []
+    monkeypatch.setattr(joins, "cut", lambda df, label="stage", *a: labels.append(label) or cut(df, label, *a))
+    try:
+        plain = base
+        for k, side in sides.items():
+            plain = joins.lookup_join(plain, side, [k], hot=None)
+        chained = joins.lookup_chain(base, [joins.Lookup(side, [k]) for k, side in sides.items()], hot_rows=400)
+        assert labels == ["hot-keys"]
+        text = chained._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("id#") and sum("Relation [id#" in line and "a#" in line for line in text.split("\n")) == 1
+        assert sorted(map(str, chained.collect())) == sorted(map(str, plain.collect()))
+        later = joins.lookup_chain(base, [joins.Lookup(sides["a"], ["a"]), joins.Lookup(sides["b"], {"v_a": "b"}, "inner")], hot_rows=400)
+        # The side of a holds NULL in place of 0, which leaves v_a NULL there, and NULL meets NULL.
+        assert later.count() == 4000 and later.where("v_a IS NULL AND v_b = 0").count() == base.where("a = 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = joins.chain_hot_keys(base, [["a"], ["b"], ["c"], ["b", "d"], ["a"]], hot_rows=1200)
+    assert found[0] is None and found[3] is None and found[4] is None
+    assert [r["b"] for r in found[1].collect()] == [1] and {r["c"] for r in found[2].collect()} == {None, 1, 2}

@@ -42,6 +42,12 @@ def test_filters_reach_the_scan(spark):
     assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(l_quantity,50.0\)", plan(QUERIES["semi_join_units"](spark, SF_DIR)))
 
 
+def test_a_range_of_years_reaches_the_scan(spark):
+    from cellwright.catalog.recodes import yearly_orders
+
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate,1996-01-01", plan(yearly_orders(spark, SF_DIR, (1996, 1997))))
+
+
 def test_one_shuffle_with_a_partial_aggregate(orders):
     counted = cells.cell_counts(orders, ["o_custkey", "o_orderstatus"])
     assert exchanges(counted) == 1 and plan(counted).count("HashAggregate") == 2
