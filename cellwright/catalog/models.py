@@ -101,24 +101,29 @@ QUERIES = {
 # SQL for the same. A symmetric matrix a is inverted by the columns of its Cholesky factor, written out.
 
 
-def inverse(k: int, a: str = "a") -> str:
-    """Columns ``v_i_j`` (i <= j) of the inverse of the matrix in columns ``a_i_j`` (i <= j)."""
-    out = []
+def inverse(name: str, source: str, k: int) -> str:
+    """Steps from a table with a matrix in ``a_i_j`` (i <= j) to ``name``, which adds the inverse ``v_i_j``.
+
+    Every step is a table of its own, as the engine would write out names of one step again wherever they are used.
+    """
+    steps: list[list[str]] = []
 
     def minus(head: str, parts: Sequence[str]) -> str:
         return " - ".join([head, *parts])
 
     for j in range(k):
-        out.append(f"sqrt({minus(f'{a}_{j}_{j}', [f'l_{j}_{m} * l_{j}_{m}' for m in range(j)])}) AS l_{j}_{j}")
-        for i in range(j + 1, k):
-            out.append(f"({minus(f'{a}_{j}_{i}', [f'l_{i}_{m} * l_{j}_{m}' for m in range(j)])}) / l_{j}_{j} AS l_{i}_{j}")
-    for j in range(k):
-        out.append(f"1 / l_{j}_{j} AS w_{j}_{j}")
-        for i in range(j + 1, k):
-            out.append(f"-({' + '.join(f'l_{i}_{t} * w_{t}_{j}' for t in range(j, i))}) / l_{i}_{i} AS w_{i}_{j}")
+        steps.append([f"sqrt({minus(f'a_{j}_{j}', [f'l_{j}_{m} * l_{j}_{m}' for m in range(j)])}) AS l_{j}_{j}"])
+        steps.append([f"({minus(f'a_{j}_{i}', [f'l_{i}_{m} * l_{j}_{m}' for m in range(j)])}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, k)])
     for i in range(k):
-        for j in range(i, k):
-            out.append(f"{' + '.join(f'w_{t}_{i} * w_{t}_{j}' for t in range(j, k))} AS v_{i}_{j}")
+        below = [f"-({' + '.join(f'l_{i}_{t} * w_{t}_{j}' for t in range(j, i))}) / l_{i}_{i} AS w_{i}_{j}" for j in range(i)]
+        steps.append([*below, f"1 / l_{i}_{i} AS w_{i}_{i}"])
+    steps.append([f"{' + '.join(f'w_{t}_{i} * w_{t}_{j}' for t in range(j, k))} AS v_{i}_{j}" for i in range(k) for j in range(i, k)])
+    steps = [step for step in steps if step]
+    out = []
+    for number, step in enumerate(steps):
+        table = name if number == len(steps) - 1 else f"{name}_{number}"
+        out.append(f"{table} AS MATERIALIZED (SELECT *, {', '.join(step)} FROM {source})")
+        source = table
     return ", ".join(out)
 
 
@@ -143,8 +148,8 @@ def solution(rows: str, k: int, group: str = "") -> str:
     head, tail = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
     b = [f"{' + '.join(f'{pair("v", i, j)} * c_{j}' for j in range(k))} AS b_{i}" for i in range(k)]
     return f"""
-        sums AS (SELECT {head}count(*)::DOUBLE AS n, sum(y * y) AS yy, {", ".join(products)} FROM {rows} {tail}),
-        inverted AS (SELECT *, {inverse(k)} FROM sums),
+        sums AS MATERIALIZED (SELECT {head}count(*)::DOUBLE AS n, sum(y * y) AS yy, {", ".join(products)} FROM {rows} {tail}),
+        {inverse("inverted", "sums", k)},
         beta AS MATERIALIZED (SELECT *, {", ".join(b)}, yy - ({" + ".join(f"b_{i} * c_{i}" for i in range(k))}) AS rss FROM inverted)"""
 
 
@@ -198,8 +203,8 @@ def _logit(steps: int, k: int) -> str:
         sums = [f"sum(n * p * (1 - p) * x{i} * x{j}) AS a_{i}_{j}" for i in range(k) for j in range(i, k)] + [f"sum(x{i} * (s - n * p)) AS c_{i}" for i in range(k)]
         old = ", ".join(f"max(b_{i}) AS o_{i}" for i in range(k))
         new = ", ".join(f"o_{i} + {' + '.join(f'{pair("v", i, j)} * c_{j}' for j in range(k))} AS b_{i}" for i in range(k))
-        parts.append(f"s{step} AS (SELECT {old}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM cells, b{step}))")
-        parts.append(f"i{step} AS MATERIALIZED (SELECT *, {inverse(k)} FROM s{step})")
+        parts.append(f"s{step} AS MATERIALIZED (SELECT {old}, {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p FROM cells, b{step}))")
+        parts.append(inverse(f"i{step}", f"s{step}", k))
         parts.append(f"b{step + 1} AS MATERIALIZED (SELECT {new} FROM i{step})")
     inverted = ", ".join(f"v_{i}_{j}" for i in range(k) for j in range(i, k))
     return f"{', '.join(parts)}, beta AS MATERIALIZED (SELECT b{steps}.*, {inverted} FROM b{steps}, i{steps - 1})"
