@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellwright.session import cut
 
-__all__ = ["cut", "table", "in_tasks", "held_out", "drawn", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
+__all__ = ["cut", "shuffles_freed", "table", "in_tasks", "held_out", "drawn", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,6 +27,24 @@ def in_tasks(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it has ended, for what it gave is a written table by then.
+
+    Nothing is lost to recovery: a running query keeps its files, and a later one begins at the tables.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import cut, in_tasks, mixed, ranged_codes, row_key, shingle_codes, table, utf8, word_codes, word_spans
+from cellwright.llm.common import cut, in_tasks, mixed, ranged_codes, row_key, shingle_codes, shuffles_freed, table, utf8, word_codes, word_spans
 from cellwright.llm.components import components
 from cellwright.llm.jaccard import sliced_links
 
@@ -36,22 +37,31 @@ LEAST_REMOVED = 40
 WINDOW = 5
 #: Classes of one slice of a block.
 BLOCK_CLASSES = 1000
+#: Bytes of text that are cut into paragraphs together. It changes no result.
+JOINED = 1 << 18
 
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
 class Paragraphs:
-    """The paragraphs of one UTF-8 text: word spans, word codes, and the words at which paragraphs begin and end."""
+    """The paragraphs of UTF-8 texts, one after the other: word spans, word codes, and the words at which paragraphs begin and end.
 
-    def __init__(self, data: bytes):
-        self.data = data
+    Words and paragraphs are numbered through all the texts. ``words_from`` and ``from_`` say with which those of a text
+    begin, with one more number for the end. No paragraph goes beyond its text, and none depends on the other texts.
+    """
+
+    def __init__(self, *texts: bytes):
+        self.data = data = texts[0] if len(texts) == 1 else b"\n".join(texts)
         self.starts, self.ends = word_spans(data)
         self.codes = word_codes(data, (self.starts, self.ends))
         n = len(self.codes)
+        lengths = np.array([len(t) + 1 for t in texts])
+        self.words_from = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(lengths)]))
         if not n:
             self.first = self.stop = self.least = np.zeros(0, np.int64)
             self.wide = np.zeros(0, bool)
+            self.from_ = np.zeros(len(texts) + 1, np.int64)
             return
         letters = np.frombuffer(data, np.uint8)
         # A sentence ends with a word that ends in a full stop, or at a line end.
@@ -60,35 +70,64 @@ class Paragraphs:
         ends[:-1] |= lines[self.starts[1:]] > lines[self.ends[:-1]]
         # The last two words choose whether the paragraph ends there.
         before = np.concatenate([[np.uint64(0)], self.codes[:-1]])
+        before[self.words_from[:-1][self.words_from[:-1] < n]] = 0
         choice = mixed(self.codes ^ mixed(before))
+        edges = np.zeros(n + 1, bool)
+        edges[self.words_from] = True
+        may = edges.copy()
+        may[1:] |= (ends & (choice % np.uint64(ENDS) == 0)) | (choice % np.uint64(LONG) == 0)
         stops, last = [], 0
-        for at in (np.flatnonzero((ends & (choice % np.uint64(ENDS) == 0)) | (choice % np.uint64(LONG) == 0)) + 1).tolist():
-            if at - last >= LEAST_WORDS:
-                stops.append(at)
-                last = at
-        wide = np.unique([0, *stops, n])
+        at = np.flatnonzero(may)
+        for k, edge in zip(at.tolist(), edges[at].tolist()):
+            if edge or k - last >= LEAST_WORDS:
+                stops.append(k)
+                last = k
+        wide = np.array(stops)
         # A short one begins where the choice is the least of those around, so wherever ends are rare there are such places.
-        padded = np.pad(choice, WINDOW, constant_values=np.uint64(2**64 - 1))
-        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * WINDOW + 1)
-        self.least = np.flatnonzero((around[:, :WINDOW].min(1) > choice) & (around[:, WINDOW:].min(1) == choice))  # of equal ones the first
-        short = np.unique([0, *self.least.tolist(), n])
-        spans = np.unique(np.concatenate([np.column_stack([e[:-1], e[1:]]) for e in (wide, short)]), axis=0)
-        self.first, self.stop = spans[:, 0], spans[:, 1]
-        self.wide = np.isin(self.first, wide) & (self.stop == wide[np.minimum(np.searchsorted(wide, self.first, "right"), len(wide) - 1)])
-
-    def reach(self, a: int, b: int) -> tuple[int, int]:
+        place = np.arange(n) + WINDOW * np.repeat(np.arange(1, len(texts) + 1), np.diff(self.words_from))
+        padded = np.full(n + WINDOW * (len(texts) + 1), 2**64 - 1, np.uint64)
+        padded[place] = choice
+        inner = len(padded) - 2 * WINDOW
+        left, right = padded[:inner].copy(), padded[WINDOW + 1 : WINDOW + 1 + inner].copy()
+        for k in range(1, WINDOW):
+            np.minimum(left, padded[k : k + inner], out=left)
+            np.minimum(right, padded[WINDOW + 1 + k : WINDOW + 1 + k + inner], out=right)
+        place -= WINDOW
+        self.least = np.flatnonzero((left[place] > choice) & (right[place] >= choice))  # of equal ones the first
+        edges[self.least] = True
+        short = np.flatnonzero(edges)
+        wide_spans, short_spans = (e[:-1] * (n + 1) + e[1:] for e in (wide, short))
+        spans = np.union1d(wide_spans, short_spans)
+        self.first, self.stop = spans // (n + 1), spans % (n + 1)
+        self.wide = np.isin(spans, wide_spans, assume_unique=True)
+        self.from_ = np.searchsorted(self.first, self.words_from)
+
+    def reach(self, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Up to which words before ``a`` and after ``b`` a short paragraph surely lies between, with what decides on its ends.
 
-        A passage that goes on further on both places has that paragraph as a repeat of its own.
+        A passage that goes on further on both places has that paragraph as a repeat of its own. ``text`` is the number of
+        the text, beyond which nothing reaches.
         """
-        k = int(np.searchsorted(self.least, a - WINDOW, "right")) - 2
-        low = max(0, int(self.least[k]) - WINDOW - 1) if k >= 0 else 0
-        k = int(np.searchsorted(self.least, b + WINDOW + 1)) + 1
-        high = min(len(self.codes), int(self.least[k]) + WINDOW + 1) if k < len(self.least) else len(self.codes)
-        return low, high
-
-    def text(self, k: int) -> bytes:
-        return self.data[self.starts[self.first[k]] : self.ends[self.stop[k] - 1]]
+        k = np.searchsorted(self.least, a - WINDOW, "right") - 2
+        far = np.append(self.least, len(self.codes))  # stands for no such place
+        low = np.where(k >= 0, far[np.maximum(k, 0)] - WINDOW - 1, 0)
+        k = np.searchsorted(self.least, b + WINDOW + 1) + 1
+        high = far[np.minimum(k, len(self.least))] + WINDOW + 1
+        return np.maximum(low, self.words_from[text]), np.minimum(high, self.words_from[text + 1])
+
+
+def in_groups(texts: pa.Array) -> Iterator[tuple[int, Paragraphs]]:
+    """The paragraphs of neighbouring texts together, about JOINED bytes at a time, and the number of the first of them."""
+    at, group, size = 0, [], 0
+    for k, text in enumerate(texts):
+        data = utf8(text)
+        if group and size + len(data) > JOINED:
+            yield at, Paragraphs(*group)
+            at, group, size = k, [], 0
+        group.append(data)
+        size += len(data)
+    if group:
+        yield at, Paragraphs(*group)
 
 
 def paragraph_keys(found: Paragraphs, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +157,12 @@ def _places(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pos, keys = [], [], []
-            for k, text in enumerate(batch.column(2)):
-                long, found = paragraph_keys(Paragraphs(utf8(text)))
-                at.append(np.full(len(long), k))
-                pos.append(long)
-                keys.append(found)
-            if at:
-                of = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(keys).astype(np.int64))],
-                    ["id", "row", "pos", "key"],
-                )
+            for at, found in in_groups(batch.column(2)):
+                long, keys = paragraph_keys(found)
+                text = np.searchsorted(found.from_, long, "right") - 1
+                of = pa.array(at + text)
+                pos = (long - found.from_[text]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(pos), pa.array(keys)], ["id", "row", "pos", "key"])
 
     return in_tasks(rows, run, "id long, row long, pos int, key long")
 
@@ -140,18 +173,14 @@ def _bands(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # what repeats inside a task is sent once
         for batch in batches:
-            bands, keys = [], []
-            for text in batch.column(0):
-                found = Paragraphs(utf8(text))
+            for _, found in in_groups(batch.column(0)):
                 long, own = paragraph_keys(found, wide=True)
                 fresh = [n for n, key in enumerate(own.tolist()) if key not in seen and not seen.add(key)]
                 if fresh:
-                    bands.append(band_codes(found, long[fresh]).ravel())
-                    keys.append(np.repeat(own[fresh], BANDS))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), pa.array(np.concatenate(keys))], ["bucket", "key"])
+                    bands = band_codes(found, long[fresh]).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(bands), pa.array(np.repeat(own[fresh], BANDS))], ["bucket", "key"])
+                if len(seen) > 1_000_000:
+                    seen.clear()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sent = None, False  # the row before, and whether it has been sent
@@ -178,6 +207,15 @@ def _bands(rows: DataFrame) -> DataFrame:
     return in_tasks(met, meet, "bucket long, key long")
 
 
+def _binaries(values: np.ndarray, first: np.ndarray, lengths: np.ndarray, step: int = 1) -> pa.Array:
+    """For each row ``lengths`` values from ``first`` on, forwards or backwards, as bytes."""
+    stops = np.cumsum(lengths)
+    within = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - lengths, lengths)
+    taken = values[np.repeat(first, lengths) + step * within]
+    offsets = (np.concatenate([[0], stops]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+
+
 def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, row, pos, key, is_head, body, before, after) of wanted places.
 
@@ -187,25 +225,30 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "row", "pos", "key", "is_head", "body", "before", "after"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            out: list[tuple] = []
-            ids, keys, places = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for k, text in enumerate(batch.column(2)):
-                found = Paragraphs(utf8(text))
+            if not batch.num_rows:
+                continue
+            lists = batch.column(3)
+            begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            pos, key, is_head, near, goes = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            for start, found in in_groups(batch.column(2)):
                 short = (found.codes >> np.uint64(32)).astype(np.uint32)
-                goes = [p["pos"] for p in places[k] if p["goes"]]
-                begins, stops = set(found.first[goes].tolist()), set(found.stop[goes].tolist())
-                for p in {p["pos"]: p for p in places[k]}.values():
-                    pos = p["pos"]
-                    a, b = int(found.first[pos]), int(found.stop[pos])
-                    low, high = found.reach(a, b)
-                    before = short[low:a][::-1] if p["is_head"] or a not in stops else short[:0]
-                    after = short[b:high] if p["is_head"] or b not in begins else short[:0]
-                    body = found.codes[a:b].tobytes() if p["is_head"] and p["near"] else None
-                    out.append((ids[k], keys[k], pos, p["key"], p["is_head"], body, before.tobytes(), after.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names)
+                here = begin[start : start + len(found.from_)]
+                text = np.repeat(np.arange(len(here) - 1), np.diff(here))
+                # Rows equal in id and text bring their places more than once.
+                at, once = np.unique(found.from_[text] + pos[here[0] : here[-1]], return_index=True)
+                text, once = text[once], once + here[0]
+                head, gone = is_head[once], at[goes[once]]
+                a, b = found.first[at], found.stop[at]
+                low, high = found.reach(a, b, text)
+                back = np.where(head | ~np.isin(a, found.stop[gone]), a - low, 0)
+                forth = np.where(head | ~np.isin(b, found.first[gone]), high - b, 0)
+                asked = head & near[once]
+                body = _binaries(found.codes, a, np.where(asked, b - a, 0))
+                of = pa.array(start + text)
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[once]), pa.array(key[once]), pa.array(head)]
+                columns += [pc.if_else(pa.array(asked), body, pa.scalar(None, pa.binary())), _binaries(short, a - 1, back, -1), _binaries(short, b, forth)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near", "goes")).alias("places"))
     lists = lists.select(F.col("id").alias("wanted_id"), F.col("row").alias("wanted_row"), "places")
@@ -214,12 +257,23 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return in_tasks(joined.select("id", "row", "text", "places"), run, schema)
 
 
-def _agreement(a: bytes, b: bytes) -> int:
-    """How many words agree from the beginning of two rows of codes on."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    return int(differ[0]) if len(differ) else n
+def _word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The short word codes of all rows of a binary column, and where those of each row begin."""
+    _, offsets, data = column.buffers()
+    begin = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(data, np.uint32, int(begin[-1])) if data is not None else np.zeros(0, np.uint32), begin
+
+
+def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """How many words agree from the beginning of two rows of codes on, row by row."""
+    (x, x_from), (y, y_from) = _word_codes(a), _word_codes(b)
+    n = np.minimum(np.diff(x_from), np.diff(y_from)).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    differ = np.flatnonzero(x[x_from[row] + within] != y[y_from[row] + within])
+    rows, first = np.unique(row[differ], return_index=True)
+    n[rows] = within[differ[first]]
+    return n
 
 
 def _read_body(value: pa.Scalar) -> np.ndarray:
@@ -238,18 +292,23 @@ def _near_classes(bands: DataFrame, bodies: DataFrame) -> DataFrame:
 
 def find_repeats(rows: DataFrame) -> DataFrame:
     """(id, row, pos, back, forth, kept_id): paragraphs to remove, with the words before and after that go with them."""
+    with shuffles_freed(rows.sparkSession):
+        return _find_repeats(rows)
+
+
+def _find_repeats(rows: DataFrame) -> DataFrame:
     places = cut(_places(rows), "places")
     order = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("at"), "row", "pos")
-    classes = places.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "row", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = places.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     bands = cut(_bands(rows), "bands")
     near = bands.select("key").distinct().withColumn("near", F.lit(True))
     # Texts are looked at again only where a class is repeated or may be near another.
     repeated = classes.join(near, "key", "left").where("n > 1 OR near").select(F.col("key").alias("of"), "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
-    is_head = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("row") == F.col("first.row")) & (F.col("pos") == F.col("first.pos"))
+    is_head = order == F.col("first")
     wanted = places.join(repeated, F.col("key") == F.col("of")).select(
         "id", "row", "pos", "key", "near", is_head.alias("is_head"), ((F.col("n") > 1) & ~is_head).alias("goes")
     )
-    shown = cut(_shown(rows, wanted), "shown")
+    shown = cut(_shown(rows, cut(wanted, "wanted")), "shown")
     heads = shown.where("is_head").dropDuplicates(["key"])  # rows equal in id and text show the same head
     links = _near_classes(bands, heads.where("body IS NOT NULL"))
     named = components(links)
@@ -263,8 +322,10 @@ def find_repeats(rows: DataFrame) -> DataFrame:
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [[_agreement(x.as_py(), y.as_py()) for x, y in zip(batch.column(a), batch.column(b))] for a, b in ((3, 5), (4, 6))]
-            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(s, pa.int32()) for s in sides), batch.column(7)]
+            if not batch.num_rows:
+                continue
+            sides = [_agreement(batch.column(a), batch.column(b)) for a, b in ((3, 5), (4, 6))]
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(s.astype(np.int32)) for s in sides), batch.column(7)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "row", "pos", "back", "forth", "kept_id"])
 
     return cut(in_tasks(removed, grow, "id long, row long, pos int, back int, forth int, kept_id long"), "removed")
