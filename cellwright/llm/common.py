@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.session import cut
+from cellwright.session import cut, scratch_path
 
-__all__ = ["cut", "shuffles_freed", "table", "in_tasks", "held_out", "drawn", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
+__all__ = ["cut", "scratch_path", "shuffles_freed", "delete_table", "table", "in_tasks", "held_out", "drawn", "row_key", "utf8", "word_spans", "word_codes", "shingle_codes"]
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -45,6 +45,12 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``cut`` wrote to ``path`` and of which nothing more is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

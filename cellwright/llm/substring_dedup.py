@@ -22,7 +22,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import cut, in_tasks, mixed, ranged_codes, row_key, shingle_codes, shuffles_freed, table, utf8, word_codes, word_spans
+from cellwright.llm.common import (
+    cut, delete_table, in_tasks, mixed, ranged_codes, row_key, scratch_path, shingle_codes, shuffles_freed, table, utf8, word_codes, word_spans,
+)
 from cellwright.llm.components import components
 from cellwright.llm.jaccard import sliced_links
 
@@ -217,20 +219,20 @@ def _binaries(values: np.ndarray, first: np.ndarray, lengths: np.ndarray, step:
 
 
 def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, row, pos, key, is_head, body, before, after) of wanted places.
+    """(id, row, pos, key, is_head, repeated, body, before, after) of wanted places.
 
     ``body`` has word codes where asked for. ``before`` and ``after`` have codes of the words around: of heads, and
     where a run of paragraphs that surely go ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "row", "pos", "key", "is_head", "body", "before", "after"]
+        names = ["id", "row", "pos", "key", "is_head", "repeated", "body", "before", "after"]
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column(3)
             begin = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            pos, key, is_head, near, goes = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            pos, key, is_head, near, repeated = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
             for start, found in in_groups(batch.column(2)):
                 short = (found.codes >> np.uint64(32)).astype(np.uint32)
                 here = begin[start : start + len(found.from_)]
@@ -238,7 +240,7 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 # Rows equal in id and text bring their places more than once.
                 at, once = np.unique(found.from_[text] + pos[here[0] : here[-1]], return_index=True)
                 text, once = text[once], once + here[0]
-                head, gone = is_head[once], at[goes[once]]
+                head, gone = is_head[once], at[repeated[once] & ~is_head[once]]
                 a, b = found.first[at], found.stop[at]
                 low, high = found.reach(a, b, text)
                 back = np.where(head | ~np.isin(a, found.stop[gone]), a - low, 0)
@@ -246,14 +248,14 @@ def _shown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 asked = head & near[once]
                 body = _binaries(found.codes, a, np.where(asked, b - a, 0))
                 of = pa.array(start + text)
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[once]), pa.array(key[once]), pa.array(head)]
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos[once]), pa.array(key[once]), pa.array(head), pa.array(repeated[once])]
                 columns += [pc.if_else(pa.array(asked), body, pa.scalar(None, pa.binary())), _binaries(short, a - 1, back, -1), _binaries(short, b, forth)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near", "goes")).alias("places"))
+    lists = wanted.groupBy("id", "row").agg(F.collect_list(F.struct("pos", "key", "is_head", "near", "repeated")).alias("places"))
     lists = lists.select(F.col("id").alias("wanted_id"), F.col("row").alias("wanted_row"), "places")
     joined = rows.join(lists, (F.col("row") == F.col("wanted_row")) & F.col("id").eqNullSafe(F.col("wanted_id")))
-    schema = "id long, row long, pos int, key long, is_head boolean, body binary, before binary, after binary"
+    schema = "id long, row long, pos int, key long, is_head boolean, repeated boolean, body binary, before binary, after binary"
     return in_tasks(joined.select("id", "row", "text", "places"), run, schema)
 
 
@@ -297,28 +299,36 @@ def find_repeats(rows: DataFrame) -> DataFrame:
 
 
 def _find_repeats(rows: DataFrame) -> DataFrame:
-    places = cut(_places(rows), "places")
+    spark = rows.sparkSession
+    # Tables whose rows have all gone into later tables are deleted.
+    at = {name: scratch_path(spark, name) for name in ("places", "bands", "wanted", "shown")}
+    places = cut(_places(rows), path=at["places"])
     order = F.struct(F.coalesce("id", F.lit(-(2**63))).alias("at"), "row", "pos")
     classes = places.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    bands = cut(_bands(rows), "bands")
+    bands = cut(_bands(rows), path=at["bands"])
     near = bands.select("key").distinct().withColumn("near", F.lit(True))
     # Texts are looked at again only where a class is repeated or may be near another.
-    repeated = classes.join(near, "key", "left").where("n > 1 OR near").select(F.col("key").alias("of"), "first", "n", F.coalesce("near", F.lit(False)).alias("near"))
-    is_head = order == F.col("first")
-    wanted = places.join(repeated, F.col("key") == F.col("of")).select(
-        "id", "row", "pos", "key", "near", is_head.alias("is_head"), ((F.col("n") > 1) & ~is_head).alias("goes")
-    )
-    shown = cut(_shown(rows, cut(wanted, "wanted")), "shown")
-    heads = shown.where("is_head").dropDuplicates(["key"])  # rows equal in id and text show the same head
-    links = _near_classes(bands, heads.where("body IS NOT NULL"))
-    named = components(links)
-    grouped = heads.join(named, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key"))
-    # The first place of each component stays.
-    kept = grouped.groupBy("component").agg(F.min(F.struct(order.alias("order"), "id", "row", "pos", "before", "after")).alias("kept"))
-    kept = grouped.select("key", "component").join(kept, "component").select(F.col("key").alias("of"), "kept")
-    is_kept = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("row") == F.col("kept.row")) & (F.col("pos") == F.col("kept.pos"))
-    removed = shown.drop("body").join(kept, F.col("key") == F.col("of")).where(~is_kept)
-    removed = removed.select("id", "row", "pos", "before", "after", F.col("kept.before").alias("kept_before"), F.col("kept.after").alias("kept_after"), F.col("kept.id").alias("kept_id"))
+    chosen = classes.join(near, "key", "left").where("n > 1 OR near")
+    chosen = chosen.select(F.col("key").alias("of"), "first", (F.col("n") > 1).alias("repeated"), F.coalesce("near", F.lit(False)).alias("near"))
+    wanted = places.join(chosen, F.col("key") == F.col("of")).select("id", "row", "pos", "key", "near", (order == F.col("first")).alias("is_head"), "repeated")
+    wanted = cut(wanted, path=at["wanted"])
+    delete_table(spark, at["places"])
+    shown = cut(_shown(rows, wanted), path=at["shown"])
+    delete_table(spark, at["wanted"])
+    heads = shown.where("is_head")  # rows equal in id and text show the same head
+    named = components(_near_classes(bands, heads.where("body IS NOT NULL").select("key", "body").dropDuplicates(["key"])))
+    delete_table(spark, at["bands"])
+    # The first place of each component stays: the heads of its other classes go, and their classes with them.
+    linked = heads.select("key", order.alias("order")).join(named, F.col("key") == F.col("node"))
+    first = linked.groupBy("component").agg(F.min(F.struct("order", "key")).alias("first")).select("component", F.col("first.key").alias("kept_key"))
+    moved = cut(named.join(first, "component").where("node <> kept_key").select(F.col("node").alias("of"), "kept_key"), "moved")
+    places = shown.select("id", "row", "pos", "key", "before", "after", "is_head", "repeated")
+    goes = places.where("NOT is_head").join(moved, F.col("key") == F.col("of"), "left").withColumn("kept_key", F.coalesce("kept_key", "key"))
+    goes = goes.unionByName(places.where("is_head").join(moved, F.col("key") == F.col("of")))
+    found = places.where("is_head")
+    kept = found.where("repeated").unionByName(found.where("NOT repeated").join(moved.select(F.col("kept_key").alias("key")).distinct(), "key", "left_semi"))
+    kept = kept.dropDuplicates(["key"]).select(F.col("key").alias("of_kept"), F.col("id").alias("kept_id"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    removed = goes.join(kept, F.col("kept_key") == F.col("of_kept")).select("id", "row", "pos", "before", "after", "kept_before", "kept_after", "kept_id")
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +338,9 @@ def _find_repeats(rows: DataFrame) -> DataFrame:
             columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(s.astype(np.int32)) for s in sides), batch.column(7)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "row", "pos", "back", "forth", "kept_id"])
 
-    return cut(in_tasks(removed, grow, "id long, row long, pos int, back int, forth int, kept_id long"), "removed")
+    grown = cut(in_tasks(removed, grow, "id long, row long, pos int, back int, forth int, kept_id long"), "removed")
+    delete_table(spark, at["shown"])
+    return grown
 
 
 def removed_spans(found: Paragraphs, places: list[dict]) -> list[tuple[int, int, list[int]]]:
