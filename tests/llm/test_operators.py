@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,35 @@ def in_partitions(spark, texts):
     return spark.createDataFrame(spark.sparkContext.parallelize([(k, k, t) for k, t in texts], len(texts)), "id long, row long, text string")
 
 
+def test_paragraphs_do_not_depend_on_neighbouring_texts():
+    rng = random.Random(21)
+    texts = [words(rng, rng.choice([0, 1, 4, 7, 30, 300])).replace("e ", "e. ").replace("a ", "a\n").encode() for _ in range(60)] + [b"", b"x " * 500, b" "]
+    rng.shuffle(texts)
+    together = substring_dedup.Paragraphs(*texts)
+    numbers, keys = substring_dedup.paragraph_keys(together)
+    for k, text in enumerate(texts):
+        alone = substring_dedup.Paragraphs(text)
+        here, base = slice(together.from_[k], together.from_[k + 1]), together.words_from[k]
+        first, stop = together.first[here], together.stop[here]
+        assert (first - base).tolist() == alone.first.tolist() and (stop - base).tolist() == alone.stop.tolist()
+        assert together.wide[here].tolist() == alone.wide.tolist()
+        own, own_keys = substring_dedup.paragraph_keys(alone)
+        mine = (numbers >= here.start) & (numbers < here.stop)
+        assert (numbers[mine] - here.start).tolist() == own.tolist() and keys[mine].tolist() == own_keys.tolist()
+        zeros = [0] * len(first)
+        for a, b in zip(together.reach(first, stop, np.array(zeros, int) + k), alone.reach(alone.first, alone.stop, np.array(zeros, int))):
+            assert (a - base).tolist() == b.tolist()
+
+
+def test_agreement_counts_words_from_the_beginning():
+    rng = np.random.default_rng(3)
+    rows = [[rng.integers(0, 2, rng.integers(0, 6)).astype(np.uint32) for _ in range(200)] for _ in range(2)]
+    wanted = [next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))) for x, y in zip(*rows)]
+    a, b = (pa.array([x.tobytes() for x in column], pa.binary()) for column in rows)
+    assert substring_dedup._agreement(a, b).tolist() == wanted
+    assert substring_dedup._agreement(a[50:90], b[50:90]).tolist() == wanted[50:90]
+
+
 def test_bands_keep_every_class_that_meets_another(spark):
     rng = random.Random(11)
     passages = [words(rng, 60).split() for _ in range(12)]
