@@ -1,9 +1,10 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax, trained by SGD in numpy.
 
-Training rows are a bounded sample of labelled rows; what a task sends of a row is its bucket counts, so a text of any
-length weighs a bounded amount. The product of embeddings and softmax weights is one small table, and a document's score
-is the mean of table rows over its subwords. Scores are calibrated by a temperature on rows kept out of training, and
-so is the score below which a prediction is rejected.
+Every labelled row is learnt from. A hash deals the rows to shards, which tasks train apart and from the same beginning. The
+product of embeddings and softmax weights is one small table, and a document's score is the mean of table rows over its
+subwords. So a shard's scores are linear in its table, and the model is the mean of the tables, weighted by their rows; the
+driver gets this one table. Scores are calibrated by a temperature on all rows that the hash keeps out of training, and so
+is the score below which a prediction is rejected. Sums are of whole numbers, so no result depends on how rows lie.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import drawn, held_out, in_tasks, mixed, ranged_codes, table
+from cellwright.llm.common import cut, held_out, in_tasks, mixed, ranged_codes, shuffles_freed, table
 
-#: Labelled documents to train on, about, and their share for calibration.
-SAMPLE_ROWS, CALIBRATION = 4000, 0.25
+#: Rows that are trained together, about, and the share of labelled rows for calibration.
+SHARD_ROWS, CALIBRATION = 3000, 0.25
+#: A shard whose bucket counts take more bytes is trained in several parts.
+SHARD_BYTES = 1 << 26
+#: Tables and losses are summed in steps of one part in UNIT; their slices are sent by so many buckets.
+UNIT, SLICE = 1 << 20, 1024
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 14, 16, 6, 0.5
 #: Share of rightly labelled calibration rows that the rejection may cost, and the highest score that it may ask for.
 REJECTED, REJECT_BELOW = 0.002, 0.5
@@ -83,14 +88,30 @@ class WordRows(dict):
         return total[:-1] / max(total[-1], 1.0)
 
 
-def bucket_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all subwords and how often each occurs."""
-    often = Counter(words)
-    buckets, owners = subwords(list(often))
-    counts = np.zeros(BUCKETS, np.int64)
-    np.add.at(counts, buckets, np.fromiter(often.values(), np.int64, len(often))[owners])
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+class WordBuckets(dict):
+    """Buckets of a word's subwords, by word; emptied when full."""
+
+    def __init__(self, limit: int = 100_000):
+        super().__init__()
+        self.limit = limit
+
+    def counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all subwords and how often each occurs."""
+        often = Counter(words)
+        if len(self) + len(often) > self.limit:
+            self.clear()
+        unseen = [w for w in often if w not in self]
+        if unseen:
+            buckets, owners = subwords(unseen)
+            buckets = buckets[np.argsort(owners, kind="stable")].astype(np.uint16)
+            self.update(zip(unseen, np.split(buckets, np.cumsum(np.bincount(owners))[:-1])))
+        found = [self[w] for w in often]
+        if not found:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int32)
+        times = np.repeat(np.fromiter(often.values(), np.int64, len(often)), np.fromiter(map(len, found), np.int64, len(found)))
+        counts = np.bincount(np.concatenate(found), times, BUCKETS)
+        at = np.flatnonzero(counts)
+        return at.astype(np.uint16), counts[at].astype(np.int32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -98,68 +119,143 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> dict:
-    """A model from (language, buckets, counts): the languages, the table of bucket scores, bias, temperature, threshold."""
-    languages = sorted({r[0] for r in rows})
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of bucket scores and the bias from (number of the language, buckets, counts), rows with buckets only."""
     rng = np.random.default_rng(11)
-    order = rng.permutation(len(rows))
-    kept_out = set(order[: int(len(rows) * CALIBRATION)].tolist()) if len(rows) >= 20 else set()
     embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    weights, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
-    goal = {lang: k for k, lang in enumerate(languages)}
-    inputs = [(goal[lang], at, (n / n.sum())[:, None]) for lang, at, n in rows if len(at)]
-    steps = [k for k in range(len(inputs)) if k not in kept_out]
+    weights, bias = np.zeros((DIMENSIONS, languages)), np.zeros(languages)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for k in rng.permutation(steps):
-            y, at, share = inputs[k]
-            hidden = (embedding[at] * share).sum(0)
+        for k in rng.permutation(len(rows)):
+            y, at, counts = rows[k]
+            share, taken = counts / counts.sum(), embedding.take(at, 0)
+            hidden = share @ taken
             error = softmax(hidden @ weights + bias)
             error[y] -= 1
             back = weights @ error
             weights -= rate * np.outer(hidden, error)
             bias -= rate * 0.1 * error
-            embedding[at] -= rate * 20 * share * back
-    scores = embedding @ weights
-    model = {"languages": languages, "table": scores, "bias": bias, "temperature": 1.0, "reject": 0.0}
-    checked = [inputs[k] for k in range(len(inputs)) if k in kept_out]
-    if checked:
-        logits = np.array([(scores[at] * share).sum(0) + bias for _, at, share in checked])
-        goals = np.array([y for y, _, _ in checked])
-        grid = np.geomspace(0.05, 20, 60)
-        losses = [-np.log(softmax(logits / t)[np.arange(len(goals)), goals] + 1e-12).mean() for t in grid]
-        model["temperature"] = float(grid[int(np.argmin(losses))])
-        chance = softmax(logits / model["temperature"])
-        right = chance.argmax(1) == goals
-        if right.any():
-            model["reject"] = float(min(np.quantile(chance.max(1)[right], REJECTED), REJECT_BELOW))
-    return model
+            taken -= np.outer(share, rate * 20 * back)
+            embedding[at] = taken
+    return embedding @ weights, bias
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Learn from rows with a language that are not held out: about ``sample_rows`` of them.
+def _trained(rows: DataFrame, languages: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of the tables and of the biases of all shards of (key, text, lang), weighted by their rows."""
+    goal, width = {lang: k for k, lang in enumerate(languages)}, len(languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, size, last = WordBuckets(), [], 0, None
+        sums, learnt = np.zeros((BUCKETS + 1, width), np.int64), 0
+
+        def settle() -> None:
+            nonlocal sums, learnt
+            if held:
+                scores, bias = train(held, width)
+                sums += np.rint(np.vstack([scores, bias]) * (UNIT * len(held))).astype(np.int64)
+                learnt += len(held)
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if row == last:
+                    continue  # rows equal in all columns teach once
+                if held and (row[0] != last[0] or size > SHARD_BYTES):
+                    settle()
+                    held, size = [], 0
+                last = row
+                at, counts = cache.counts(words_of(row[2]))
+                if len(at):
+                    held.append((goal[row[3]], at, counts))
+                    size += at.nbytes + counts.nbytes
+        settle()
+        if learnt:
+            parts = [sums[k : k + SLICE].tobytes() for k in range(0, len(sums), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([learnt] * len(parts)), pa.array(parts)], ["part", "n", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            for part, n, sums in zip(*(column.to_pylist() for column in batch.columns)):
+                total = found.setdefault(part, [0, 0])
+                total[0] += n
+                total[1] = total[1] + np.frombuffer(sums, np.int64)
+        if found:
+            of = sorted(found)
+            columns = [pa.array(of, pa.int32()), pa.array([found[k][0] for k in of]), pa.array([found[k][1].tobytes() for k in of])]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "n", "sums"])
+
+    schema = "part int, n long, sums binary"
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "lang", "text"), F.lit(shards)).cast("int"))
+    # Tasks take whole shards, in one order wherever the rows lie.
+    dealt = dealt.repartitionById(shards, "shard").select("shard", "key", "text", "lang").sortWithinPartitions("shard", F.xxhash64(F.lit(1), "key", "lang", "text"), "key", "lang", "text")
+    with shuffles_freed(rows.sparkSession):
+        parts = in_tasks(in_tasks(dealt, run, schema).repartition("part"), add, schema).orderBy("part").collect()
+    if not parts:
+        return np.zeros((BUCKETS, width)), np.zeros(width)
+    mean = np.concatenate([np.frombuffer(p["sums"], np.int64) for p in parts]).reshape(-1, width) / (UNIT * parts[0]["n"])
+    return mean[:-1], mean[-1]
+
+
+def _calibrated(rows: DataFrame, model: dict) -> tuple[float, float]:
+    """The temperature with the least loss on all of (key, text, lang), and the score below which a prediction is rejected."""
+    goal, width = {lang: k for k, lang in enumerate(model["languages"])}, len(model["languages"])
+    grid = np.geomspace(0.05, 20, 60)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordRows(model["table"])
+        for batch in batches:
+            found = [(goal[lang], words) for text, lang in zip(batch.column(0), batch.column(1).to_pylist()) if (words := words_of(text.as_py()))]
+            logits = [(known.mean(words) + model["bias"]).tobytes() for _, words in found]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in found], pa.int32()), pa.array(logits, pa.binary())], ["goal", "logits"])
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, width)
 
-    A hash of the id decides, and an id that comes often counts once, so the sample is bounded whatever repeats.
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            goals, logits = read(batch)
+            losses = [-np.log(softmax(logits / t)[np.arange(len(goals)), goals] + 1e-12) for t in grid]
+            sums = [int(np.rint(x * UNIT).sum()) for x in losses]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums, pa.int64())], ["at", "loss"])
+
+    judged = cut(in_tasks(rows.select("text", "lang"), judge, "goal int, logits binary"), "calibration")
+    losses = in_tasks(judged, lose, "at int, loss long").groupBy("at").agg(F.sum("loss").alias("loss")).orderBy("loss", "at").head(1)
+    if not losses:
+        return 1.0, 0.0
+    temperature = float(grid[losses[0]["at"]])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            goals, logits = read(batch)
+            chance = softmax(logits / temperature)
+            yield pa.RecordBatch.from_arrays([pa.array(chance.max(1)[chance.argmax(1) == goals], pa.float64())], ["score"])
+
+    # Rounded, the scores are few values, however many rows there are.
+    right = in_tasks(judged, score, "score double").agg(F.percentile(F.round("score", 5), F.lit(REJECTED)).alias("least")).first()["least"]
+    return temperature, 0.0 if right is None else min(float(right), REJECT_BELOW)
+
+
+def fit(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
+    """Learn from all rows with a language that are not held out, about ``shard_rows`` of them together.
+
+    The model has the languages, the table of bucket scores, bias, temperature and threshold.
     """
     labelled = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where(~held_out(F.col("key")) & F.col("lang").isNotNull())
-    count = labelled.count()
-    share = min(1.0, sample_rows / max(count, 1))
-    chosen = labelled.where(drawn(share, "key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, lang, key in zip(*batch.columns):
-                at, counts = bucket_counts(words_of(text.as_py()))
-                columns = [pa.array([lang.as_py()]), pa.array([at.astype("<i4").tobytes()]), pa.array([counts.astype("<i4").tobytes()])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([key.as_py()], pa.string())], ["lang", "buckets", "counts", "key"])
-
-    counted = in_tasks(chosen.select("text", "lang", "key"), run, "lang string, buckets binary, counts binary, key string")
-    found = counted.groupBy("key").agg(F.min(F.struct("lang", "buckets", "counts")).alias("row")).select("row.*").collect()
-    if count and not found:
-        raise ValueError(f"none of {count} labelled rows were drawn to learn from")
-    rows = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in found)
-    return train([(lang, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(n, "<i4").astype(float)) for lang, at, n in rows])
+    counted = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    count, languages = sum(counted.values()), sorted(counted)
+    model = {"languages": languages, "table": np.zeros((BUCKETS, len(languages))), "bias": np.zeros(len(languages)), "temperature": 1.0, "reject": 0.0}
+    if not count:
+        return model
+    if shard_rows < 1:
+        raise ValueError(f"none of {count} labelled rows can be drawn into shards of {shard_rows} rows")
+    # A few rows are all learnt from.
+    apart = F.pmod(F.xxhash64(F.lit(2), "key", "lang", "text"), F.lit(1 << 20)) < F.lit(int(CALIBRATION * (1 << 20) if count >= 20 else 0))
+    model["table"], model["bias"] = _trained(labelled.where(~apart), languages, max(1, round(count * (1 - CALIBRATION) / shard_rows)))
+    if count >= 20:
+        model["temperature"], model["reject"] = _calibrated(labelled.where(apart), model)
+    return model
 
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

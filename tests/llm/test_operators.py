@@ -392,6 +392,20 @@ def test_language(spark, docs):
     assert kept.columns == docs.columns and not {5, 6, 7} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_is_learnt_from_every_row(spark):
+    """In shards of a hundred rows every one of forty languages is learnt, two are told apart, and the model is the same however the rows lie."""
+    rng = random.Random(21)
+    vocabulary = [["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for _ in range(40)]
+    rows = [(k, " ".join(rng.choices(vocabulary[k % 40], k=40)), f"l{k % 40:02d}") for k in range(600)]
+    taught = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = langid.fit(taught, 100), langid.fit(taught.repartition(7), 100)
+    assert one["languages"] == [f"l{k:02d}" for k in range(40)]
+    assert np.array_equal(one["table"], other["table"]) and one["temperature"] == other["temperature"] and one["reject"] == other["reject"]
+    two = taught.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "the cat and the dog were here").otherwise("der Hund und die Katze waren hier").alias("text"), (F.col("doc_id") % 2).cast("string").alias("lang"))
+    judged = langid.predict(two, langid.fit(two, 100)).join(two.select("doc_id", "lang"), "doc_id")
+    assert judged.where("lang = lang_pred").count() == 600
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(10)
     texts = [(k, words(rng, 30) + (" you vile idiot " if k % 3 == 0 else " you nice friend ") + words(rng, 20)) for k in range(600)]
