@@ -17,6 +17,7 @@ No link between different sets is lost: the order only decides which codes are l
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ NEED, PART = 100, 80
 SAMPLE_ROWS, FREQUENT_ROWS, FREQUENT_CODES = 8000, 8, 100_000
 #: Classes of one slice of a block.
 SLICE_CLASSES = 1000
+#: Up to so many sets of a block are held against one another without a tree, and rows of several blocks are sent together.
+FEW_SETS, SENT_ROWS = 4, 10_000
 
 
 def text_set(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -188,9 +191,24 @@ class PrefixTree:
             stack += [(c, passed, overlap) for c in node.children.values()]
 
 
+def are_alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, both rising and with codes in them, are alike."""
+    if NEED * min(len(a), len(b)) < PART * max(len(a), len(b)) or not len(a):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    return (NEED + PART) * int(np.count_nonzero(both[1:] == both[:-1])) >= PART * len(both)
+
+
 def link_block(sets: list[np.ndarray], wanted=None) -> tuple[Links, list[tuple[int, int]]]:
     """All components of rows that are alike, and links that span them. ``wanted`` may leave out pairs known elsewhere."""
     links, alike = Links(len(sets)), []
+    if len(sets) <= FEW_SETS:
+        for a, b in combinations(range(len(sets)), 2):
+            if links.find(a) != links.find(b) and (wanted is None or wanted(a, b)) and are_alike(sets[a], sets[b]):
+                links.join(a, b)
+                alike.append((a, b))
+        return links, alike
     rows, ranked = survivors(sets)
     if len(rows) > 1:
         at = {k: n for n, k in enumerate(rows)}
@@ -318,8 +336,9 @@ def _block_edges(blocks: DataFrame, read: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, hub, seen, keys, homes, loose, sets = None, None, set(), [], [], [], []
+        out: tuple[list, ...] = ([], [], [], [])
 
-        def settle() -> Iterator[pa.RecordBatch]:
+        def settle() -> None:
             if len(keys) < 2:
                 return
             apart = here[1] != here[2]
@@ -329,22 +348,24 @@ def _block_edges(blocks: DataFrame, read: Callable) -> DataFrame:
             least: dict[int, int] = {}
             for r, k in zip(roots, keys):
                 least[r] = min(k, least.get(r, k))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([here[0]] * len(keys), pa.int64()),
-                    pa.array(keys, pa.int64()),
-                    pa.array([least[r] for r in roots], pa.int64()),
-                    pa.array([r == hub_root for r in roots], pa.bool_()),
-                ],
-                ["block", "key", "root", "with_hub"],
-            )
+            for column, values in zip(out, ([here[0]] * len(keys), keys, [least[r] for r in roots], [r == hub_root for r in roots])):
+                column.extend(values)
+
+        def sent() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            done = pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(out, kinds)], ["block", "key", "root", "with_hub"])
+            for column in out:
+                column.clear()
+            return done
 
         for batch in batches:
             at = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
             heads, ids, own, free = (batch.column(k).to_pylist() for k in range(3, 7))
             for k, body in enumerate(batch.column(7)):
                 if at[k] != here:
-                    yield from settle()
+                    settle()
+                    if len(out[0]) >= SENT_ROWS:
+                        yield sent()
                     here, hub, seen, keys, homes, loose, sets = at[k], heads[k], set(), [], [], [], []
                 if ids[k] in seen:  # rows equal in id and text that were not joined in one task
                     continue
@@ -353,7 +374,9 @@ def _block_edges(blocks: DataFrame, read: Callable) -> DataFrame:
                 homes.append(own[k])
                 loose.append(free[k])
                 sets.append(read(body))
-        yield from settle()
+        settle()
+        if out[0]:
+            yield sent()
 
     met = blocks.select("block", "slice", "other", "hub", "key", "home", "loose", "body")
     met = met.repartition("block", "slice", "other").sortWithinPartitions("block", "slice", "other")

@@ -58,8 +58,9 @@ class Paragraphs:
         self.starts, self.ends = word_spans(data)
         self.codes = word_codes(data, (self.starts, self.ends))
         n = len(self.codes)
-        lengths = np.array([len(t) + 1 for t in texts])
-        self.words_from = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(lengths)]))
+        #: Where each text begins; one byte lies between two of them.
+        self.bytes_from = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.words_from = np.searchsorted(self.starts, self.bytes_from)
         if not n:
             self.first = self.stop = self.least = np.zeros(0, np.int64)
             self.wide = np.zeros(0, bool)
@@ -343,18 +344,19 @@ def _find_repeats(rows: DataFrame) -> DataFrame:
     return grown
 
 
-def removed_spans(found: Paragraphs, places: list[dict]) -> list[tuple[int, int, list[int]]]:
-    """Spans of bytes to cut out, with the ids of the documents that keep the passage; short spans are left alone."""
+def removed_spans(found: Paragraphs, places: list[dict], text: int = 0) -> list[tuple[int, int, list[int]]]:
+    """Spans of bytes to cut out of a text, with the ids of the documents that keep the passage; short spans are left alone."""
     runs: list[list] = []
+    first, origin = int(found.from_[text]), int(found.bytes_from[text])
     for p in sorted(places, key=lambda p: p["pos"]):
-        a, b = int(found.first[p["pos"]]) - p["back"], int(found.stop[p["pos"]]) + p["forth"]
+        a, b = int(found.first[first + p["pos"]]) - p["back"], int(found.stop[first + p["pos"]]) + p["forth"]
         kept = [p["kept_id"]] if p["kept_id"] is not None else []
         if runs and a <= runs[-1][1]:
             runs[-1][0], runs[-1][1] = min(a, runs[-1][0]), max(b, runs[-1][1])
             runs[-1][2] += kept
         else:
             runs.append([a, b, kept])
-    return [(int(found.starts[a]), int(found.ends[b - 1]), sorted(set(kept))) for a, b, kept in runs if b - a >= LEAST_REMOVED]
+    return [(int(found.starts[a]) - origin, int(found.ends[b - 1]) - origin, sorted(set(kept))) for a, b, kept in runs if b - a >= LEAST_REMOVED]
 
 
 _GAP = regex.compile(rb"[\x20\x09-\x0D]*")
@@ -387,18 +389,17 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans, kept = [], [], []
-            for text, places in zip(batch.column(1), batch.column(2)):
-                if not places.is_valid or not text.is_valid:
-                    texts.append(text.as_py())
-                    spans.append([])
-                    kept.append([])
-                    continue
-                data = utf8(text)
-                found = removed_spans(Paragraphs(data), places.as_py())
-                texts.append(without(data, found).decode("utf-8"))
-                spans.append([{"start": a, "end": b} for a, b, _ in found])
-                kept.append(sorted({k for _, _, ids in found for k in ids}))
+            texts, spans, kept = batch.column(1).to_pylist(), [[]] * batch.num_rows, [[]] * batch.num_rows
+            hit = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False) & batch.column(2).is_valid().to_numpy(zero_copy_only=False))
+            wanted, places = batch.column(1).take(pa.array(hit)), batch.column(2).take(pa.array(hit)).to_pylist()
+            for at, found in in_groups(wanted):
+                for k in range(len(found.from_) - 1):
+                    gone = removed_spans(found, places[at + k], k)
+                    if gone:
+                        row, begin, stop = int(hit[at + k]), *found.bytes_from[k : k + 2].tolist()
+                        texts[row] = without(found.data[begin : stop - 1], gone).decode("utf-8")
+                        spans[row] = [{"start": a, "end": b} for a, b, _ in gone]
+                        kept[row] = sorted({i for _, _, ids in gone for i in ids})
             kinds = [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
             added = [pa.array(c, kind) for c, kind in zip((texts, spans, kept), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *added], ["row", "cleaned", "removed_spans", "kept_in"])

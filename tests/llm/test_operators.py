@@ -369,6 +369,35 @@ def test_passages_without_sentence_ends_go_whole(spark):
     assert whole >= len(parts) - 1  # one run in 300 of 50 words has no whole paragraph
 
 
+def test_few_sets_link_as_many_do():
+    """Blocks of a few sets, which are held against one another, give the components that the tree gives."""
+    rng, linked = np.random.default_rng(5), 0
+    for _ in range(300):
+        base = np.arange(rng.integers(0, 30), dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(100, 200, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(rng.integers(2, jaccard.FEW_SETS + 1))]
+        more = [np.array([1000 + k], np.uint64) for k in range(jaccard.FEW_SETS + 1)]  # like nothing else; with these it is the tree that links
+        pick = None if rng.random() < 0.5 else lambda a, b: (a + b) % 2 == 1
+        few, tree = jaccard.link_block(sets, pick)[0], jaccard.link_block(sets + more, pick)[0]
+        assert [few.find(k) for k in range(len(sets))] == [tree.find(k) for k in range(len(sets))]
+        linked += any(few.find(k) != k for k in range(len(sets)))
+    assert 30 < linked < 300
+
+
+def test_passages_go_from_many_texts_at_a_time(spark):
+    """Texts of a batch are cut together; spans count from the text's own beginning, and each text loses its own passage."""
+    rng = random.Random(33)
+    passages = [words(rng, 90) for _ in range(20)]
+    texts = [f"{words(rng, 30)} Ö. {p}. {words(rng, 30)}" for p in passages] + [f"{words(rng, 25)} Ü. {p}. {words(rng, 35)}" for p in passages]
+    df = spark.createDataFrame([*enumerate(texts), (40, None), (41, "")], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r for r in substring_dedup.remove_passages(df).collect()}
+    assert got[40]["text"] is None and got[41]["text"] == ""
+    for k, p in enumerate(passages):
+        first, second = got[k], got[20 + k]
+        assert first["text"] == texts[k] and not first["removed_spans"] and second["kept_in"] == [k] and p not in second["text"]
+        (start, end), = second["removed_spans"]
+        assert p in texts[20 + k].encode()[start:end].decode() and end - start < len(texts[20 + k]) - 150
+
+
 def test_small_shares_are_drawn(spark):
     assert 0 < spark.range(20_000_000).where(drawn(5e-7, "id")).count() < 40
     assert spark.range(1000).where(drawn(1.0, "id")).count() == 1000
