@@ -23,7 +23,7 @@ from cellwright.llm.common import cut, held_out, in_tasks, mixed, ranged_codes,
 #: Rows that are trained together, about, and the share of labelled rows for calibration.
 SHARD_ROWS, CALIBRATION = 3000, 0.25
 #: A shard whose bucket counts take more bytes is trained in several parts.
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 25
 #: Tables and losses are summed in steps of one part in UNIT; their slices are sent by so many buckets.
 UNIT, SLICE = 1 << 20, 1024
 BUCKETS, DIMENSIONS, EPOCHS, RATE = 1 << 14, 16, 6, 0.5
@@ -122,20 +122,21 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: int) -> tuple[np.ndarray, np.ndarray]:
     """The table of bucket scores and the bias from (number of the language, buckets, counts), rows with buckets only."""
     rng = np.random.default_rng(11)
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
+    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    rows = [(y, at.astype(np.intp), (counts / counts.sum()).astype(np.float32)) for y, at, counts in rows]
     weights, bias = np.zeros((DIMENSIONS, languages)), np.zeros(languages)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for k in rng.permutation(len(rows)):
-            y, at, counts = rows[k]
-            share, taken = counts / counts.sum(), embedding.take(at, 0)
+            y, at, share = rows[k]
+            taken = embedding.take(at, 0)
             hidden = share @ taken
             error = softmax(hidden @ weights + bias)
             error[y] -= 1
             back = weights @ error
             weights -= rate * np.outer(hidden, error)
             bias -= rate * 0.1 * error
-            taken -= np.outer(share, rate * 20 * back)
+            taken -= np.multiply.outer(share, (rate * 20 * back).astype(np.float32))
             embedding[at] = taken
     return embedding @ weights, bias
 
