@@ -150,7 +150,8 @@ class _Pass:
         self.rounds = 0
         if absorb:
             swept = sweep_rows(columns.rows, segment, absorb, z, most_rounds, small_cells)
-            self.rows, self.rounds, self.cells = cut(swept.rows, "swept"), swept.rounds, swept.cells
+            self.rows, self.rounds = cut(swept.rows, "swept"), swept.rounds
+            self.cells = self.rows if swept.cells is None else swept.cells
         else:
             self.rows = columns.rows.withColumn("one", F.lit(1.0))
         self.columns = z if absorb else ["one", *z]
@@ -171,7 +172,8 @@ class _Pass:
             totals = totals.withColumns({**{f"s_{a}": F.lit(0.0) for a in z}, **{f"raw_{a}": F.lit(columns.raw[a]) for a in z}})
         for factor in absorb:
             level = list(dict.fromkeys([*segment, factor]))
-            sizes = self.cells.select(*level).distinct().groupBy(*segment).agg(F.count("*").cast("double").alias(f"l_{factor}"))
+            levels = swept.levels.get(factor, self.cells).select(*level).distinct()
+            sizes = levels.groupBy(*segment).agg(F.count("*").cast("double").alias(f"l_{factor}"))
             totals = totals.join(sizes, list(segment)) if segment else totals.withColumn(f"l_{factor}", F.lit(float(sizes.first()[0])))
         if absorb:
             if degrees == "components" and len(absorb) > 1:

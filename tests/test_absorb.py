@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwright.operators import absorb
 from cellwright.operators.absorb import connected_parts, dependent_levels, factor_cells
 from cellwright.operators.design import Square
 from cellwright.operators.estimate import linear_models, logit, ols, segment_models, segment_table, wald, with_errors
@@ -189,3 +190,40 @@ def test_a_text_with_5000_levels(spark, data):
     table = ols_with_levels(many, "y", ["x"], "t")
     assert table.count() == 5001
     assert table.where("term = 't04999'").first()["estimate"] == pytest.approx(49.99, abs=0.02)
+
+
+def same_fit(one, other):
+    assert one.coef == pytest.approx(other.coef, abs=1e-8) and one.std_error == pytest.approx(other.std_error, rel=1e-6) and one.n_params == other.n_params
+
+
+def test_rounds_read_packed_cells_and_shuffle_none(data, monkeypatch):
+    df, _ = data
+    read, written = [], []
+    in_tasks, cut = absorb.in_tasks, absorb.cut
+    monkeypatch.setattr(absorb, "in_tasks", lambda df, *a: read.append(df._jdf.queryExecution().executedPlan().toString()) or in_tasks(df, *a))
+    monkeypatch.setattr(absorb, "cut", lambda df, label, *a: written.append(label) or cut(df, label, *a))
+    fit = ols(df, "y", ["x", "w"], absorb=["f", "h", "name"], vcov="cluster", cluster="c", small_cells=0)
+    assert len(read) == fit.stats["rounds"] + 2 > 5 and not any("Exchange" in plan or "Join" in plan for plan in read)
+    assert sorted(written) == ["numbers", "numbers", "packed"]
+    same_fit(fit, ols(df, "y", ["x", "w"], absorb=["f", "h", "name"], vcov="cluster", cluster="c"))
+
+
+@pytest.mark.parametrize("copies, setting", [(1, {"HOT_CELLS": 20}), (1, {"LEVEL_NUMBERS": 0}), (3, {}), (3, {"HOT_CELLS": 1})])
+def test_every_way_to_the_effects_is_the_same(data, monkeypatch, copies, setting):
+    df = data[0].withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    options = {"absorb": ["f", "h", "name"], "vcov": "cluster", "cluster": "c"}
+    wanted = ols(df, "y", ["x", "w"], **options)
+    for name, value in setting.items():
+        monkeypatch.setattr(absorb, name, value)
+    same_fit(ols(df, "y", ["x", "w"], small_cells=0, **options), wanted)
+
+
+def test_kept_columns_come_through_packed_rows(data):
+    df, _ = data
+    factors = ["f", "h", "k"]
+    odd = df.select("x", "y", *factors, F.col("c").alias("n"), F.when(F.col("k") > 2, F.col("name")).alias("a b"), F.timestamp_seconds(F.col("c") * 86400).alias("day"))
+    fit = ols(odd, "y", ["x"], absorb=factors, keep=["n", "a b", "day"], small_cells=0)
+    rows = fit.source[0].rows
+    for c in (*factors, "n", "a b", "day"):
+        assert {r[0]: r[1] for r in rows.groupBy(f"`{c}`").count().collect()} == {r[0]: r[1] for r in odd.groupBy(f"`{c}`").count().collect()}
+    assert with_errors(fit, "cluster", "day").std_error == pytest.approx(ols(odd, "y", ["x"], absorb=factors, vcov="cluster", cluster="day").std_error)
