@@ -36,6 +36,8 @@ SMALL_CELLS = 50_000
 LEVEL_NUMBERS = 4_000_000
 #: A level of the main factor with more cells than about this is not eliminated but solved for among the others.
 HOT_CELLS = 100_000
+#: A task works on packed rows of about so many cells at a time.
+PIECE_CELLS = 500_000
 
 
 @dataclass
@@ -150,15 +152,22 @@ class _Packed:
         return np.where(self.eliminated[:, None], found, 0.0)[self.row]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed rows of all batches, few at a time where they are long."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("n")).to_numpy(zero_copy_only=False))
+        first = np.flatnonzero(np.diff(ends // PIECE_CELLS, prepend=-1))
+        for begin, end in zip(first, [*first[1:], batch.num_rows]):
+            yield batch.slice(begin, end - begin)
+
+
 def _sum_batches(ids: Sequence[str], sums: Sequence[str], vector, columns: int, none: int):
     """Values of cells less the means of the eliminated levels, summed by the other levels: of ``sums``, with the counts, or of a vector sent."""
     names = [f"v{j}" for j in range(columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((none + 1, columns)), np.zeros(none + 1, bool)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             cells = _Packed(batch, ids, sums, none)
             values = cells.sums if sums else cells.n[:, None] * cells.at(vector.value)
             values = values - cells.n[:, None] * cells.means(values)
@@ -178,9 +187,7 @@ def _effect_batches(main: Sequence[str], ids: Sequence[str], others: Sequence[st
     """Every cell by itself again, with the sum of all factors' effects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             cells = _Packed(batch, ids, sums, none)
             effects = cells.at(vector.value)
             effects = effects + cells.means(cells.sums - cells.n[:, None] * effects)

@@ -227,3 +227,14 @@ def test_kept_columns_come_through_packed_rows(data):
     for c in (*factors, "n", "a b", "day"):
         assert {r[0]: r[1] for r in rows.groupBy(f"`{c}`").count().collect()} == {r[0]: r[1] for r in odd.groupBy(f"`{c}`").count().collect()}
     assert with_errors(fit, "cluster", "day").std_error == pytest.approx(ols(odd, "y", ["x"], absorb=factors, vcov="cluster", cluster="day").std_error)
+
+
+def test_long_packed_rows_are_taken_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(absorb, "PIECE_CELLS", 10)
+    for lengths in ([], [30], [4, 4, 4, 4, 25, 1, 1], [10, 10, 10], [1] * 35):
+        batch = pa.RecordBatch.from_pydict({"n": pa.array([[float(i)] * k for i, k in enumerate(lengths)], pa.list_(pa.float64()))})
+        pieces = list(absorb._pieces([batch]))
+        assert [v for piece in pieces for v in piece.column("n").to_pylist()] == batch.column("n").to_pylist()
+        assert all(piece.num_rows == 1 or len(piece.column("n").flatten()) <= 10 + max(lengths) for piece in pieces)
